@@ -1,0 +1,454 @@
+"""Every operator against a brute-force version, on whole small tables and on awkward rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import arrays, components, decontam, line_dedup, mixing, ngram_join, ppm, quality, sharding, suffix_dedup, topk, toxicity
+from factloom.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, n_hit long"
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+AWKWARD = [
+    (1, None, None, None, None, "a", 1),
+    (2, "", "en", "src1", 0, "b", 1),
+    (3, "one two", "en", "src1", 7, None, 1),
+    (3, "one two", "en", "src1", 7, None, 1),
+    (None, "the same words stand here again and again in this text of the day", "de", None, 5, "c", 1),
+    (None, "other", None, "src2", None, "c", 2),
+    (4, "the same words stand here again and again in this text of the day", "fr", "src12", 5, "d", None),
+    (5, LONG, "en", "src1", len(LONG), "e", 2),
+    (6, LONG + " tail", "en", "src1", len(LONG), "e", 2),
+    (7, "a\nb\nc\nd\na\nb\nc\nzürich ß", "en", "src1", 9, "f", 3),
+    (8, "q\na\nb\nc\nd\n\n\n\n\n", "en", "src3", 9, "f", 3),
+    (9, "A-B c, D. e", "es", "src4", 9, "f", 3),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return table(spark, SF, "labels")
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# 1 sharding
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_sharding(which, request):
+    df = request.getfixturevalue(which)
+    rows = df.collect()
+    got = sharding.shard_documents(df, 16).collect()
+    assert Counter((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in rows) == Counter((r.doc_id, r.text_crc32, r.size) for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    sizes = [len(slots[s]) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    again = sharding.shard_documents(df.repartition(5), 16).collect()
+    assert Counter(got) == Counter(again)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 225, 1000])
+def test_permutation(spark, n):
+    out = [r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n, 7)).collect()]
+    assert sorted(out) == list(range(n))
+
+
+# 2 toxicity
+def test_toxicity(spark, awkward):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(got) == docs.count()
+    held = [(got[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in got and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert all(r.held_out for r, _ in held)
+    bad, good = [r.score for r, t in held if t], [r.score for r, t in held if not t]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
+    assert auc > 0.9
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert kept == {k for k, r in got.items() if not r.predicted}
+    odd = toxicity.score_toxicity(awkward, model).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r.score <= 1 for r in odd)
+    assert toxicity.drop_toxic(awkward, model).columns == awkward.columns
+    assert toxicity.score_toxicity(awkward.limit(0), model).count() == 0
+    none = toxicity.fit(docs, labels.limit(0))
+    assert toxicity.score_toxicity(awkward, none).filter("predicted = 1").count() == 0
+
+
+def test_filters_match_a_plain_convolution():
+    rng = np.random.default_rng(1)
+    ids, bounds = rng.integers(0, 50, 30), np.array([0, 0, 1, 3, 20, 30])
+    tables = [[rng.normal(size=(50, 4)).astype(np.float32) for _ in range(w)] for w in (1, 2, 3)]
+    bias = rng.normal(size=12).astype(np.float32)
+    got, where = toxicity.pooled(ids, bounds, tables, bias, positions=True)
+    for r in range(5):
+        part = ids[bounds[r] : bounds[r + 1]]
+        for k, per in enumerate(tables):
+            best = np.zeros(4)
+            for i in range(len(part)):
+                best = np.maximum(best, sum(per[j][part[i + j]] for j in range(k + 1) if i + j < len(part)) + bias[4 * k : 4 * k + 4])
+            assert np.allclose(got[r, 4 * k : 4 * k + 4], best, atol=1e-5)
+
+
+# 3 quality
+def test_quality(spark, awkward):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    held = [(got[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in got and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.8
+    odd = quality.score_quality(awkward, model).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r.score <= 1 for r in odd)
+    assert quality.score_quality(awkward.limit(0), quality.fit(docs, labels.limit(0))).count() == 0
+
+
+# 4 mixing
+def brute_mix(rows, weights, share, epochs, seed=11):
+    def key(r, epoch):
+        base = f"{r['id']}|{hashlib.md5((r['text'] or '').encode()).hexdigest()}"
+        return int(hashlib.md5(f"{seed}|{epoch}|{base}".encode()).hexdigest()[:15], 16)
+
+    tokens = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    caps = Counter()
+    for r in rows:
+        for d in range(4):
+            caps[r["leaf"][:d]] += tokens(r) * epochs
+    budgets = {(): sum(map(tokens, rows)) * share}
+    for d in range(3):
+        for parent in [p for p in caps if len(p) == d]:
+            kids = [k for k in caps if len(k) == d + 1 and k[:d] == parent]
+            left, open_, alloc = budgets[parent], set(kids), dict.fromkeys(kids, 0.0)
+            w = {k: weights.get("/".join(k), 1.0) for k in kids}
+            while open_:
+                level = left / sum(w[k] for k in open_)
+                full = {k for k in open_ if caps[k] <= level * w[k] + 1e-9}
+                if not full:
+                    for k in open_:
+                        alloc[k] = level * w[k]
+                    break
+                for k in full:
+                    alloc[k] = caps[k]
+                    left -= caps[k]
+                open_ -= full
+            budgets.update(alloc)
+    out = Counter()
+    for leaf in [p for p in caps if len(p) == 3]:
+        mine = [r for r in rows if r["leaf"] == leaf]
+        total = sum(map(tokens, mine))
+        whole = min(math.floor(budgets[leaf] / total), epochs) if total else 0
+        rest = budgets[leaf] - whole * total
+        by = defaultdict(int)
+        for r in mine:
+            by[key(r, whole + 1)] += tokens(r)
+        so_far, taken = 0, set()
+        for k in sorted(k for k in by if by[k]):
+            so_far += by[k]
+            if so_far > rest:
+                break
+            taken.add(k)
+        for r in mine:
+            extra = whole < epochs and rest > 0 and tokens(r) > 0 and key(r, whole + 1) in taken
+            out[r["id"], tokens(r), whole + extra] += 1
+    return out
+
+
+@pytest.mark.parametrize("which,share,epochs", [("docs", 0.8, 2), ("docs", 1.7, 2), ("docs", 0.1, 1), ("awkward", 0.8, 2)])
+def test_mixing(which, share, epochs, request):
+    df = request.getfixturevalue(which)
+    weights = {"broad": 3.0, "broad/en": 4.0, "niche/en/src11": 20.0}
+    rows = []
+    for r in df.collect():
+        m = re.search("([0-9]+)$", r.source or "")
+        leaf = ("broad" if m and int(m[1]) < 10 else "niche", r.lang or "\x00null", r.source or "\x00null")
+        rows.append({"id": "\x00null" if r.doc_id is None else str(r.doc_id), "text": r.text, "leaf": leaf})
+    got = mixing.mix_sources(df, weights, share, epochs).collect()
+    assert Counter(("\x00null" if r.doc_id is None else str(r.doc_id), r._n_tokens, r._copies) for r in got) == brute_mix(rows, weights, share, epochs)
+
+
+def test_mixing_empty(awkward):
+    assert mixing.mix_sources(awkward.limit(0)).count() == 0
+
+
+# 5 n-gram join
+def brute_links(rows, threshold):
+    sets = []
+    for r in rows:
+        w = WORD.findall(lower(r.text))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    links, parent = Counter(), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and Fraction(len(sets[i] & sets[j]), len(sets[i] | sets[j])) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                parent[find(i)] = find(j)
+    low = {}
+    for i, r in enumerate(rows):
+        if sets[i]:
+            low.setdefault(find(i), []).append(r.doc_id)
+    name = lambda i: min((x for x in low[find(i)] if x is not None), default=None) if sets[i] else rows[i].doc_id
+    return Counter((r.doc_id, name(i), links[i]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_ngram_join(which, request):
+    df = request.getfixturevalue(which)
+    got = ngram_join.join_documents(df).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(df.collect(), Fraction("0.8"))
+
+
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: i % 7] + ["new"] * (i % 2) + base[i % 7 :] + [f"t{i}"])) for i in range(40)] + [(100 + i, "alone " * (i + 1)) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 2000)
+    got = ngram_join.join_documents(df).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(df.collect(), Fraction("0.8"))
+    kept = ngram_join.drop_near_copies(df).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in got if r.doc_id == r.class_id}
+
+
+def test_ngram_join_empty(awkward):
+    assert ngram_join.join_documents(awkward.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(0)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(200 + i, 201 + i) for i in range(40)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(got.get(x, x) == r for x, r in root.items())
+
+
+# 6 decontamination
+def brute_decontam(rows, items, span=10):
+    wins = []
+    for i in items:
+        w = WORD.findall(lower(i.text))
+        n = min(span, len(w))
+        wins.append((str(i.item_id) if i.item_id is not None else "null", {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set(), n))
+    out = Counter()
+    for r in rows:
+        w, hit, found = WORD.findall(lower(r.text)), set(), set()
+        for name, grams, n in wins:
+            for k in range(len(w) - n + 1):
+                if grams and tuple(w[k : k + n]) in grams:
+                    hit.update(range(k, k + n))
+                    found.add(name)
+        out[r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 2000])
+@pytest.mark.parametrize("which", ["docs", "awkward"])
+def test_decontamination(spark, which, block_bytes, request, monkeypatch):
+    df = request.getfixturevalue(which)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block_bytes)
+    items = [(None, "other"), (5, "C; d e"), (5, "again in"), (6, ""), (7, None), (8, " ".join(f"w{i % 977}x{i % 31}" for i in range(500, 530))), (9, "same words stand here again and again in this text"), (10, "b C d e")]
+    bench = table(spark, SF, "benchmark").union(spark.createDataFrame(items, "item_id long, text string"))
+    got = decontam.decontaminate(df.select("doc_id", "text", "lang"), bench).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute_decontam(df.collect(), bench.collect())
+
+
+def test_decontamination_of_awkward_columns(awkward, spark):
+    bench = table(spark, SF, "benchmark")
+    got = decontam.decontaminate(awkward, bench.limit(0))
+    assert got.filter("contaminated").count() == 0 and got.columns[:6] == [c for c in awkward.columns if c != "n_hit"]
+    assert decontam.decontaminate(awkward.limit(0), bench).count() == 0
+
+
+# 7 LM scoring
+@pytest.mark.parametrize("which,blocks", [("docs", 3000), ("docs", 20), ("awkward", 2)])
+def test_base_score(which, blocks, request):
+    df = request.getfixturevalue(which)
+    rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", lower(r.text)) + [None]) for r in df.collect()]
+    held = lambda i: zlib.crc32((str(i) if i is not None else "\x00null").encode()) % 7 == 2
+    c = Counter(t for i, ts in rows if not held(i) for t in ts)
+    n, v = sum(c.values()), len(c)
+    want = Counter((i, held(i), len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 6)) for i, ts in rows)
+    got = ppm.score_documents(df, block_rows=blocks).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 for r in got)
+
+
+def brute_ppm(train, text, order):
+    """log10 probability by walking the contexts symbol by symbol."""
+    counts = defaultdict(Counter)
+    prep = lambda t: [ppm.PAD] * order + list(lower(t).encode()) + [ppm.END]
+    for t in train:
+        s = prep(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[tuple(s[i - k : i])][s[i]] += 1
+    total, s = 0.0, prep(text)
+    for i in range(order, len(s)):
+        excluded, p = set(), 0.0
+        for k in range(order, -1, -1):
+            seen = {x: n for x, n in counts[tuple(s[i - k : i])].items() if x not in excluded}
+            if not seen:
+                continue
+            base = sum(seen.values()) + len(seen)
+            if s[i] in seen:
+                p += math.log10(seen[s[i]] / base)
+                break
+            p += math.log10(len(seen) / base)
+            excluded |= set(seen)
+        else:
+            p -= math.log10(256 - len(excluded))
+        total += p
+    return total
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_ppm_against_a_walk(spark, order):
+    train = ["the cat sat on the mat", "The dog sat.", "", "mat the", "zürich"]
+    texts = [*train, "the cog", "qqq", "", "a mat on the dog sat on"]
+    df = spark.createDataFrame([(t,) for t in train], "_text string")
+    model = ppm.train(df, order)
+    import pyarrow as pa
+
+    data, offsets = arrays.text_buffers(pa.array(texts))
+    got = ppm.text_scores(model, data, offsets)
+    assert np.allclose(got, [brute_ppm(train, t, order) for t in texts], atol=1e-4)
+    small = ppm.train(df, order, max_cells=1)
+    assert len(small.levels) == 2
+
+
+def test_ppm_beats_the_base_on_held_out_texts(docs):
+    got = ppm.score_documents(docs).filter("held_out and n_tokens > 20").collect()
+    assert np.mean([r.score > r.base_score for r in got]) > 0.2
+    assert ppm.score_documents(docs.limit(0)).count() == 0
+
+
+# 8 top-k
+@pytest.mark.parametrize("k,block,query", [(20, 4096, 1024), (3, 60, 7), (1000, 100, 5)])
+def test_topk(spark, k, block, query):
+    df = table(spark, SF, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    odd = [(100_000, None, 1), (100_001, [1.0, None], 1), (100_002, [float("nan")] * 64, 1), (100_003, [float("inf")] * 64, 1), (100_020, [0.0] * 64, 1), (100_040, [0.1] * 64, 2), (100_041, [0.1] * 64, 2), (100_042, [0.1] * 64, 2), (None, [0.1] * 64, 1)]
+    df = df.union(spark.createDataFrame(odd, df.schema))
+    rows = {r.vec_id: [math.floor(64 * x) for x in r.embedding] for r in df.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)}
+    want = set()
+    for q in rows:
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)[:k]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+    got = topk.top_k(df, lambda i: F.pmod(i, F.lit(20)) == 0, k, block_rows=block, query_rows=query).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    assert topk.top_k(df.limit(0), lambda i: i % 20 == 0).count() == 0
+
+
+def test_threshold_stops_early():
+    rng = np.random.default_rng(2)
+    v = rng.integers(-5, 6, (4000, 4))
+    v[17] = [60, 60, 60, 60]
+    q = np.array([[9, 8, 7, 6]])
+    _, ids, _, share = topk.threshold_search(q, np.array([-1]), v, np.arange(4000), 1)
+    assert ids.tolist() == [17] and share < 0.2
+
+
+# 9 suffix arrays
+def brute_suffix(rows, length):
+    order = sorted({(r.doc_id is not None, r.doc_id or 0, r.th, (r.text or "").encode()) for r in rows})
+    first, out = {}, {}
+    for *key, body in order:
+        gone = np.zeros(len(body), bool)
+        for s in range(len(body) - length + 1):
+            w = body[s : s + length]
+            if first.setdefault(w, (key, s)) != (key, s):
+                gone[s : s + length] = True
+        runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        kept = bytes(np.frombuffer(body, np.uint8)[~gone])
+        out[tuple(key)] = len(body), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()
+    return Counter((r.doc_id, *out[r.doc_id is not None, r.doc_id or 0, r.th]) for r in rows)
+
+
+@pytest.mark.parametrize("which,shard,inline", [("docs", 1 << 21, True), ("docs", 20_000, True), ("awkward", 1 << 21, False)])
+def test_suffix_dedup(which, shard, inline, request, monkeypatch):
+    df = request.getfixturevalue(which)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    if not inline:
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_PRINTS", -1)
+    rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()
+    got = suffix_dedup.remove_repeats(df).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows, 100)
+
+
+def test_suffix_dedup_empty(awkward):
+    assert suffix_dedup.remove_repeats(awkward.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("letters,n", [(2, 400), (1, 300), (4, 3000), (200, 500)])
+def test_suffix_array_and_common_prefixes(letters, n):
+    rng = np.random.default_rng(n)
+    text = rng.integers(0, letters, n).astype(np.uint8)
+    text[n // 2 :] = np.resize(text[: n // 3], n - n // 2)
+    body = text.tobytes()
+    order, coarse = suffix_dedup.suffix_array(text, n + 1)
+    assert order.tolist() == sorted(range(n), key=lambda i: body[i:])
+    order, coarse = suffix_dedup.suffix_array(text, 20)
+    lcp = suffix_dedup.common_prefixes(text, order, coarse, 20)
+    for a, b, got in zip(order[:-1], order[1:], lcp[1:]):
+        k = 0
+        while max(a, b) + k < n and body[a + k] == body[b + k]:
+            k += 1
+        assert (got >= 20) == (k >= 20)
+    starts = np.arange(n - 20)
+    firsts = {}
+    assert suffix_dedup.window_groups(text, starts, 20).tolist() == [firsts.setdefault(body[s : s + 20], s) for s in starts.tolist()]
+
+
+# 10 line dedup
+def brute_lines(rows, window):
+    order = sorted({(r.doc_id is not None, r.doc_id or 0, r.th, r.text) for r in rows if r.text is not None})
+    first, out = {}, {}
+    for *key, text in order:
+        lines, gone = text.split("\n"), set()
+        for s in range(len(lines) - window + 1):
+            w = tuple(lines[s : s + window])
+            if first.setdefault(w, (key, s)) != (key, s):
+                gone |= set(range(s, s + window))
+        out[tuple(key)] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone), sum(i - 1 not in gone for i in gone)
+    return Counter((r.doc_id, *(out[r.doc_id is not None, r.doc_id or 0, r.th] if r.text is not None else (None, 0, 0, 0))) for r in rows)
+
+
+@pytest.mark.parametrize("which,window", [("docs", 3), ("docs", 2), ("awkward", 3)])
+def test_line_dedup(which, window, request):
+    df = request.getfixturevalue(which)
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()
+    got = line_dedup.dedup_lines(df, window).collect()
+    assert Counter((r.doc_id, r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in got) == brute_lines(rows, window)
+    assert line_dedup.dedup_lines(df.limit(0), window).count() == 0
