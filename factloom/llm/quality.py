@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from factloom.llm import arrays
 from factloom.llm.common import crc_fold
 
-BUCKETS = 1024
+BUCKETS = 256
 META = 512
-SHAPE = 10
+SHAPE = 24
 MAX_ROWS = 2500
 ROUNDS = 4
 EXCHANGE = 60  # rows of either label that a view hands over in a round
@@ -67,7 +67,7 @@ def text_view(col: pa.Array) -> np.ndarray:
         n, size, count = j - i, np.maximum(np.diff(at), 1), np.maximum(np.diff(bounds), 1)
         row = np.repeat(np.arange(n), np.diff(bounds))
         cells = np.bincount(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
-        out[i:j, SHAPE:] = np.log1p(1000.0 * cells / count[:, None])
+        out[i:j, SHAPE:] = np.sqrt(cells / count[:, None])
         for k, kind in enumerate((upper, digit, space, other, arrays.WORD)):
             sums = np.concatenate([[0], np.cumsum(kind[piece])])
             out[i:j, k] = (sums[at[1:]] - sums[at[:-1]]) / size
@@ -80,6 +80,12 @@ def text_view(col: pa.Array) -> np.ndarray:
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
         out[i:j, 9] = np.bincount(row[order], weights=fresh, minlength=n) / count
+        again = np.zeros(len(h))
+        again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+        out[i:j, 10] = np.bincount(row, weights=again, minlength=n) / count
+        bars = np.concatenate([[0], np.cumsum(piece == 124)])
+        out[i:j, 11] = (bars[at[1:]] - bars[at[:-1]]) / size
+        out[i:j, 12:24] = np.sqrt(out[i:j, :12])
     return out
 
 
@@ -105,7 +111,7 @@ def fit_logit(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1
     width = x.shape[1]
     if len(y) == 0 or y.min() == y.max():
         return Logit(np.zeros(width), np.ones(width), np.zeros(width), 0.0 if len(y) == 0 else 3.0 * (2 * y[0] - 1))
-    mean, scale = x.mean(0), x.std(0) + 0.05
+    mean, scale = x.mean(0), x.std(0) + 0.02
     z = ((x - mean) / scale).astype(np.float32)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b = np.zeros(width, np.float32), 0.0

@@ -80,7 +80,7 @@ def test_permutation(spark, n):
 
 # 2 toxicity
 def test_toxicity(spark, awkward):
-    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit(docs, labels)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     assert len(got) == docs.count()
@@ -88,7 +88,7 @@ def test_toxicity(spark, awkward):
     assert all(r.held_out for r, _ in held)
     bad, good = [r.score for r, t in held if t], [r.score for r, t in held if not t]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
-    assert auc > 0.9
+    assert auc > 0.95
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
     assert kept == {k for k, r in got.items() if not r.predicted}
     odd = toxicity.score_toxicity(awkward, model).collect()
@@ -101,7 +101,7 @@ def test_toxicity(spark, awkward):
 
 def test_filters_match_a_plain_convolution():
     rng = np.random.default_rng(1)
-    ids, bounds = rng.integers(0, 50, 30), np.array([0, 0, 1, 3, 20, 30])
+    ids, bounds = rng.integers(0, 50, (30, 3)), np.array([0, 0, 1, 3, 20, 30])
     tables = [[rng.normal(size=(50, 4)).astype(np.float32) for _ in range(w)] for w in (1, 2, 3)]
     bias = rng.normal(size=12).astype(np.float32)
     got, where = toxicity.pooled(ids, bounds, tables, bias, positions=True)
@@ -110,7 +110,7 @@ def test_filters_match_a_plain_convolution():
         for k, per in enumerate(tables):
             best = np.zeros(4)
             for i in range(len(part)):
-                best = np.maximum(best, sum(per[j][part[i + j]] for j in range(k + 1) if i + j < len(part)) + bias[4 * k : 4 * k + 4])
+                best = np.maximum(best, sum(per[j][part[i + j]].sum(0) for j in range(k + 1) if i + j < len(part)) + bias[4 * k : 4 * k + 4])
             assert np.allclose(got[r, 4 * k : 4 * k + 4], best, atol=1e-5)
 
 
@@ -318,6 +318,8 @@ def brute_ppm(train, text, order):
     for i in range(order, len(s)):
         excluded, p = set(), 0.0
         for k in range(order, -1, -1):
+            if k and sum(counts[tuple(s[i - k : i])].values()) < 2:
+                continue
             seen = {x: n for x, n in counts[tuple(s[i - k : i])].items() if x not in excluded}
             if not seen:
                 continue
@@ -348,9 +350,9 @@ def test_ppm_against_a_walk(spark, order):
     assert len(small.levels) == 2
 
 
-def test_ppm_beats_the_base_on_held_out_texts(docs):
-    got = ppm.score_documents(docs).filter("held_out and n_tokens > 20").collect()
-    assert np.mean([r.score > r.base_score for r in got]) > 0.2
+def test_ppm_beats_the_base_on_held_out_texts(spark, docs):
+    got = ppm.score_documents(table(spark, "/root/testdata/sf0.1", "documents")).filter("held_out and n_tokens > 20").collect()
+    assert np.mean([r.score > r.base_score for r in got]) > 0.5
     assert ppm.score_documents(docs.limit(0)).count() == 0
 
 
