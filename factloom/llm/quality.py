@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
             blobs = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m)]
             yield pa.RecordBatch.from_arrays([b.column("_lid").cast(pa.string()), b.column("_y"), *blobs], ["id", "y", "t", "m"])
 
-    pdf: pd.DataFrame = rows.mapInArrow(features, "id string, y int, t binary, m binary").toPandas()
+    pdf: pd.DataFrame = rows.mapInArrow(features, "id string, y int, t binary, m binary").toArrow().to_pandas()
     pdf = pdf.drop_duplicates("id").sort_values("id").sample(frac=1.0, random_state=4) if len(pdf) else pdf
     t = np.frombuffer(b"".join(pdf["t"]), np.float32).reshape(len(pdf), SHAPE + BUCKETS)
     m = np.frombuffer(b"".join(pdf["m"]), np.float32).reshape(len(pdf), META)

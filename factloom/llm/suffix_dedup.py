@@ -6,14 +6,16 @@ A byte goes if a ``length``-byte string over it also starts earlier (smaller id,
    select equal strings at one distance; consecutive windows with one selected string make a stretch. Only stretches whose
    selected string occurs twice anywhere can hold repeats (counted by hash, 4 bytes each).
 2. Whole stretches. Equal stretches hold equal windows, so all but a stretch's first place go at once.
-3. Suffix arrays. First places of different stretches with one selected string may still share some windows. Their bytes
-   are cut into shards; each shard's suffix array is built by Larsson-Sadakane refinement (prefix doubling on the groups
-   that are not sorted yet), and Kasai's rule (a suffix's common prefix with its predecessor is at most one shorter than
-   that of the suffix one byte before) bounds the groups of equal windows. Repeats inside the shard go.
-4. Merging. Each shard sends the first place of each of its windows, in hash order; a merge task finds every window's
-   stretch of places by binary search, and all but the earliest go.
-
-Hot strings stay cheap: steps 2 and 4 see a minimum, and a shard sends a window once, however often it holds it.
+3. Suffix arrays. First places of different stretches may still share some windows; then they share the selected string
+   with ``side`` bytes to its left or to its right. Their bytes are dealt into shards by these halves. Each shard's suffix
+   array is built by Larsson-Sadakane refinement (prefix doubling on the groups that are not sorted yet), and Kasai's rule
+   (a suffix's common prefix with its predecessor is at most one shorter than that of the suffix one byte before) bounds
+   the groups of equal windows. All but the first place of a group go.
+4. Merging. A half that very many stretches share is dealt into several shards; these send the first place of each of
+   their windows, in hash order, to merge tasks, which find every window's stretch of places by binary search, and all
+   but the earliest go.
+
+Hot strings stay cheap: step 2 sees a minimum, and a shard sends a window once, however often it holds it.
 """
 
 from __future__ import annotations
@@ -27,19 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import cut, parts, small
+from factloom.llm.common import cut, parts, small, stored
 
 LENGTH = 100
 GRAM = 24
 SHARD_BYTES = 1 << 21
-BROADCAST_PRINTS = 16_000_000  # repeated fingerprints (4 bytes each) that are broadcast at most; beyond, a shuffled join
+HOT_STRETCHES = 8192  # stretches with one half in a shard at most, but for chance
+BROADCAST_PRINTS = 8_000_000  # repeated fingerprints (4 bytes each) that are broadcast at most; beyond, a shuffled join
 _CODE2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(selected hash, stretch hash, first start, last start) of all stretches of windows inside the rows."""
-    none = np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(selected hash, stretch hash, first start, last start, left half, right half, selected place) by stretch.
+
+    The halves are hashes of the selected string with the ``side`` bytes before or after it (0 where a row ends sooner):
+    a window reaches at least that far to one side, so stretches that share a window share a half.
+    """
+    none = tuple(np.zeros(0, t) for t in (np.uint32, np.uint64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     found = []
+    side = (length - gram) // 2
     step = arrays.CHUNK_BYTES
     size = np.diff(offsets)
     mark = np.zeros(len(data) + 1, np.int8)
@@ -72,8 +80,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         hi = np.flatnonzero(last & valid)
         own = owner[lo]
         c = arrays.mix(arrays.stretch_hashes(sums, lo, hi + length) + ((own - lo) * 4096 + (hi - lo)).astype(np.uint64))
-        found.append(((g[own] >> np.uint64(13)).astype(np.uint32), c, lo + a, hi + a))
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(4)) if found else none
+        left, right = np.maximum(own - side, 0), np.minimum(own + gram + side, len(piece))
+        halves = [arrays.stretch_hashes(sums, left, own + gram), arrays.stretch_hashes(sums, own, right) ^ np.uint64(1)]
+        row = np.searchsorted(offsets, own + a, "right") - 1
+        halves[0][own + a - side < offsets[row]] = 0
+        halves[1][own + a + gram + side > offsets[row + 1]] = 0
+        found.append(((g[own] >> np.uint64(13)).astype(np.uint32), c, lo + a, hi + a, *halves, own + a))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(7)) if found else none
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +208,11 @@ def _among(sorted_keys: np.ndarray, probe: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == probe
 
 
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id occurs twice."""
+    return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+
+
 def _key(ids: list) -> np.ndarray:
     """Order numbers of ids, nulls first."""
     rank = {x: i for i, x in enumerate(sorted({x for x in ids if x is not None}))}
@@ -211,9 +229,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     new = ["kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    own = [c for c in docs.columns if c not in new]
+    own_columns = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("th"), text.alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,97 +245,143 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     counted = source.select("text").mapInArrow(prints, "g int, n byte").groupBy("g").agg(F.sum("n").alias("n"))
     repeated = cut(counted.filter("n > 1").select("g"))
     inline = repeated.count() <= BROADCAST_PRINTS
-    known = spark.sparkContext.broadcast(np.sort(repeated.toPandas()["g"].to_numpy(np.int32))) if inline else None
+    known = spark.sparkContext.broadcast(np.sort(repeated.toArrow()["g"].to_numpy())) if inline else None
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = arrays.text_buffers(b.column("text"))
             for i, j in arrays.chunks(offsets, SHARD_BYTES):
                 at = offsets[i : j + 1] - offsets[i]
-                g, c, lo, hi = stretches(data[offsets[i] : offsets[j]], at, length)
+                g, c, lo, hi, left, right, place_ = stretches(data[offsets[i] : offsets[j]], at, length)
                 if known is not None:
-                    g, c, lo, hi = (x[_among(known.value, g.view(np.int32))] for x in (g, c, lo, hi))
+                    mine = _among(known.value, g.view(np.int32))
+                    g, c, lo, hi, left, right, place_ = (x[mine] for x in (g, c, lo, hi, left, right, place_))
                 row = np.searchsorted(at, lo, "right") - 1
                 who = pa.array(row + i)
                 base = at[row]
-                cols = [b.column("id").take(who), b.column("th").take(who), pa.array(g.view(np.int32)), pa.array(c.view(np.int64)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "g", "c", "lo", "hi"])
+                ends = [pa.array((x - base).astype(np.int32)) for x in (lo, hi, place_)]
+                longs = [pa.array(x.view(np.int64)) for x in (c, left, right)]
+                cols = [b.column("id").take(who), b.column("th").take(who), longs[0], *ends, *longs[1:], pa.array(g.view(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "c", "lo", "hi", "own", "l", "r", "g"])
 
-    hits = source.mapInArrow(places, f"id {kind}, th long, g int, c long, lo int, hi int")
-    hits = cut(hits if inline else hits.join(repeated, "g", "left_semi"))
+    hits = source.mapInArrow(places, f"id {kind}, th int, c long, lo int, hi int, own int, l long, r long, g int")
+    hits = stored(hits.drop("g") if inline else hits.join(repeated, "g", "left_semi").drop("g"))
     place = F.struct("id", "th", "lo")
-    firsts = hits.groupBy("g", "c").agg(F.min(F.struct("id", "th", "lo", "hi")).alias("f"), F.count(F.lit(1)).alias("n"))
-    later = hits.join(firsts.filter("n > 1").select("g", "c", "f"), ["g", "c"]).filter(~place.eqNullSafe(F.struct("f.id", "f.th", "f.lo")))
+    firsts = hits.groupBy("c").agg(F.min(F.struct("id", "th", "lo", "hi", "own", "l", "r")).alias("f"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(firsts.select("c", "f.*", (F.col("n") > 1).alias("more")))
+    earliest = firsts.filter("more").select("c", place.alias("f"))
+    later = hits.select("c", "id", "th", "lo", "hi").join(earliest, "c").filter(~place.eqNullSafe(F.col("f")))
     whole = later.select("id", "th", "lo", (F.col("hi") + length).alias("stop"))
 
-    kinds = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-    mixed = firsts.join(kinds, "g", "left_semi").select("f.*")
-    wanted = cut(mixed.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")))
+    halves = firsts.select("id", "th", "lo", "hi", "own", F.explode(F.array(F.struct(F.col("l").alias("k"), F.lit(True).alias("left")), F.struct(F.col("r").alias("k"), F.lit(False).alias("left")))).alias("h"))
+    halves = halves.select("id", "th", "lo", "hi", "own", "h.k", "h.left").filter("k <> 0")
+    often = halves.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / HOT_STRETCHES).cast("int"))
+    spread = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id", "th", "lo"), F.col("salts"))).otherwise(0).cast("int")
+    dealt = halves.join(often.select("k", "salts"), "k").withColumn("salt", F.when(F.col("salts") > 1, spread).otherwise(-1))
+    wanted = stored(dealt.groupBy("id", "th").agg(F.collect_list(F.struct("k", "left", "salt", "lo", "hi", "own")).alias("spans")))
     texts = source.join(small(wanted.select(F.col("id").alias("_i"), F.col("th").alias("_t"))), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left_semi")
+    texts = texts.dropDuplicates(["id", "th"]) if _repeats(docs, id_col) else texts
     texts = texts.join(wanted.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "spans"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")))
-    texts = texts.select("id", "th", "text", F.transform("spans", lambda s: s["lo"]).alias("los"), F.transform("spans", lambda s: s["hi"]).alias("his"))
+    texts = texts.select("id", "th", "text", *[F.col(f"spans.{c}").alias(c) for c in ("k", "left", "salt", "lo", "hi", "own")])
+    side = (length - GRAM) // 2
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of each stretch's windows on one side of its half, with their first and last start."""
         for b in batches:
-            ids, th = b.column("id"), b.column("th").to_numpy()
-            order = np.lexsort((th, _key(ids.to_pylist())))
             data, offsets = arrays.text_buffers(b.column("text"))
-            los, his = b.column("los").to_pylist(), b.column("his").to_pylist()
-            rows, lo, hi, done = [], [], [], None
-            for r in order.tolist():
-                same = (ids[r].as_py(), th[r])
-                if same != done:
-                    rows += [r] * len(los[r])
-                    lo += los[r]
-                    hi += his[r]
-                done = same
-            rows_, lo_, hi_ = np.array(rows, np.int64), np.array(lo, np.int64), np.array(hi, np.int64)
-            size = hi_ - lo_ + length
-            at = np.concatenate([[0], np.cumsum(size)])
-            for i, j in arrays.chunks(at, SHARD_BYTES):
-                rel = np.arange(at[j] - at[i]) - np.repeat(at[i:j] - at[i], size[i:j])
-                shard = data[np.repeat(offsets[rows_[i:j]] + lo_[i:j], size[i:j]) + rel]
-                span = np.repeat(np.arange(i, j), size[i:j])
-                starts = np.flatnonzero(rel <= (hi_ - lo_)[span])
-                first = window_groups(shard, starts, length)
-                keep = first == starts
-                one = arrays.prefix_sums(shard)
-                two = arrays.prefix_sums(shard, _CODE2)
-                who = span[starts]
-                where = lo_[who] + rel[starts]
-                kept = np.flatnonzero(keep)
-                w1 = np.zeros(len(starts), np.uint64)
-                w2 = w1.copy()
-                s = starts[kept]
-                w1[kept], w2[kept] = arrays.stretch_hashes(one, s, s + length), arrays.stretch_hashes(two, s, s + length)
-                take = pa.array(rows_[who])
-                cols = [ids.take(take), b.column("th").take(take), pa.array(where.astype(np.int32)), pa.array(keep), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "start", "first", "w1", "w2"])
-
-    windows = texts.mapInArrow(shards, f"id {kind}, th long, start int, first boolean, w1 long, w2 long")
-    windows = cut(windows)
+            size = np.diff(b.column("k").offsets.to_numpy())
+            flat = {c: b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("k", "left", "salt", "lo", "hi", "own")}
+            row = np.repeat(np.arange(b.num_rows), size)
+            at = offsets[row] + flat["lo"]
+            # The windows that reach ``side`` bytes or more to the left of the selected string end ``side`` after it.
+            edge = offsets[row] + flat["own"] - side
+            lo = np.where(flat["left"], at, np.maximum(at, edge + 1))
+            hi = np.where(flat["left"], np.minimum(offsets[row] + flat["hi"], edge), offsets[row] + flat["hi"])
+            ok = np.flatnonzero(lo <= hi)
+            body = pa.array([data[x:y].tobytes() for x, y in zip(lo[ok].tolist(), (hi[ok] + length).tolist(), strict=True)], pa.binary())
+            take = pa.array(row[ok])
+            cols = [pa.array(flat["k"][ok]), pa.array(flat["salt"][ok].astype(np.int32)), b.column("id").take(take), b.column("th").take(take), pa.array((lo - offsets[row])[ok].astype(np.int32)), body]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "salt", "id", "th", "lo", "body"])
+
+    pieces = texts.mapInArrow(contexts, f"k long, salt int, id {kind}, th int, lo int, body binary")
+    pieces = pieces.repartition(parts(spark), "k", "salt").sortWithinPartitions("k", "salt", "id", "th", "lo")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of one half and salt, as many as fit a shard."""
+        held, size = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                held.append(part)
+                size += part.column("body").nbytes
+                if size >= SHARD_BYTES:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    k, salt = table["k"].to_numpy(), table["salt"].to_numpy()
+                    change = np.flatnonzero((k[1:] != k[:-1]) | (salt[1:] != salt[:-1]))
+                    if len(change):
+                        end = int(change[-1]) + 1
+                        yield from shard(table.slice(0, end))
+                        held = table.slice(end).to_batches()
+                        size = sum(x.column("body").nbytes for x in held)
+        if held:
+            yield from shard(pa.Table.from_batches(held))
+
+    def shard(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        table = table.combine_chunks()
+        order = pa.array(np.lexsort((table["lo"].to_numpy(), table["th"].to_numpy(), _key(table["id"].to_pylist()))))
+        table = table.take(order).combine_chunks()
+        bodies = table["body"].chunk(0)
+        at = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+        text_ = np.frombuffer(bodies.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        span = np.repeat(np.arange(len(bodies)), np.diff(at))
+        rel = np.arange(len(text_)) - at[span]
+        starts = np.flatnonzero(rel <= (np.diff(at) - length)[span])
+        first = window_groups(text_, starts, length)
+        who, where = span[starts], table["lo"].to_numpy()[span[starts]] + rel[starts]
+        repeat = first != starts
+        hot = np.flatnonzero(~repeat & (table["salt"].to_numpy()[who] >= 0))
+        gone = np.flatnonzero(repeat)
+        lead = np.concatenate([[True], (who[gone][1:] != who[gone][:-1]) | (where[gone][1:] != where[gone][:-1] + 1)]) if len(gone) else np.zeros(0, bool)
+        last = np.concatenate([lead[1:], [True]]) if len(gone) else lead
+        one, two = arrays.prefix_sums(text_), arrays.prefix_sums(text_, _CODE2)
+        s = starts[hot]
+        w1, w2 = arrays.stretch_hashes(one, s, s + length), arrays.stretch_hashes(two, s, s + length)
+        rows = np.concatenate([who[gone[lead]], who[hot]])
+        lo = np.concatenate([where[gone[lead]], where[hot]])
+        stop = np.concatenate([where[gone[last]], where[hot]]) + length
+        done = np.concatenate([np.ones(lead.sum(), bool), np.zeros(len(hot), bool)])
+        keys = [pa.array(np.concatenate([rows[: lead.sum()] * 7919, w.view(np.int64)])) for w in (w1, w2)]
+        take = pa.array(rows)
+        cols = [table["id"].chunk(0).take(take), table["th"].chunk(0).take(take), pa.array(lo.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(done), *keys]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "th", "lo", "stop", "done", "w1", "w2"])
+
+    windows = pieces.mapInArrow(shards, f"id {kind}, th int, lo int, stop int, done boolean, w1 long, w2 long")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeats that shards found pass; of each window's sorted places all but the first become repeats."""
         last = None
         for b in batches:
-            w1, w2 = b.column("w1").to_numpy(), b.column("w2").to_numpy()
+            w1, w2, done = b.column("w1").to_numpy(), b.column("w2").to_numpy(), b.column("done").to_numpy(zero_copy_only=False)
             if not len(w1):
                 continue
-            lead = np.searchsorted(w1, w1, "left")  # the first place of each stretch of equal w1
-            repeat = np.arange(len(w1)) > lead
-            repeat[1:] &= w2[1:] == w2[:-1]
-            repeat[0] = last == (w1[0], w2[0])
-            last = (w1[-1], w2[-1])
-            take = pa.array(np.flatnonzero(repeat))
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("id", "th", "start")], ["id", "th", "start"])
-
-    sorted_places = windows.filter("first").repartition(parts(spark), "w1", "w2").sortWithinPartitions("w1", "w2", "id", "th", "start")
-    across = sorted_places.select("id", "th", "start", "w1", "w2").mapInArrow(merge, f"id {kind}, th long, start int")
-    inside = windows.filter("not first").select("id", "th", "start")
-    parts_of = across.unionAll(inside).select("id", "th", F.col("start").alias("lo"), (F.col("start") + length).alias("stop"))
-    gone = whole.unionAll(parts_of).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "stop")).alias("_cuts"))
+            open_ = np.flatnonzero(~done)  # sorted by w1, w2 and place
+            a, c = w1[open_], w2[open_]
+            repeat = np.arange(len(a)) > np.searchsorted(a, a, "left")
+            if len(a):
+                repeat[1:] &= c[1:] == c[:-1]
+                repeat[0] = last == (a[0], c[0])
+                last = (a[-1], c[-1])
+            take = pa.array(np.concatenate([np.flatnonzero(done), open_[repeat]]))
+            yield pa.RecordBatch.from_arrays([b.column(x).take(take) for x in ("id", "th", "lo", "stop")], ["id", "th", "lo", "stop"])
+
+    merged = windows.repartition(parts(spark), "w1", "w2").sortWithinPartitions("done", "w1", "w2", "id", "th", "lo")
+    across = merged.select("id", "th", "lo", "stop", "done", "w1", "w2").mapInArrow(merge, f"id {kind}, th int, lo int, stop int")
+    gone = whole.unionAll(across).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "stop")).alias("_cuts"))
     gone = gone.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.transform("_cuts", lambda x: x["lo"]).alias("_lo"), F.transform("_cuts", lambda x: x["stop"]).alias("_stop"))
-    rows = docs.select(*own).join(gone, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left").drop("_i", "_t")
+    rows = docs.select(*own_columns).join(gone, F.col(id_col).eqNullSafe(F.col("_i")) & (F.hash(text) == F.col("_t")), "left").drop("_i", "_t")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,8 +400,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     body = body[~bad]
                 kept.append(body.tobytes())
             sha = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-            cols = [b.column(c) for c in own] + [pa.array(kept, pa.binary()), *[pa.array(out[:, k]) for k in range(3)], sha]
-            yield pa.RecordBatch.from_arrays(cols, own + new)
+            cols = [b.column(c) for c in own_columns] + [pa.array(kept, pa.binary()), *[pa.array(out[:, k]) for k in range(3)], sha]
+            yield pa.RecordBatch.from_arrays(cols, own_columns + new)
 
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own_columns).schema.fields)
     return rows.mapInArrow(finish, f"{base}, kept_bytes binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -398,13 +398,14 @@ def brute_suffix(rows, length):
     return Counter((r.doc_id, *out[r.doc_id is not None, r.doc_id or 0, r.th]) for r in rows)
 
 
-@pytest.mark.parametrize("which,shard,inline", [("docs", 1 << 21, True), ("docs", 20_000, True), ("awkward", 1 << 21, False)])
-def test_suffix_dedup(which, shard, inline, request, monkeypatch):
+@pytest.mark.parametrize("which,shard,inline,hot", [("docs", 1 << 21, True, 8192), ("docs", 20_000, True, 2), ("awkward", 1 << 21, False, 8192)])
+def test_suffix_dedup(which, shard, inline, hot, request, monkeypatch):
     df = request.getfixturevalue(which)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
     if not inline:
         monkeypatch.setattr(suffix_dedup, "BROADCAST_PRINTS", -1)
-    rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()
+    rows = df.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("th")).collect()
     got = suffix_dedup.remove_repeats(df).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows, 100)
 
