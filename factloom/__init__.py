@@ -1,0 +1 @@
+"""Fact-graph analytics on Spark: lookup, reachability, blockers, classification, diffs and metrics over DataFrames."""
