@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
+from factloom.llm.common import batched
 
 SPAN = 10
 GRAM = 5
@@ -146,6 +147,7 @@ def decontaminate(
     the names of the new ones are replaced.
     """
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    batched(docs.sparkSession)
     own = [c for c in docs.columns if c not in new]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     base = ", ".join(f"`{c}` {kinds[c]}" for c in own)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import cut, parts, small
+from factloom.llm.common import batched, cut, parts, small
 from factloom.llm.components import components
 
 SHINGLE = 5
@@ -178,6 +178,7 @@ def join_documents(docs: DataFrame, threshold: str = THRESHOLD, trees: int = TRE
     class that has another id; equal rows count as copies; similarity exactly at the threshold counts (compared as
     integers); an empty table gives an empty result; other columns are not read.
     """
+    batched(docs.sparkSession)
     ratio = Fraction(threshold)
     depth = depth_for(float(ratio), trees, recall)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import crc_fold
+from factloom.llm.common import batched, crc_fold
 
 BUCKETS = 256
 META = 512
@@ -181,6 +181,7 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars") -> Model:
     """Co-train on at most ``max_rows`` labelled rows (half of each label as far as there are such, outside fold 2 of 4)
     and as many unlabelled ones, picked by hash of the id. Features are made on the executors."""
+    batched(docs.sparkSession)
     order = F.xxhash64("_lid")
     marked = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, 4) != 2))
     marked = marked.groupBy(F.col(id_col).alias("_lid")).agg(F.max("quality").cast("int").alias("_y"))
@@ -210,6 +211,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     Null texts are empty; null metadata is a value of its own; null or repeated ids give a row each; other columns are not
     read; an empty table gives an empty result.
     """
+    batched(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import cut, parts, small, stored
+from factloom.llm.common import batched, cut, parts, small, stored
 
 LENGTH = 100
 GRAM = 24
@@ -227,6 +227,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     ones are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    batched(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     new = ["kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     own_columns = [c for c in docs.columns if c not in new]
