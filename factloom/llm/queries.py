@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import decontam, line_dedup, mixing, ngram_join, ppm, quality, sharding, suffix_dedup, topk, toxicity
 from factloom.llm.common import table
+from factloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: The mix of the registered query and of the pipeline: weights of tree nodes among their siblings.
 WEIGHTS = {"broad": 3.0, "niche": 2.0, "broad/en": 4.0, "broad/de": 2.0, "niche/en": 3.0}
@@ -66,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_sharding, op2_toxicity, op3_quality_cotraining, op4_mixing, op5_ngram_jaccard_join, op6_decontamination, op7_lm_scoring, op8_exact_topk, op9_suffix_dedup, op10_line_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
