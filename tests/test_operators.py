@@ -1,6 +1,7 @@
 """Contracts of single operators on hand-made rows."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -91,7 +92,9 @@ def test_stream_of_calls(spark, tmp_path):
     source.mkdir()
     events = [("t1", 1, "call", "a"), ("t1", 2, "call", "b"), ("t1", 3, "return", "b"), ("t2", 1, "call", "z"), ("t1", 4, "call", "c")]
     for k, batch in enumerate([events[:2], events[2:]]):
-        (source / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("thread", "seq", "event", "name"), e))) for e in batch))
+        path = source / f"{k}.json"
+        path.write_text("\n".join(json.dumps(dict(zip(("thread", "seq", "event", "name"), e))) for e in batch))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in the order of their times
     stream = spark.readStream.schema("thread string, seq long, event string, name string").option("maxFilesPerTrigger", 1).json(str(source))
     q = trace.stack_edges(stream).writeStream.format("memory").queryName("calls").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
