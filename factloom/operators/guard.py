@@ -31,3 +31,24 @@ def feedback(static: DataFrame, observed: DataFrame, keys: list[str]) -> DataFra
     s, o = static.select(*keys).distinct(), observed.select(*keys).distinct()
     missing = o.join(s, keys, "left_anti").withColumn("kind", F.lit("missing_static"))
     return missing.unionByName(s.join(o, keys, "left_anti").withColumn("kind", F.lit("unobserved")))
+
+
+def claims(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """(idx, outcome, finding): each baseline row claims the one current finding with its keys.
+
+    ``baseline`` (idx, keys), ``current`` (finding, keys). outcome: matched, taken (an earlier row has the finding),
+    ambiguous (several findings) or missing. Null keys match nothing. Findings are counted before the join, so a key that
+    many findings share moves one row.
+    """
+    found = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("finding").alias("_finding"))
+    first = baseline.groupBy(*keys).agg(F.min("idx").alias("_first"))
+    joined = baseline.join(found.join(first, keys), keys, "left")
+    outcome = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").when(F.col("idx") == F.col("_first"), "matched").otherwise("taken")
+    return joined.select("idx", outcome.alias("outcome"), F.when(F.col("_n") == 1, F.col("_finding")).alias("finding"))
+
+
+def surface_changes(before: DataFrame, after: DataFrame, key: str, visibility: str) -> DataFrame:
+    """Public definitions that were added, removed or changed their visibility; equal ones are left out."""
+    changed = changes(before, after, key, visibility).filter("change <> 'same'")
+    public = (F.col("before_state") == "public") | (F.col("after_state") == "public")
+    return changed.filter(F.coalesce(public, F.lit(False))).withColumn("change", F.when(F.col("change") == "changed", "visibility_changed").otherwise(F.col("change")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,12 +30,14 @@ def edges_of(evidence: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     return ends, evidence.join(ends.select("evidence_id"), "evidence_id", "left_anti")
 
 
-def ordered_lookup(sites: DataFrame, chains: DataFrame, methods: DataFrame) -> DataFrame:
+def ordered_lookup(sites: DataFrame, chains: DataFrame, methods: DataFrame, only: Column | None = None) -> DataFrame:
     """All definitions at the first owner of a site's chain that defines the message (ties stay: rank, not row_number).
 
     ``sites`` (site, owner, message); ``chains`` (owner, pos, candidate); ``methods`` (candidate, message, definition_id).
+    ``only``: a condition on the places of a chain that count.
     """
-    found = sites.join(chains, "owner").join(methods, ["candidate", "message"])
+    places = sites.join(chains, "owner")
+    found = (places if only is None else places.filter(only)).join(methods, ["candidate", "message"])
     first = Window.partitionBy("site").orderBy("pos")
     return found.withColumn("_rank", F.rank().over(first)).filter("_rank = 1").drop("_rank")
 

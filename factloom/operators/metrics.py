@@ -53,4 +53,14 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.max("_total").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.sum(F.col(value) * F.col("_n")) / F.max("_total"), 4).alias("mean"), at(50).alias("p50"), at(95).alias("p95"))
 
 
-__all__ = ["retrieval", "nullable_precision", "macro", "tool_matrix", "distribution", "nearest_rank"]
+def performance_gate(measured: DataFrame, limits: DataFrame, corpus: str, values: list[str]) -> DataFrame:
+    """(corpus, metric, value, cap, passed): every limit beside its measurement; one that was not measured fails.
+
+    ``limits`` has the columns of ``measured``; a NULL limit is no limit and gives no row.
+    """
+    long = lambda rows, name: rows.unpivot([corpus], values, "metric", name)
+    joined = long(limits, "cap").filter("cap IS NOT NULL").join(long(measured, "value"), [corpus, "metric"], "left")
+    return joined.select(corpus, "metric", "value", "cap", F.coalesce(F.col("value") <= F.col("cap"), F.lit(False)).alias("passed"))
+
+
+__all__ = ["retrieval", "nullable_precision", "macro", "tool_matrix", "distribution", "performance_gate", "nearest_rank"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,3 +53,10 @@ def parent_edges(calls: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(parent, child, n): consecutive calls of one thread, counted."""
     before = F.lag("name").over(Window.partitionBy(key).orderBy(*order))
     return calls.withColumn("parent", before).filter("parent is not null").groupBy("parent", F.col("name").alias("child")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def executed_lines(counts: Column) -> Column:
+    """Executed line numbers of an array of counts by position; an array of positive values only lists the lines itself."""
+    positive = F.forall(counts, lambda x: F.coalesce(x > 0, F.lit(False)))
+    placed = F.filter(F.transform(counts, lambda x, i: F.when(x > 0, (i + 1).cast("long"))), lambda x: x.isNotNull())
+    return F.when(positive, F.array_distinct(counts.cast("array<long>"))).otherwise(placed)

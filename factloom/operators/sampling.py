@@ -22,3 +22,12 @@ def stratified(rows: DataFrame, strata: str, key: str, k: int, seed: str) -> Dat
     """k rows of each stratum in the order of a seeded digest: the same rows on every run and engine."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     return top_per_key(rows.withColumn("_digest", digest), [strata], ["_digest", key], k).drop("_digest")
+
+
+def review_queue(rows: DataFrame, levels: dict[str, list[str]], then: list, k: int = 300) -> DataFrame:
+    """The first k rows by listed enum columns (values not listed, and null, last), then by ``then``.
+
+    Spark keeps k rows a task and merges them (TakeOrderedAndProject): no full sort.
+    """
+    order = [F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)), F.lit(0)), F.lit(len(values) + 1)) for c, values in levels.items()]
+    return rows.orderBy(*order, *then).limit(k)

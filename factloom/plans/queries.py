@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
-from factloom.operators import blockers, classify, evidence, fixpoint, guard, lookup, metrics, runtime, sampling, text
+from factloom.operators import blockers, classify, dispatch, evidence, fixpoint, guard, lookup, metrics, runtime, sampling, text
 from factloom.sources.facts import snapshot_digest
 from factloom.sources.tables import supply_edges, supply_nodes, supply_roots, table
 
@@ -450,3 +450,65 @@ def set_ops(spark, sf_dir):
 @query(None)
 def snapshot(spark, sf_dir):
     return snapshot_digest(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+
+
+@query("""SELECT c_custkey AS site, s_suppkey AS definition_id FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey
+JOIN supplier ON s_nationkey = b.n_nationkey AND s_suppkey % 10 = c_custkey % 10""")
+def super_lookup_suffix(spark, sf_dir):
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    own = n.select(F.col("n_nationkey").alias("owner"), F.lit(0).alias("pos"), F.col("n_nationkey").alias("candidate"))
+    a, b = n.alias("a"), n.alias("b")
+    near = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey"))).select(F.col("a.n_nationkey").alias("owner"), F.lit(1).alias("pos"), F.col("b.n_nationkey").alias("candidate"))
+    methods = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("candidate"), (F.col("s_suppkey") % 10).alias("message"), F.col("s_suppkey").alias("definition_id"))
+    sites = c.select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("owner"), F.col("c_nationkey").alias("current"), (F.col("c_custkey") % 10).alias("message"))
+    return dispatch.super_lookup(sites, own.unionByName(near), methods).select("site", "definition_id")
+
+
+@query("""WITH b AS (SELECT o_orderkey AS idx, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), c AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS f FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1)
+SELECT idx, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN idx = min(idx) OVER (PARTITION BY b.o_custkey) THEN 'matched' ELSE 'taken' END AS outcome, CASE WHEN n = 1 THEN f END AS finding
+FROM b LEFT JOIN c ON c.o_custkey = b.o_custkey""")
+def baseline_claims(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    baseline = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("idx"), "o_custkey")
+    return guard.claims(baseline, o.filter("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("finding"), "o_custkey"), ["o_custkey"])
+
+
+@query(f"""WITH b AS (SELECT o_custkey, CASE WHEN max(o_orderstatus) = 'P' THEN 'public' ELSE 'private' END AS s FROM orders WHERE o_orderdate < '{SPLIT}' GROUP BY 1),
+a AS (SELECT o_custkey, CASE WHEN max(o_orderstatus) = 'P' THEN 'public' ELSE 'private' END AS s FROM orders WHERE o_orderdate >= '{SPLIT}' GROUP BY 1)
+SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, b.s AS before_state, a.s AS after_state, CASE WHEN b.s IS NULL THEN 'added' WHEN a.s IS NULL THEN 'removed' ELSE 'visibility_changed' END AS change
+FROM b FULL JOIN a ON a.o_custkey = b.o_custkey WHERE b.s IS DISTINCT FROM a.s AND (b.s = 'public' OR a.s = 'public')""")
+def public_surface_changes(spark, sf_dir):
+    named = [s.withColumn("state", F.when(F.col("state") == "P", "public").otherwise("private")) for s in _states(spark, sf_dir)]
+    return guard.surface_changes(*named, "o_custkey", "state")
+
+
+@query("""SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders
+ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 3 END, o_totalprice DESC, o_orderkey LIMIT 300""")
+def review_queue_topk(spark, sf_dir):
+    levels = {"o_orderpriority": ["1-URGENT", "2-HIGH"], "o_orderstatus": ["F", "P"]}
+    return sampling.review_queue(table(spark, sf_dir, "orders"), levels, [F.col("o_totalprice").desc(), "o_orderkey"]).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+@query("""WITH c AS (SELECT p_partkey, [p_size % 3, p_partkey % 2, CASE WHEN p_size > 20 THEN p_size END] AS v FROM part), x AS (SELECT p_partkey, v, unnest(v) AS n, generate_subscripts(v, 1) AS i FROM c)
+SELECT DISTINCT p_partkey, CASE WHEN v[1] > 0 AND v[2] > 0 AND coalesce(v[3] > 0, false) THEN n ELSE i END AS line FROM x WHERE n > 0""")
+def coverage_executed_lines(spark, sf_dir):
+    counts = F.array((F.col("p_size") % 3).cast("long"), F.col("p_partkey") % 2, F.when(F.col("p_size") > 20, F.col("p_size").cast("long")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(runtime.executed_lines(counts)).alias("line"))
+
+
+@query("""WITH m AS (SELECT event_type, avg(value) AS mean, max(value) AS high FROM events GROUP BY 1), v AS (SELECT event_type, 'mean' AS metric, mean AS value, 100.0::DOUBLE AS cap FROM m UNION ALL SELECT event_type, 'high', high, 500.0::DOUBLE FROM m)
+SELECT event_type, metric, round(value, 6) AS value, cap, coalesce(value <= cap, false) AS passed FROM v""")
+def performance_gate(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    measured = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.max("value").alias("high"))
+    limits = e.select("event_type").distinct().withColumn("mean", F.lit(100.0)).withColumn("high", F.lit(500.0))
+    return metrics.performance_gate(measured, limits, "event_type", ["mean", "high"]).withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND (l_linestatus = 'F' AND l_linenumber % 3 > 0) GROUP BY ALL""")
+def private_target_rejects(spark, sf_dir):
+    out = dispatch.private_rejected(
+        F.when(F.col("l_returnflag") == "R", "private").otherwise("public"), F.when(F.col("l_linestatus") == "F", "constant").otherwise("self"),
+        F.when(F.col("l_linenumber") % 3 == 0, "send"), F.lit(None).cast("boolean"),
+    )
+    return table(spark, sf_dir, "lineitem").filter(out).groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))

@@ -111,3 +111,38 @@ def test_plug_in_analyzer(spark):
 
     given = {"nodes": spark.createDataFrame([(x,) for x in "rabc"], "node string"), "roots": spark.createDataFrame([("runtime", "r")], "domain string, node string")}
     assert rows(analyzers.run(given, [One()]).select("node", "classification")) == [("b", "unreachable"), ("c", "blocked")]
+
+
+def test_arity_and_private(spark):
+    from factloom.operators import dispatch
+
+    rows = [
+        (1, 1, [], 1, 2, [], [], False, False),
+        (2, 0, [], 1, 2, [], [], False, True),
+        (3, 3, [], 1, 2, [], [], False, True),
+        (4, 9, [], 1, None, [], [], False, False),
+        (5, 1, ["a"], 1, 1, [], [], False, True),  # keywords become a positional
+        (6, 1, ["a"], 2, 2, None, None, None, False),
+        (7, 1, ["a"], 1, 1, ["a"], ["a"], False, False),
+        (8, 1, [], 1, 1, ["a"], ["a"], False, True),
+        (9, 1, ["b"], 1, 1, [], ["a"], False, True),
+        (10, 1, ["b"], 1, 1, [], [], True, False),
+    ]
+    df = spark.createDataFrame(rows, "i int, g int, kw array<string>, lo int, hi int, req array<string>, acc array<string>, rest boolean, want boolean")
+    got = df.withColumn("got", dispatch.arity_rejected(*[F.col(c) for c in ("g", "kw", "lo", "hi", "req", "acc", "rest")]))
+    assert [r.i for r in got.collect() if r.got != r.want] == []
+    calls = [(1, "private", "constant", None, None, True), (2, "private", "self", None, None, False), (3, "private", None, "send", None, False), (4, "private", "constant", "respond_to?", False, True),
+             (5, "private", "constant", "respond_to?", True, False), (6, "private", "constant", "respond_to?", None, False), (7, None, None, None, None, False), (8, "public", "constant", None, None, False)]
+    df = spark.createDataFrame(calls, "i int, v string, r string, o string, p boolean, want boolean")
+    got = df.withColumn("got", dispatch.private_rejected(*[F.col(c) for c in ("v", "r", "o", "p")]))
+    assert [r.i for r in got.collect() if r.got != r.want] == []
+
+
+def test_super_starts_after_the_current_owner(spark):
+    from factloom.operators import dispatch
+
+    sites = spark.createDataFrame([(1, "A", "A", "m"), (2, "A", "B", "m"), (3, "A", "X", "m"), (4, None, None, "m")], "site int, owner string, current string, message string")
+    chains = spark.createDataFrame([("A", 0, "A"), ("A", 1, "B"), ("A", 2, "C")], "owner string, pos int, candidate string")
+    methods = spark.createDataFrame([("A", "m", "a"), ("B", "m", "b1"), ("B", "m", "b2"), ("C", "m", "c")], "candidate string, message string, definition_id string")
+    got = sorted((r.site, r.definition_id) for r in dispatch.super_lookup(sites, chains, methods).collect())
+    assert got == [(1, "b1"), (1, "b2"), (2, "c")]
