@@ -1,20 +1,20 @@
 """Language-model scoring by prediction by partial matching, beside a smoothed unigram base score.
 
-Spark counts the byte contexts of the training documents (an order-K trie, one row for each context and next byte). From
-the counts the code length of every byte in every context is worked out once: escape estimation by method C, going down
-the orders with symbol exclusion, to a uniform code over the bytes that are left. A document's score is then a sum of
-table look-ups over its whole text and an end mark; the texts are pretrained-coded, so documents don't depend on another.
+Spark counts the byte contexts of the training documents (an order-K trie, one row for each context and next byte) and
+works out the code length of every byte in every context that some document asks for: escape estimation by method C, going
+down the orders with symbol exclusion, to a uniform code over the bytes that are left. A document's score is then a sum of
+look-ups over its whole text and an end mark; the texts are pretrained-coded, so documents don't depend on another.
 
-The trie's order is the largest up to ``ORDER`` whose table (contexts times alphabet) has at most ``MAX_CELLS`` cells,
-which bounds the table and so the counts that are broadcast; order 1 fits always.
+The order is the same at every size, and every context counts, also one that occurred once. Neither the trie nor the
+unigram counts have a size bound, so they are never broadcast: documents are dealt into blocks, each block sends its
+distinct grams and words with their counts to these's partitions, and only their code lengths, and the words whose total
+differs from the block's own count, come back. Orders 0 and 1 alone (65,536 cells by the alphabet) go to all tasks.
 
-Unigram counts have no size bound, so they are never broadcast: documents are dealt into blocks, each block sends its
-words' counts to the words' partitions, and only words whose total differs from the block's own count come back.
+``build``, ``train`` and ``text_scores`` are a model in memory, for small tables; ``score_documents`` doesn't use them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.llm import arrays
-from factloom.llm.common import batched, crc_fold, stored
+from factloom.llm.common import batched, crc_fold
 
 ORDER = 5
-MAX_CELLS = 30_000_000  # of four bytes
-MIN_COUNT = 2  # contexts that occurred once only are left to the next order
+MAX_CELLS = 30_000_000  # of four bytes, of the model in memory only
+MIN_COUNT = 2  # of the model in memory only: contexts that occurred once are left to the next order
 END = 0xFF  # never a byte of UTF-8: ends a text
 PAD = 0xFE  # never a byte of UTF-8: stands before a text
 BLOCK_ROWS = 1500
@@ -198,42 +198,72 @@ def text_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return np.add.reduceat(log.astype(np.float64), at[:-1])
 
 
-@dataclass(frozen=True)
-class Counts:
-    """The trie's counts as they are broadcast: a few bytes for each gram, where the code lengths take four a cell."""
-
-    name: str
-    grams: np.ndarray
-    counts: np.ndarray
-    order: int
-
-
-_BUILT: dict[str, Model] = {}
-
+def train(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS) -> Model:
+    """The model in memory of the documents' ``_text``, of the largest order whose table has at most ``max_cells`` cells."""
+    kept = count_grams(docs, order).toArrow()
+    grams, counts = kept["gram"].to_numpy(), kept["n"].to_numpy()
+    while True:
+        grams, counts = _group(grams & ((1 << (8 * (order + 1))) - 1), counts)
+        seen = _group(grams >> 8, counts)[1]
+        if order == 1 or (seen >= MIN_COUNT).sum() * (len(np.unique(grams & 255)) + 2) <= max_cells:
+            return build(grams, counts, order)
+        order -= 1
 
-def model_of(counts: Counts) -> Model:
-    """The model of some counts, built once in a process."""
-    if counts.name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[counts.name] = build(counts.grams, counts.counts.astype(np.int64), counts.order)
-    return _BUILT[counts.name]
 
+def packed_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order + 1 bytes that end at each byte of the texts and at their ends, packed big-endian; and their rows."""
+    text, at = padded(data, offsets, order)
+    packed = np.zeros(max(len(text) - order, 0), np.uint64)
+    for k in range(order + 1):
+        packed = (packed << np.uint64(8)) | text[k : k + len(packed)]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
+    return packed[np.arange(len(row)) + row * order], row
 
-def gather(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS) -> Counts:
-    """The counts of the documents' ``_text``, of the largest order whose table has at most ``max_cells`` cells."""
-    grams = stored(count_grams(docs, order))
-    symbols = grams.agg(F.count_distinct(F.col("gram").bitwiseAND(F.lit(255)))).first()[0]
-    while order > 1:
-        contexts = grams.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * order)) - 1))).agg(F.sum("n").alias("n"))
-        if contexts.filter(F.col("n") >= MIN_COUNT).count() * (symbols + 2) <= max_cells:
-            break
-        order -= 1
-    kept = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow().sort_by("gram")
-    return Counts(str(uuid.uuid4()), kept["gram"].to_numpy(), kept["n"].to_numpy(), order)
 
+def gram_costs(grams: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """log10 probability of the last byte of each distinct gram after those before it.
 
-def train(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS) -> Model:
-    return model_of(gather(docs, order, max_cells))
+    ``grams`` (any order of rows, count 0 where the training texts lack it) hold all trained grams whose contexts end in the
+    same two bytes as one of them; ``pairs`` are the counts of all grams of order 1 of the training texts, sorted.
+    """
+    grams = grams.astype(np.uint64)
+    mask = [np.uint64((1 << (8 * k)) - 1) for k in range(order + 2)]
+    eight, trained = np.uint64(8), counts > 0
+    levels = []
+    for k in range(order + 1):
+        source = (pairs[0].astype(np.uint64), pairs[1]) if k < 2 else (grams[trained], counts[trained])
+        keys, n = _group(source[0] & mask[k + 1], source[1])
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] >> eight != keys[:-1] >> eight])) if len(keys) else np.zeros(0, np.int64)
+        contexts = keys[edge] >> eight
+        levels.append((keys, n, edge, contexts, np.add.reduceat(n, edge) if len(edge) else n, np.diff(np.append(edge, len(keys)))))
+
+    def find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(sorted_):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+        return np.where(sorted_[at] == wanted, at, -1)
+
+    out, escape, done, above = np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams), bool), np.full(len(grams), -1)
+    for k in range(order, -1, -1):
+        keys, n, _, contexts, total, distinct = levels[k]
+        here = find(contexts, (grams >> eight) & mask[k])
+        at = find(keys, grams & mask[k + 1])
+        live, left = np.where(here >= 0, total[here] if len(total) else 0, 0), np.where(here >= 0, distinct[here] if len(total) else 0, 0)
+        if k < order and len(levels[k + 1][0]):
+            # What the next longer context has seen is excluded; its symbols are among this context's.
+            upper, _, edge, longer, _, theirs = levels[k + 1]
+            under = n[find(keys, upper & mask[k + 1])]
+            known = above >= 0
+            live = live - np.where(known, np.add.reduceat(under, edge)[above], 0)
+            left = left - np.where(known, theirs[above], 0)
+        base = np.maximum(live + left, 1)
+        hit = (at >= 0) & ~done
+        out[hit] = escape[hit] + np.log10(n[at[hit]] / base[hit])
+        done |= hit
+        escape += np.log10(np.where(left > 0, left, 1) / np.where(left > 0, base, 1))
+        above = here
+    out[~done] = escape[~done] - np.log10(max(256 - len(levels[0][0]), 1))
+    return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +301,37 @@ def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["block", "w", "c"])
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def block_grams(order: int):
+    """(block, w, c): every gram of each block with its number of training occurrences in the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            data, offsets = arrays.text_buffers(b.column("_text"))
+            block, train_ = b.column("block").to_numpy(), ~b.column("held_out").to_numpy(zero_copy_only=False)
+            for i, j in arrays.chunks(offsets):
+                packed, row = packed_grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
+                owner = row + i
+                for k in np.unique(block[i:j]).tolist():
+                    mine = block[owner] == k
+                    found = _group(packed[mine], train_[owner[mine]].astype(np.int64))
+                    if k in held:
+                        found = _group(np.concatenate([held[k][0], found[0]]), np.concatenate([held[k][1], found[1]]))
+                    held[k] = found
+            while sum(len(w) for w, _ in held.values()) > 1_000_000:
+                k = next(iter(held))
+                yield _rows(k, *held.pop(k))
+        for k, found in held.items():
+            yield _rows(k, *found)
+
+    return run
+
+
+def _rows(block: int, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["block", "w", "c"])
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Training rows are those outside fold 2 of 7. Null texts are empty: one end token and the end symbol. Null ids are
@@ -281,7 +341,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CE
     batched(docs.sparkSession)
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), (crc_fold(id_col, 7) == 2).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shared = spark.sparkContext.broadcast(gather(rows.filter("not held_out"), order, max_cells))
+    low = count_grams(rows.filter("not held_out"), 1).toArrow().sort_by("gram")
+    pairs = spark.sparkContext.broadcast((low["gram"].to_numpy(), low["n"].to_numpy()))
     sizes = docs.agg(F.count(F.lit(1)), F.count_if(crc_fold(id_col, 7) != 2)).first()
     blocks = max(1, -(-sizes[0] // block_rows))
     ends = sizes[1]
@@ -291,18 +352,36 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CE
     over = Window.partitionBy("w")
     totals = words.withColumn("total", F.sum("c").over(over)).withColumn("_first", F.row_number().over(over.orderBy("block")) == 1)
     stats = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_words"), F.count_if(F.col("_first") & (F.col("total") > 0)).alias("_distinct"))
-    foreign = totals.filter("total <> c").select("block", "w", "total")
+    foreign = totals.filter("total <> c").select("block", "w", F.col("total").cast("double").alias("v"))
+
+    def cost(group: pa.Table) -> pa.Table:
+        found = gram_costs(group.column("w").to_numpy(), group.column("n").to_numpy(), pairs.value, order)
+        return pa.table({"w": group.column("w"), "v": found.astype(np.float32)})
+
+    # Both uses below need all columns and the join's null filter, so that the grams are made and shuffled once.
+    asked = dealt.mapInArrow(block_grams(order), "block long, w long, c long").filter("w is not null")
+    summed = asked.withColumn("n", F.sum("c").over(over)).withColumn("_r", F.row_number().over(over.orderBy("block")))
+    ending = F.shiftright("w", 8).bitwiseAND(F.lit(0xFFFF if order > 1 else 0xFF))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    costs = summed.filter("_r = 1").select("w", "n", F.pmod(F.xxhash64(ending), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(cost, "w long, v float")
+    back = summed.filter("n >= 0 and _r > 0").select("block", "w").join(costs, "w").select("block", "w", F.col("v").cast("double"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
         data, offsets = arrays.text_buffers(left.column("_text"))
         held = left.column("held_out").to_numpy()
-        w, c = right.column("w").to_numpy().view(np.uint64), right.column("total").to_numpy()
+        w, v = right.column("w").to_numpy().view(np.uint64), right.column("v").to_numpy()
+        gram = v < 0  # code lengths of grams; totals of words are above 0
+        keys, costs_ = w[gram], v[gram]
+        sort = np.argsort(keys)
+        keys, costs_ = keys[sort], costs_[sort]
+        w, c = w[~gram], v[~gram]
         out = np.zeros((n, 4))
         hashes, bounds = [], np.zeros(n + 1, np.int64)
         for i, j in arrays.chunks(offsets):
             piece, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            out[i:j, 3] = text_scores(model_of(shared.value), piece, at)
+            packed, row = packed_grams(piece, at, order)
+            out[i:j, 3] = np.bincount(row, weights=costs_[np.searchsorted(keys, packed)], minlength=j - i)
             h, b = tokens(piece, at)
             bounds[i + 1 : j + 1] = bounds[i] + b[1:]
             hashes.append(h)
@@ -320,7 +399,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CE
         return pa.table({"_id": left.column("_id"), "held_out": left.column("held_out"), "n_tokens": out[:, 0].astype(np.int64), "_known": out[:, 1].astype(np.int64), "_logs": out[:, 2], "score": out[:, 3]})
 
     schema = f"_id {kind}, held_out boolean, n_tokens long, _known long, _logs double, score double"
-    scored = dealt.groupBy("block").cogroup(foreign.groupBy("block")).applyInArrow(score, schema)
+    scored = dealt.groupBy("block").cogroup(foreign.unionByName(back).groupBy("block")).applyInArrow(score, schema)
     joined = scored.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
     total, ended = F.col("_words") + ends, F.lit(ends)
     vocabulary = F.col("_distinct") + (1 if ends else 0)
