@@ -65,7 +65,7 @@ def nearest(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def witness_paths(reached: DataFrame, targets: DataFrame, max_hops: int = 200) -> DataFrame:
-    """(node, path): root-to-node paths along the stored predecessors, for bounded targets."""
+    """(node, path): root-to-node paths along the stored predecessors, for bounded targets; raises if one is longer than ``max_hops``."""
     now = cut(targets.select("node", F.col("node").alias("at"), F.array("node").alias("path")))
     done = []
     for _ in range(max_hops):
@@ -74,6 +74,8 @@ def witness_paths(reached: DataFrame, targets: DataFrame, max_hops: int = 200) -
         now = cut(step.filter("pred is not null").select("node", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path")))
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError("witness_paths did not settle")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -91,7 +91,7 @@ def reach_hops(spark, sf_dir):
 
 @query(None)
 def witness_path(spark, sf_dir):
-    reached = fixpoint.reach(supply_edges(spark, sf_dir), supply_roots(spark, sf_dir, {"runtime": 3}))
+    reached = fixpoint.reach(supply_edges(spark, sf_dir, all_lines=True), supply_roots(spark, sf_dir, {"runtime": 3}))
     return fixpoint.witness_paths(reached, reached.select("node")).select("node", F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
 
 

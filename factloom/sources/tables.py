@@ -10,9 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply_edges(spark: SparkSession, sf_dir: str, quantity: float = 49, discount: float = 0.09) -> DataFrame:
-    """(src, dst): supplier to part and part to supplier, from large discounted lines."""
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount))
+def supply_edges(spark: SparkSession, sf_dir: str, quantity: float = 49, discount: float = 0.09, all_lines: bool = False) -> DataFrame:
+    """(src, dst): supplier to part and part to supplier, from all lines or from large discounted ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    if not all_lines:
+        lines = lines.filter((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount))
     pair = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("p")).distinct()
     return pair.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(pair.select(F.col("p").alias("src"), F.col("s").alias("dst")))
 
