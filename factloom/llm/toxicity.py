@@ -5,13 +5,14 @@ logistic layer. A filter is linear before its maximum, so scoring needs one tabl
 offset: a position's response is a sum of ``width`` table rows, and whole texts of any length are scored in pieces.
 
 The training sample is bounded by ``MAX_TRAIN_ROWS``. Thresholds are calibrated for each language, which is told from the
-text's own function words (never from a column), and each language's threshold is moved to a score of 0.3.
+text's own function words (never from a column), on all labelled rows outside the held-out fold and the fit, as a histogram
+of scores weighted to the labels' true rate; each language's threshold is moved to a score of 0.3.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ EPOCHS = 4
 MIN_STEPS = 200
 BATCH = 32
 THRESHOLD = 0.3
+BIN, BINS = 1 / 64, 1 << 13  # width and number of the bins of the histogram of logits
 #: Fixed function words by language, for guessing a text's language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for with as on be by this are from".split(),
@@ -130,7 +132,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: np.ndarray, seed: i
     """Fit by Adam on cross-entropy; thresholds maximise F1 on every fifth row, which is kept out of the fit."""
     rng = np.random.default_rng(seed)
     k = len(FUNCTION_WORDS)  # the number of languages
-    hold = np.arange(len(docs)) % 5 == 4
+    hold = kept_out(len(docs))
     fit = np.flatnonzero(~hold)
     n_filters = FILTERS * len(WIDTHS)
     emb = rng.normal(0, 0.1, (KINDS * BUCKETS, DIM)).astype(np.float32)
@@ -207,6 +209,11 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: np.ndarray, seed: i
     return Model(tuple(tuple(t) for t in tables), bias, weights, float(intercept[0]), thresholds)
 
 
+def kept_out(n: int) -> np.ndarray:
+    """The rows of the training sample that are not fitted."""
+    return np.arange(n) % 5 == 4
+
+
 def association(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """By bucket: standardised surplus of toxic documents that hold it."""
     n, n1 = len(docs), float(labels.sum())
@@ -231,8 +238,60 @@ def best_threshold(z: np.ndarray, y: np.ndarray, default: float = 0.0) -> float:
     return float((z[order[i]] + below) / 2)
 
 
+def binned_threshold(clean: np.ndarray, toxic: np.ndarray, rate: tuple[float, float], default: float) -> float:
+    """The middle of the best F1 gap of two histograms of logits, whose rows weigh ``rate`` (clean, toxic).
+
+    ``default`` with fewer than 20 rows or 5 of either label.
+    """
+    if clean.sum() + toxic.sum() < 20 or min(clean.sum(), toxic.sum()) < 5:
+        return default
+    held = np.flatnonzero(clean + toxic)[::-1]
+    hits, false = np.cumsum(toxic[held]) * rate[1], np.cumsum(clean[held]) * rate[0]
+    i = int((2 * hits / (hits + false + hits[-1])).argmax())
+    low = held[i] - BINS // 2
+    below = held[i + 1] - BINS // 2 + 1 if i + 1 < len(held) else low - 1
+    return float((low + below) / 2 * BIN)
+
+
+def calibrate(docs: DataFrame, marked: DataFrame, model: Model, used: list[str], id_col: str, text_col: str) -> Model:
+    """``model`` with thresholds from all rows of ``docs`` that ``marked`` (_lid, _toxic) labels, but for the ids ``used``.
+
+    Documents are scored before the join, so that no text is shuffled. The rows weigh as much as makes up the label's share
+    among all labelled rows of the language, the fitted ones too.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z, lang = logits_of(shared.value, b.column("_text"))
+            at = np.clip(np.floor(z / BIN) + BINS // 2, 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("_did"), pa.array(lang.astype(np.int32)), pa.array(at)], ["_did", "lang", "bin"])
+
+    source = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_text")).filter(F.col("_did").isNotNull() & (crc_fold("_did", 4) != 2))
+    scored = source.mapInArrow(run, f"_did {docs.schema[id_col].dataType.simpleString()}, lang int, bin int")
+    fitted = F.broadcast(spark.createDataFrame([(x,) for x in used], "_used string").distinct())
+    flagged = marked.join(fitted, F.col("_lid").cast("string") == F.col("_used"), "left")
+    joined = scored.join(flagged, F.col("_did") == F.col("_lid"))
+    found = joined.groupBy("lang", "bin", (F.col("_toxic") > 0).cast("int").alias("toxic"), F.col("_used").isNotNull().alias("used")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lang, at, toxic, used_, n = (found[c].to_numpy() for c in ("lang", "bin", "toxic", "used", "n"))
+    k = len(FUNCTION_WORDS) + 1
+    total = np.bincount(lang * 2 + toxic, weights=n, minlength=2 * k).reshape(k, 2)
+    free = ~used_.astype(bool)
+    counts = np.bincount(((lang * 2 + toxic) * BINS + at)[free], weights=n[free], minlength=2 * k * BINS).reshape(k, 2, BINS)
+
+    def best(whole: np.ndarray, bins: np.ndarray, default: float) -> float:
+        rate = whole / np.maximum(bins.sum(1), 1)
+        return binned_threshold(bins[0], bins[1], (rate[0], rate[1]), default)
+
+    overall = best(total.sum(0), counts.sum(0), float("nan"))
+    fallback = model.thresholds if np.isnan(overall) else np.full(k, overall)
+    return replace(model, thresholds=np.array([best(total[c], counts[c], float(fallback[c])) for c in range(k)]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Train on a bounded sample of labelled rows outside fold 2 of 4: half toxic and half clean as far as there are such.
+    The thresholds are calibrated on all labelled rows outside that fold that are not fitted.
 
     Conflicting or repeated labels of one id: the highest counts. Rows without a label or text row are not used.
     """
@@ -253,19 +312,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = texts.mapInArrow(ids, "id string, toxic int, ids binary, lang int").toArrow().to_pandas()
     rows = rows.sort_values(["id", "ids"]).drop_duplicates("id").sample(frac=1.0, random_state=5) if len(rows) else rows
-    return train([np.frombuffer(x, np.int32).reshape(-1, KINDS) for x in rows["ids"]], rows["toxic"].to_numpy(np.float32), rows["lang"].to_numpy(np.int64))
+    model = train([np.frombuffer(x, np.int32).reshape(-1, KINDS) for x in rows["ids"]], rows["toxic"].to_numpy(np.float32), rows["lang"].to_numpy(np.int64))
+    if not model.weights.any():
+        return model  # one label only
+    return calibrate(docs, marked, model, rows["id"][~kept_out(len(rows))].tolist(), id_col, text_col)
 
 
-def score_batch(model: Model, col: pa.Array) -> np.ndarray:
-    """Calibrated scores of a text column: 0.3 is each language's threshold."""
+def logits_of(model: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The logits and the languages of a text column."""
     data, offsets = arrays.text_buffers(col)
-    out = np.zeros(len(offsets) - 1)
+    out, lang = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
     for i, j in arrays.chunks(offsets):
         ids, h, bounds = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         hidden, _ = pooled(ids, bounds, model.tables, model.bias)
-        z = hidden.astype(np.float64) @ model.weights.astype(np.float64) + model.intercept
-        out[i:j] = z - model.thresholds[languages(h, bounds)]
-    return 1 / (1 + np.exp(-np.clip(out + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
+        out[i:j] = hidden.astype(np.float64) @ model.weights.astype(np.float64) + model.intercept
+        lang[i:j] = languages(h, bounds)
+    return out, lang
+
+
+def score_batch(model: Model, col: pa.Array) -> np.ndarray:
+    """Calibrated scores of a text column: 0.3 is each language's threshold."""
+    z, lang = logits_of(model, col)
+    return 1 / (1 + np.exp(-np.clip(z - model.thresholds[lang] + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
