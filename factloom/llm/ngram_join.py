@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with MinHash banding and exact verification.
 
 Texts become sets of 5-word shingles; documents with one set are one class, and only classes are compared. Each of
-``TREES`` prefix tries orders the classes by a MinHash signature. The join walks the tries from the deepest prefix up and
-stops at the first depth where the chance that a pair at the threshold shares a prefix in some trie reaches the target
-recall; classes under one trie node are linked to the node's smallest class, and the components of these links are the
-candidate families. Inside a family all pairs are verified exactly, by counting common shingles with matrix products.
+``TREES`` bands hashes ``depth`` MinHash values of the classes. The depth is one constant of threshold and target recall, the
+deepest at which the chance that a pair at the threshold shares a band reaches the recall: no forest of sorted tries, and
+nothing adapts to the data. Classes that share a band's key are linked to the smallest of them, and the components of these
+links are the candidate families. Inside a family all pairs are verified exactly, by counting common shingles with matrix products.
 Large families are cut into blocks, each pair of blocks is one task, and only per-class sums and spanning links leave it.
 """
 
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: i
 
 
 def trie_links(classes: DataFrame, trees: int) -> DataFrame:
-    """(u, v): each class and the smallest class under the same trie node."""
+    """(u, v): each class and the smallest class with the same band key."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
