@@ -357,8 +357,8 @@ def test_ppm_beats_the_base_on_held_out_texts(spark, docs):
 
 
 # 8 top-k
-@pytest.mark.parametrize("k,block,query", [(20, 4096, 1024), (3, 60, 7), (1000, 100, 5)])
-def test_topk(spark, k, block, query):
+@pytest.mark.parametrize("k,block,query,seeds", [(20, 8192, 8192, 4096), (3, 60, 7, 30), (1000, 100, 5, 4096), (3, 60, 7, 1)])
+def test_topk(spark, k, block, query, seeds):
     df = table(spark, SF, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     odd = [(100_000, None, 1), (100_001, [1.0, None], 1), (100_002, [float("nan")] * 64, 1), (100_003, [float("inf")] * 64, 1), (100_020, [0.0] * 64, 1), (100_040, [0.1] * 64, 2), (100_041, [0.1] * 64, 2), (100_042, [0.1] * 64, 2), (None, [0.1] * 64, 1)]
     df = df.union(spark.createDataFrame(odd, df.schema))
@@ -368,7 +368,7 @@ def test_topk(spark, k, block, query):
         if q % 20 == 0:
             scored = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)[:k]
             want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
-    got = topk.top_k(df, lambda i: F.pmod(i, F.lit(20)) == 0, k, block_rows=block, query_rows=query).collect()
+    got = topk.top_k(df, lambda i: F.pmod(i, F.lit(20)) == 0, k, block_rows=block, query_rows=query, seeds=seeds).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
@@ -378,8 +378,36 @@ def test_threshold_stops_early():
     v = rng.integers(-5, 6, (4000, 4))
     v[17] = [60, 60, 60, 60]
     q = np.array([[9, 8, 7, 6]])
-    _, ids, _, share = topk.threshold_search(q, np.array([-1]), v, np.arange(4000), 1)
-    assert ids.tolist() == [17] and share < 0.2
+    none = np.array([np.nan])
+    _, ids, scores, products = topk.threshold_search(q, np.array([-1]), none, v, np.arange(4000), 1)
+    assert ids.tolist() == [17] and products == 4000
+    _, ids, _, products = topk.threshold_search(q, np.array([-1]), scores.astype(float), v, np.arange(4000), 1)
+    assert ids.tolist() == [17] and products < 800
+
+
+def test_threshold_search_on_skewed_components():
+    """Components of falling size: bounds fall below the floors of many queries, and the result stays exact."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(5000, 12)) ** 3 * 40 / np.arange(1, 13) ** 2).astype(np.int64)
+    q, own = v[:200], np.arange(200)
+    s = (q @ v.T).astype(float)
+    s[own, own] = -np.inf
+    floors = np.partition(s[:, :1200], -5, axis=1)[:, -5]
+    rows, ids, scores, products = topk.threshold_search(q, own, floors, v, np.arange(5000), 5)
+    want = [(i, j, s[i, j]) for i in range(200) for j in np.lexsort((np.arange(5000), -s[i]))[:5]]
+    assert [(a, b, float(c)) for a, b, c in zip(rows, ids, scores)] == sorted(want, key=lambda t: (t[0], -t[2], t[1])) or sorted(zip(rows, ids, scores.astype(float))) == sorted(want)
+    assert products < 0.9 * s.size
+
+
+@pytest.mark.parametrize("big", [1, 2**20, 2**29])
+def test_threshold_search_is_exact_for_large_components(big):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, (300, 5)) * big
+    rows, ids, scores, _ = topk.threshold_search(v[:9], np.arange(9), np.full(9, np.nan), v, np.arange(300), 4)
+    for i in range(9):
+        s = v[i] @ v.T
+        best = sorted((-int(s[j]), j) for j in range(300) if j != i)[:4]
+        assert sorted((-int(b), int(a)) for a, b in zip(ids[rows == i], scores[rows == i])) == sorted(best)
 
 
 # 9 suffix arrays
