@@ -6,50 +6,30 @@ down the orders with symbol exclusion, to a uniform code over the bytes that are
 look-ups over its whole text and an end mark; the texts are pretrained-coded, so documents don't depend on another.
 
 The order is the same at every size, and every context counts, also one that occurred once. Neither the trie nor the
-unigram counts have a size bound, so they are never broadcast: documents are dealt into blocks, each block sends its
-distinct grams and words with their counts to these's partitions, and only their code lengths, and the words whose total
-differs from the block's own count, come back. Orders 0 and 1 alone (65,536 cells by the alphabet) go to all tasks.
-
-``build``, ``train`` and ``text_scores`` are a model in memory, for small tables; ``score_documents`` doesn't use them.
+unigram counts have a size bound, so they are never broadcast: documents are dealt into blocks of about ``BLOCK_BYTES``, each
+block sends its distinct grams and words with their counts to these's partitions, and only their code lengths, and the
+words whose total differs from the block's own count, come back. A word or gram has at most one row for each block, so none
+is hotter than the number of blocks. The counts of three bytes alone (2**24 cells at most) go to all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.llm import arrays
-from factloom.llm.common import batched, crc_fold
+from factloom.llm.common import batched, crc_fold, parts
 
 ORDER = 5
-MAX_CELLS = 30_000_000  # of four bytes, of the model in memory only
-MIN_COUNT = 2  # of the model in memory only: contexts that occurred once are left to the next order
+LOW = 2  # contexts up to this length come from the counts that all tasks have
 END = 0xFF  # never a byte of UTF-8: ends a text
 PAD = 0xFE  # never a byte of UTF-8: stands before a text
-BLOCK_ROWS = 1500
-
-
-@dataclass(frozen=True)
-class Level:
-    """Contexts of one order: tables from oldest to newest byte, and log10 probabilities by context and next symbol."""
-
-    steps: tuple[np.ndarray, ...]  # flat (contexts so far + 1, symbols); the last row is that of unknown contexts
-    cost: np.ndarray
-
-
-@dataclass(frozen=True)
-class Model:
-    """The trie's levels from order 0 up. ``symbol`` maps bytes; unseen bytes share one symbol, PAD has one."""
-
-    symbol: np.ndarray
-    width: int
-    levels: tuple[Level, ...]
+BLOCK_BYTES = 32 << 20
+SLICE = 1 << 16
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,149 +45,69 @@ def padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     return out, at
 
 
-def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, n): counts of order + 1 consecutive bytes, packed big-endian into a long."""
+def counted_grams(docs: DataFrame, order: int) -> DataFrame:
+    """(gram, n): counts of order + 1 consecutive bytes of ``_text``, packed big-endian into a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total = Tally()
         for b in batches:
             data, offsets = arrays.text_buffers(b.column("_text"))
             for i, j in arrays.chunks(offsets):
-                text, at = padded(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
-                packed = np.zeros(len(text) - order, np.uint64)
-                for k in range(order + 1):
-                    packed = (packed << np.uint64(8)) | text[k : k + len(packed)]
-                ok = np.ones(len(packed), bool)
-                for k in range(order):
-                    ok[(at[1:-1] - 1 - k)] = False  # grams that reach from one text into the next
-                keys, n = np.unique(packed[ok], return_counts=True)
-                keys, n = np.concatenate([total[0], keys]), np.concatenate([total[1], n])
-                keys, back = np.unique(keys, return_inverse=True)
-                total = keys, np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-                if len(keys) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(total[0].astype(np.int64)), pa.array(total[1])], ["gram", "n"])
-                    total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total[0].astype(np.int64)), pa.array(total[1])], ["gram", "n"])
-
-    return docs.select(F.coalesce(F.col("_text"), F.lit("")).alias("_text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def build(grams: np.ndarray, counts: np.ndarray, order: int) -> Model:
-    """Code lengths of all symbols in all contexts of the trie that occurred ``MIN_COUNT`` times at least."""
-    raw = np.stack([(grams >> (8 * k)) & 255 for k in range(order, -1, -1)], 1).reshape(-1, order + 1)
-    used = np.unique(np.append(raw[:, -1], END))
-    symbol = np.full(256, len(used))
-    symbol[used] = np.arange(len(used))
-    symbol[PAD] = len(used) + 1
-    width = len(used) + 2
-    codes = symbol[raw].astype(np.uint16)
-    del raw
-    steps, sparse, parents = [], [], []
-    for k in range(order + 1):
-        packed = np.zeros(len(codes), np.int64)
-        for c in range(order - k, order):
-            packed = packed * width + codes[:, c]
-        known, now = np.unique(packed, return_inverse=True)
-        often = np.bincount(now, weights=counts, minlength=len(known)) >= (MIN_COUNT if k else 0)
-        rows = np.flatnonzero(often[now]) if len(codes) else np.zeros(0, np.int64)
-        now, tables, n = np.zeros(len(rows), np.int64), [], 1
-        for c in range(order - k, order):
-            known, inverse = np.unique(now * width + codes[rows, c], return_inverse=True)
-            table = np.full((n + 1) * width, len(known), np.int32)
-            table[known] = np.arange(len(known))
-            now, n = inverse, len(known)
-            tables.append(table)
-        n = n if k or not len(rows) else 1
-        key, back = np.unique(now * len(used) + codes[rows, -1], return_inverse=True)
-        sparse.append((max(n, 1 - min(k, 1)), key, np.bincount(back, weights=counts[rows], minlength=len(key)).astype(np.int64)))
-        steps.append(tuple(tables))
-        of = np.full(len(codes), -1, np.int32)
-        of[rows] = now
-        first = np.zeros(n, np.int64)
-        first[now[::-1]] = rows[::-1]
-        parents.append((of, first))
-    levels = []
-    for k in range(order + 1):
-        n, first = sparse[k][0], parents[k][1]
-        cost = np.zeros((n, width), np.float32)
-        for a in range(0, n, 4096):
-            z = min(a + 4096, n)
-            lower = [np.arange(a, z) if j == k else parents[j][0][first[a:z]] if len(codes) else np.zeros(z - a, np.int64) for j in range(k, -1, -1)]
-            cost[a:z] = code_lengths([dense_rows(sparse[j], ids, len(used)) for j, ids in zip(range(k, -1, -1), lower, strict=True)], width)
-        levels.append(Level(steps[k], cost))
-    return Model(symbol.astype(np.int32), width, tuple(levels))
-
-
-def dense_rows(sparse: tuple[int, np.ndarray, np.ndarray], ids: np.ndarray, used: int) -> np.ndarray:
-    """Counts (rows, symbols) of some contexts from sorted (context * symbols + symbol) keys."""
-    _, keys, counts = sparse
-    lo, hi = np.searchsorted(keys, ids * used), np.searchsorted(keys, ids * used + used)
-    size = hi - lo
-    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    out = np.zeros((len(ids), used), np.int64)
-    out[np.repeat(np.arange(len(ids)), size), keys[at] % used] = counts[at]
-    return out
+                packed, _ = packed_grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
+                total.add(*flagged(packed, np.ones(len(packed), bool), order))
+                if total.size > 4_000_000:
+                    yield _counts(*total.take())
+        yield _counts(*total.take())
 
+    return docs.select("_text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-def code_lengths(counts: list[np.ndarray], width: int) -> np.ndarray:
-    """log10 probabilities (contexts, width) from the contexts' counts, highest order first.
 
-    At each order the symbols seen at higher orders are excluded; the escape has the weight of the number of symbols left
-    (method C); what no order has seen shares the rest evenly among the 256 symbols not excluded.
-    """
-    n, used = counts[0].shape
-    out = np.full((n, width), np.nan)
-    excluded, escape = np.zeros((n, used), bool), np.zeros(n)
-    for level in counts:
-        live = np.where(excluded, 0, level)
-        hit = live > 0
-        total, distinct = live.sum(1), hit.sum(1)
-        base = np.maximum(total + distinct, 1)
-        with np.errstate(divide="ignore"):
-            out[:, :used] = np.where(hit, escape[:, None] + np.log10(live / base[:, None]), out[:, :used])
-        escape += np.log10(np.where(distinct > 0, distinct, 1) / np.where(distinct > 0, base, 1))
-        excluded |= hit
-    rest = (escape - np.log10(np.maximum(256 - excluded.sum(1), 1)))[:, None]
-    return np.where(np.isnan(out), rest, out).astype(np.float32)
-
-
-def text_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of every row's text and its end."""
-    order = len(model.levels) - 1
-    text, at = padded(data, offsets, order)
-    if not len(text):
-        return np.zeros(0)
-    sym = model.symbol[text]
-    log = np.zeros(len(text), np.float32)
-    todo = np.arange(order, len(text))  # positions inside PAD stretches are cleared below
-    for k in range(order, -1, -1):
-        level, now = model.levels[k], np.zeros(len(todo), np.int32)
-        whole = len(todo) == len(text) - order
-        for c, table in enumerate(level.steps):
-            part = sym[order - k + c : len(text) - k + c] if whole else sym[todo - k + c]
-            now = table[now * np.int32(model.width) + part]
-        known = now < len(level.cost)
-        target = sym[order:] if whole else sym[todo]
-        if known.all():
-            log[todo] = level.cost.ravel()[now * np.int64(model.width) + target]
-            break
-        log[todo[known]] = level.cost.ravel()[now[known] * np.int64(model.width) + target[known]]
-        todo = todo[~known]
-    for k in range(order):
-        log[at[:-1] + k] = 0
-    return np.add.reduceat(log.astype(np.float64), at[:-1])
-
-
-def train(docs: DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS) -> Model:
-    """The model in memory of the documents' ``_text``, of the largest order whose table has at most ``max_cells`` cells."""
-    kept = count_grams(docs, order).toArrow()
-    grams, counts = kept["gram"].to_numpy(), kept["n"].to_numpy()
-    while True:
-        grams, counts = _group(grams & ((1 << (8 * (order + 1))) - 1), counts)
-        seen = _group(grams >> 8, counts)[1]
-        if order == 1 or (seen >= MIN_COUNT).sum() * (len(np.unique(grams & 255)) + 2) <= max_cells:
-            return build(grams, counts, order)
-        order -= 1
+def _counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def _group(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the weights by key."""
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
+def flagged(packed: np.ndarray, flags: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and the number of their set flags; grams of six bytes are sorted with the flag in their lowest bit."""
+    if order > 5:
+        return _group(packed, flags.astype(np.int64))
+    s = np.sort((packed << np.uint64(1)) | flags)
+    key = s >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat((s & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+class Tally:
+    """Sums by key of many small tables, merged when they outweigh what is merged already."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.waiting.append((keys, sums))
+        self.size += len(keys)
+        if self.size > 2 * len(self.keys) + 1_000_000:
+            self.merge()
+
+    def merge(self) -> None:
+        self.keys, self.sums = _group(np.concatenate([self.keys, *[k for k, _ in self.waiting]]), np.concatenate([self.sums, *[c for _, c in self.waiting]]))
+        self.waiting, self.size = [], len(self.keys)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """What was summed; the tally is empty after."""
+        self.merge()
+        out = self.keys, self.sums
+        self.__init__()
+        return out
 
 
 def packed_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,18 +120,18 @@ def packed_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.
     return packed[np.arange(len(row)) + row * order], row
 
 
-def gram_costs(grams: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+def gram_costs(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
     """log10 probability of the last byte of each distinct gram after those before it.
 
     ``grams`` (any order of rows, count 0 where the training texts lack it) hold all trained grams whose contexts end in the
-    same two bytes as one of them; ``pairs`` are the counts of all grams of order 1 of the training texts, sorted.
+    same ``LOW`` + 1 bytes as one of them; ``low`` are the counts of all grams of order ``LOW`` of the training texts, sorted.
     """
     grams = grams.astype(np.uint64)
     mask = [np.uint64((1 << (8 * k)) - 1) for k in range(order + 2)]
     eight, trained = np.uint64(8), counts > 0
     levels = []
     for k in range(order + 1):
-        source = (pairs[0].astype(np.uint64), pairs[1]) if k < 2 else (grams[trained], counts[trained])
+        source = (low[0].astype(np.uint64), low[1]) if k <= LOW else (grams[trained], counts[trained])
         keys, n = _group(source[0] & mask[k + 1], source[1])
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] >> eight != keys[:-1] >> eight])) if len(keys) else np.zeros(0, np.int64)
         contexts = keys[edge] >> eight
@@ -273,56 +173,28 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return arrays.span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
-def _group(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the weights by key."""
-    order = np.argsort(keys)
-    keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(weights, first) if len(first) else weights
-
-
-def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, w, c): every word of each block with its number of training tokens in the batch; ends of texts too."""
-    for b in batches:
-        data, offsets = arrays.text_buffers(b.column("_text"))
-        block, train_ = b.column("block").to_numpy(), ~b.column("held_out").to_numpy(zero_copy_only=False)
-        order = np.argsort(block, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
-        per: dict[int, list] = {}
-        rows_of = {int(block[order[a]]): None for a in edges[:-1]}
-        for i, j in arrays.chunks(offsets):
-            h, bounds = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            owner = np.repeat(np.arange(i, j), np.diff(bounds))
-            for k in rows_of:
-                mine = block[owner] == k if len(rows_of) > 1 else slice(None)
-                per.setdefault(k, []).append(_group(h[mine], train_[owner[mine]].astype(np.int64)))
-        for k, found in per.items():
-            w, c = _group(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["block", "w", "c"])
-
+def block_counts(pieces):
+    """(block, w, c): every key of each block with its number of training occurrences in the task's rows.
 
-def block_grams(order: int):
-    """(block, w, c): every gram of each block with its number of training occurrences in the batch."""
+    ``pieces`` gives the keys of some texts, the row of each, and distinct keys with the number of set flags.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, Tally] = {}
         for b in batches:
             data, offsets = arrays.text_buffers(b.column("_text"))
-            block, train_ = b.column("block").to_numpy(), ~b.column("held_out").to_numpy(zero_copy_only=False)
+            block, trains = b.column("block").to_numpy(), ~b.column("held_out").to_numpy(zero_copy_only=False)
             for i, j in arrays.chunks(offsets):
-                packed, row = packed_grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
-                owner = row + i
-                for k in np.unique(block[i:j]).tolist():
-                    mine = block[owner] == k
-                    found = _group(packed[mine], train_[owner[mine]].astype(np.int64))
-                    if k in held:
-                        found = _group(np.concatenate([held[k][0], found[0]]), np.concatenate([held[k][1], found[1]]))
-                    held[k] = found
-            while sum(len(w) for w, _ in held.values()) > 1_000_000:
-                k = next(iter(held))
-                yield _rows(k, *held.pop(k))
-        for k, found in held.items():
-            yield _rows(k, *found)
+                keys, row, grouped = pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                flags, names = trains[i:j][row], np.unique(block[i:j]).tolist()
+                for k in names:
+                    mine = block[i:j][row] == k if len(names) > 1 else slice(None)
+                    held.setdefault(k, Tally()).add(*grouped(keys[mine], flags[mine]))
+            while sum(t.size for t in held.values()) > 6_000_000:
+                k = max(held, key=lambda k: held[k].size)
+                yield _rows(k, *held.pop(k).take())
+        for k, t in held.items():
+            yield _rows(k, *t.take())
 
     return run
 
@@ -331,40 +203,67 @@ def _rows(block: int, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["block", "w", "c"])
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def gram_pieces(order: int):
+    def pieces(data: np.ndarray, offsets: np.ndarray):
+        packed, row = packed_grams(data, offsets, order)
+        return packed, row, lambda keys, flags: flagged(keys, flags, order)
+
+    return pieces
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray):
+    h, bounds = tokens(data, offsets)
+    return h, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), lambda keys, flags: _group(keys, flags.astype(np.int64))
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, order: int) -> np.ndarray:
+    """Values of the wanted grams among sorted keys that hold them all; each slice is looked up in its own order."""
+    out = np.empty(len(wanted), values.dtype)
+    for a in range(0, len(wanted), SLICE):
+        part = wanted[a : a + SLICE]
+        if order > 5:
+            out[a : a + len(part)] = values[np.searchsorted(keys, part)]
+            continue
+        packed = np.sort((part << np.uint64(16)) | np.arange(len(part), dtype=np.uint64))
+        out[a + (packed & np.uint64(SLICE - 1)).astype(np.int64)] = values[np.searchsorted(keys, packed >> np.uint64(16))]
+    return out
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Training rows are those outside fold 2 of 7. Null texts are empty: one end token and the end symbol. Null ids are
-    folded by a fixed text, repeated rows count as often as they occur, other columns are not read, and an empty table
-    gives an empty result. Words are told apart by 64-bit hashes.
+    folded by a fixed text, repeated rows count as often as they occur (rows that repeat id and text are in one block),
+    other columns are not read, and an empty table gives an empty result. Words are told apart by 64-bit hashes.
     """
     batched(docs.sparkSession)
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), (crc_fold(id_col, 7) == 2).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    low = count_grams(rows.filter("not held_out"), 1).toArrow().sort_by("gram")
-    pairs = spark.sparkContext.broadcast((low["gram"].to_numpy(), low["n"].to_numpy()))
-    sizes = docs.agg(F.count(F.lit(1)), F.count_if(crc_fold(id_col, 7) != 2)).first()
-    blocks = max(1, -(-sizes[0] // block_rows))
-    ends = sizes[1]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks), "block")
-    words = dealt.mapInArrow(block_words, "block long, w long, c long")
-    over = Window.partitionBy("w")
-    totals = words.withColumn("total", F.sum("c").over(over)).withColumn("_first", F.row_number().over(over.orderBy("block")) == 1)
-    stats = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_words"), F.count_if(F.col("_first") & (F.col("total") > 0)).alias("_distinct"))
-    foreign = totals.filter("total <> c").select("block", "w", F.col("total").cast("double").alias("v"))
+    sizes = rows.agg(F.coalesce(F.sum(F.octet_length("_text") + 16), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+    blocks, ends = max(1, -(-sizes[0] // block_bytes)), sizes[1]
+    width = max(parts(spark), 4 * blocks)
+    counted = counted_grams(rows.filter("not held_out"), min(order, LOW)).toArrow().sort_by("gram")
+    low = spark.sparkContext.broadcast((counted["gram"].to_numpy(), counted["n"].to_numpy()))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))).repartition(max(parts(spark), blocks), "block")
+
+    def kept(pieces) -> DataFrame:
+        """Both uses of a table of counts need all its columns and the join's null filter, so that it is made and shuffled once."""
+        return dealt.mapInArrow(block_counts(pieces), "block long, w long, c long").filter("w is not null").repartition(width, "w")
+
+    words = kept(word_pieces)
+    totals = words.groupBy("w").agg(F.sum("c").alias("total"), F.max("block").alias("_b")).filter("_b >= 0").select("w", "total")
+    stats = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("_words"), F.count_if(F.col("total") > 0).alias("_distinct"))
+    foreign = words.join(totals, "w").filter("total <> c").select("block", "w", F.col("total").cast("double").alias("v"))
 
     def cost(group: pa.Table) -> pa.Table:
-        found = gram_costs(group.column("w").to_numpy(), group.column("n").to_numpy(), pairs.value, order)
+        found = gram_costs(group.column("w").to_numpy(), group.column("n").to_numpy(), low.value, order)
         return pa.table({"w": group.column("w"), "v": found.astype(np.float32)})
 
-    # Both uses below need all columns and the join's null filter, so that the grams are made and shuffled once.
-    asked = dealt.mapInArrow(block_grams(order), "block long, w long, c long").filter("w is not null")
-    summed = asked.withColumn("n", F.sum("c").over(over)).withColumn("_r", F.row_number().over(over.orderBy("block")))
-    ending = F.shiftright("w", 8).bitwiseAND(F.lit(0xFFFF if order > 1 else 0xFF))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
-    costs = summed.filter("_r = 1").select("w", "n", F.pmod(F.xxhash64(ending), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(cost, "w long, v float")
-    back = summed.filter("n >= 0 and _r > 0").select("block", "w").join(costs, "w").select("block", "w", F.col("v").cast("double"))
+    asked = kept(gram_pieces(order))
+    summed = asked.groupBy("w").agg(F.sum("c").alias("n"), F.max("block").alias("_b")).filter("_b >= 0")
+    ending = F.shiftright("w", 8).bitwiseAND(F.lit((1 << 8 * min(order, LOW + 1)) - 1))
+    costs = summed.select("w", "n", F.pmod(F.xxhash64(ending), F.lit(width)).alias("bucket")).groupBy("bucket").applyInArrow(cost, "w long, v float")
+    back = asked.join(costs, "w").select("block", "w", F.when(F.col("c") >= 0, F.col("v").cast("double")).alias("v"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
@@ -372,30 +271,27 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_rows: int = BLOCK
         held = left.column("held_out").to_numpy()
         w, v = right.column("w").to_numpy().view(np.uint64), right.column("v").to_numpy()
         gram = v < 0  # code lengths of grams; totals of words are above 0
-        keys, costs_ = w[gram], v[gram]
+        keys, costs_ = w[gram], v[gram].astype(np.float32)
         sort = np.argsort(keys)
         keys, costs_ = keys[sort], costs_[sort]
         w, c = w[~gram], v[~gram]
         out = np.zeros((n, 4))
-        hashes, bounds = [], np.zeros(n + 1, np.int64)
+        pieces, own = [], Tally()
         for i, j in arrays.chunks(offsets):
             piece, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             packed, row = packed_grams(piece, at, order)
-            out[i:j, 3] = np.bincount(row, weights=costs_[np.searchsorted(keys, packed)], minlength=j - i)
+            out[i:j, 3] = np.bincount(row, weights=looked_up(keys, costs_, packed, order), minlength=j - i)
             h, b = tokens(piece, at)
-            bounds[i + 1 : j + 1] = bounds[i] + b[1:]
-            hashes.append(h)
-        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        names, local = np.unique(h, return_inverse=True)
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        known = np.bincount(local, weights=~held[owner], minlength=len(names)) if len(h) else np.zeros(0)
-        at = np.searchsorted(names, w)
-        known[at] = c
-        count = known[local]
-        logs = np.log10(count + 1)
-        out[:, 0] = np.diff(bounds) + 1
-        out[:, 1] = np.bincount(owner, weights=count > 0, minlength=n) if n else 0
-        out[:, 2] = np.bincount(owner, weights=logs, minlength=n) if n else 0
+            row = np.repeat(np.arange(j - i), np.diff(b))
+            out[i:j, 0] = np.diff(b) + 1
+            pieces.append((i, j, h, row.astype(np.int32)))
+            own.add(*_group(h, (~held[i:j])[row].astype(np.int64)))
+        names, known = own.take()
+        known[np.searchsorted(names, w)] = c
+        for i, j, h, row in pieces:
+            count = known[np.searchsorted(names, h)]
+            out[i:j, 1] = np.bincount(row, weights=count > 0, minlength=j - i)
+            out[i:j, 2] = np.bincount(row, weights=np.log10(count + 1), minlength=j - i)
         return pa.table({"_id": left.column("_id"), "held_out": left.column("held_out"), "n_tokens": out[:, 0].astype(np.int64), "_known": out[:, 1].astype(np.int64), "_logs": out[:, 2], "score": out[:, 3]})
 
     schema = f"_id {kind}, held_out boolean, n_tokens long, _known long, _logs double, score double"
