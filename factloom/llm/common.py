@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder is made only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a private folder is made only where that is unset and Spark runs locally."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -62,3 +65,21 @@ def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     Spark splits the hot partitions of the shuffled form (adaptive skew join). Only for tables of a few numbers a row.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+SLICES = 1000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, total: int, spread: list[str], how: str = "inner", slices: int = SLICES) -> DataFrame:
+    """left join right on ``keys``, with the rows of hot keys dealt over several tasks.
+
+    ``counts`` (keys, _n) has the left rows of each key and ``total`` their sum. A key with more than total / slices rows is
+    hot, so there are at most ``slices`` such keys and their list may be broadcast; each is dealt by a hash of ``spread``
+    into pieces of about total / slices rows, and the right rows of the key go to all of its pieces.
+    """
+    limit = max(total / slices, 1)
+    hot = F.broadcast(counts.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    one = F.coalesce("_salts", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), one)).drop("_salts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), one.cast("long") - 1))).drop("_salts")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")

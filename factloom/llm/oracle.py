@@ -11,9 +11,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 LINES = """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM t),
-w AS (SELECT doc_id, i, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS k FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w WHERE k IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, (VALUES (0), (1), (2)) v(o)),
+n AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM l),
+w AS (SELECT doc_id, i, 3 AS lines, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS k FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+UNION ALL SELECT doc_id, i, 1, line FROM n WHERE words > 50
+UNION ALL SELECT doc_id, i, 2, k FROM (SELECT doc_id, i, words + lead(words) OVER d AS words, line || chr(10) || lead(line) OVER d AS k FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)) WHERE words > 50),
+later AS (SELECT doc_id, i, lines FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w WHERE k IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, (VALUES (0), (1), (2)) v(o) WHERE o < lines),
 m AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS out FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i),
 e AS (SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
 a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed, count(*) FILTER (opens) AS n_runs, string_agg(line, chr(10) ORDER BY i) FILTER (NOT out) AS kept FROM e GROUP BY 1)

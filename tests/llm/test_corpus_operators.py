@@ -418,23 +418,45 @@ def test_suffix_array_and_common_prefixes(letters, n):
 
 
 # 10 line dedup
-def brute_lines(rows, window):
+def brute_lines(rows, window, words):
     order = sorted({(r.doc_id is not None, r.doc_id or 0, r.th, r.text) for r in rows if r.text is not None})
     first, out = {}, {}
     for *key, text in order:
         lines, gone = text.split("\n"), set()
-        for s in range(len(lines) - window + 1):
-            w = tuple(lines[s : s + window])
-            if first.setdefault(w, (key, s)) != (key, s):
-                gone |= set(range(s, s + window))
+        for n in range(1, window + 1):
+            for s in range(len(lines) - n + 1):
+                w = tuple(lines[s : s + n])
+                if (n == window or sum(len(x.split(" ")) for x in w) > words) and first.setdefault(w, (key, s)) != (key, s):
+                    gone |= set(range(s, s + n))
         out[tuple(key)] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone), sum(i - 1 not in gone for i in gone)
     return Counter((r.doc_id, *(out[r.doc_id is not None, r.doc_id or 0, r.th] if r.text is not None else (None, 0, 0, 0))) for r in rows)
 
 
-@pytest.mark.parametrize("which,window", [("docs", 3), ("docs", 2), ("awkward", 3)])
-def test_line_dedup(which, window, request):
+@pytest.mark.parametrize("which,window,words,small", [("docs", 3, 50, True), ("docs", 2, 9, False), ("awkward", 3, 50, True), ("awkward", 3, 3, False)])
+def test_line_dedup(which, window, words, small, request, monkeypatch):
     df = request.getfixturevalue(which)
+    if not small:
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     rows = df.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()
-    got = line_dedup.dedup_lines(df, window).collect()
-    assert Counter((r.doc_id, r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in got) == brute_lines(rows, window)
+    got = line_dedup.dedup_lines(df, window, words).collect()
+    assert Counter((r.doc_id, r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in got) == brute_lines(rows, window, words)
     assert line_dedup.dedup_lines(df.limit(0), window).count() == 0
+
+
+def test_line_dedup_of_clashing_names_and_hot_lines(spark):
+    rows = [(i, f"a\nb\nc\n{i}", 5, i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_runs int, _t int, _removed string")
+    got = line_dedup.dedup_lines(df).collect()
+    assert {(r.doc_id, r.kept_text, r.n_removed, r._t, r._removed) for r in got} == {(i, str(i) if i else "a\nb\nc\n0", 3 if i else 0, i, "x") for i in range(300)}
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 40_000):
+        began = time.time()
+        df = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(n)))], "doc_id long, text string")
+        assert line_dedup.dedup_lines(df).first().n_lines == n
+        took.append(time.time() - began)
+    assert took[2] < 3 * took[1] + 2
