@@ -83,3 +83,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), one)).drop("_salts")
     b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), one.cast("long") - 1))).drop("_salts")
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``_row`` beside the given ones, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def text_key(text_col: str) -> dict[str, Column]:
+    """A text's 128-bit name as two longs; null and the empty text have the same."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("second"), text)}

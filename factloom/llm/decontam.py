@@ -1,19 +1,16 @@
 """Benchmark decontamination by winnowing.
 
 A window is ``span`` consecutive item words (a shorter item is one window). Every window selects, of its ``gram``-word
-hashes, the smallest (rightmost on ties): a document that shares a window shares its fingerprint at the same distance.
-Documents' fingerprints are looked up among the benchmark's, and each hit is extended word by word to both sides; a match
-of a whole window marks its words. Items shorter than ``span`` are fingerprinted whole.
-
-The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text; with more text, documents pass through
-one narrow stage for each block, so nothing is shuffled and no block's size depends on the benchmark's.
+hashes, the smallest (rightmost on ties): a document that shares a window shares its fingerprint at the same distance. Both
+sides are fingerprinted in tasks and joined by fingerprint: the benchmark's fingerprints are broadcast where they are
+``BROADCAST_PRINTS`` at most, else the documents' ones are joined with them in a shuffle. Each hit is extended to the windows that
+select it, which are joined by their 128-bit hashes with the benchmark's. Shorter items are fingerprinted whole. Only
+hashes and ids are shuffled; equal texts on either side are looked up once.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,120 +18,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import batched
+from factloom.llm.common import batched, cut, packed, salted_join, small, text_key
 
 SPAN = 10
 GRAM = 5
-BLOCK_BYTES = 32 << 20
-
-
-@dataclass
-class Block:
-    """A part of the benchmark: words of its items, one after another, with their fingerprints sorted by hash."""
-
-    span: int
-    gram: int
-    ids: list[str] = field(default_factory=list)
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hashes, items
-
-
-def selected(hashes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the grams that the windows of one text select."""
-    g = arrays.grams(hashes, gram)
-    at = arrays.winnowed(g, span - gram + 1)
-    return g[at], at
-
-
-def build(items: list[tuple[str, str]], span: int = SPAN, gram: int = GRAM) -> Block:
-    """Fingerprint one block of (item id, text)."""
-    block = Block(span, gram, [i for i, _ in items])
-    data, offsets = arrays.text_buffers(pa.array([t for _, t in items], pa.large_string()))
-    block.words, block.bounds = arrays.words(data, offsets)
-    prints, places, short = [], [], {}
-    for k in range(len(items)):
-        w = block.words[block.bounds[k] : block.bounds[k + 1]]
-        if len(w) >= span:
-            h, at = selected(w, span, gram)
-            prints.append(h)
-            places.append(at + block.bounds[k])
-        elif len(w):
-            short.setdefault(len(w), []).append((arrays.grams(w, len(w))[0], k))
-    if prints:
-        p, at = np.concatenate(prints), np.concatenate(places)
-        order = np.argsort(p, kind="stable")
-        block.prints, block.places = p[order], at[order]
-    for n, pairs in short.items():
-        pairs.sort()
-        block.short[n] = np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs])
-    return block
-
-
-def _expand(sorted_keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (probe index, key index) pairs of equal values, by binary search."""
-    lo, hi = np.searchsorted(sorted_keys, probe, "left"), np.searchsorted(sorted_keys, probe, "right")
-    n = hi - lo
-    who = np.flatnonzero(n)
-    n = n[who]
-    at = np.repeat(lo[who] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.repeat(who, n), at
-
-
-def matches(block: Block, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, item) of the matched stretches in the rows' words."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+BROADCAST_PRINTS = 4_000_000  # of eight bytes each
+WINDOWS = "fp long, at int, n int, w1 long, w2 long"
+
+
+def windows_of(hashes: np.ndarray, bounds: np.ndarray, span: int, gram: int, lengths: list[int], known: Callable | None) -> tuple[np.ndarray, ...]:
+    """(row, start in the row, words, fingerprint, hash, second hash) of the windows of all rows.
+
+    ``lengths``: the lengths below ``span`` of which windows are wanted, each its own fingerprint. ``known`` tells which of
+    the fingerprints of windows of some length are wanted; None: all.
+    """
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    span, gram = block.span, block.gram
-    if len(block.prints) and len(hashes) >= span:
-        g = arrays.grams(hashes, gram)
-        best = arrays.winnowed(g, span - gram + 1)  # windows across rows select extra grams only
-        d, p = _expand(block.prints, g[best])
-        d, p = best[d], block.places[p]
-        item = np.searchsorted(block.bounds, p, "right") - 1
-        ok = row[d] == row[d + gram - 1]
-        d, p, item = d[ok], p[ok], item[ok]
-        left, right = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
-        going = np.all([hashes[d + i] == block.words[p + i] for i in range(gram)], axis=0) if len(d) else np.zeros(0, bool)
-        exact = going.copy()
-        for j in range(1, span - gram + 1):
-            a, b = d - j, p - j
-            going = going & (a >= bounds[row[d]]) & (b >= block.bounds[item])
-            going[going] = hashes[a[going]] == block.words[b[going]]
-            left += going
-        going = exact.copy()
-        for j in range(span - gram):
-            a, b = d + gram + j, p + gram + j
-            going = going & (a < bounds[row[d] + 1]) & (b < block.bounds[item + 1])
-            going[going] = hashes[a[going]] == block.words[b[going]]
-            right += going
-        ok = exact & (left + right >= span - gram)
-        out.append(((d - left)[ok], (d + gram + right)[ok], item[ok]))
-    for n, (keys, items) in block.short.items():
-        if len(hashes) >= n:
-            d, k = _expand(keys, arrays.grams(hashes, n))
-            ok = row[d] == row[d + n - 1]
-            out.append((d[ok], d[ok] + n, items[k[ok]]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
-
-
-def blocks_of(benchmark: DataFrame, span: int, gram: int, id_col: str, text_col: str) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size; a null id is the text ``null``."""
-    items, size = [], 0
-    for i, t in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
-        items.append((i, t))
-        size += 4 * len(t) + 64
-        if size >= BLOCK_BYTES:
-            yield build(items, span, gram)
-            items, size = [], 0
-    yield build(items, span, gram)
-
-
-STATE = ["_dc_words", "_dc_spans", "_dc_items"]
+    second = arrays.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    found = []
+    for n in [span, *lengths]:
+        if len(hashes) < n:
+            continue
+        if n == span:
+            g = arrays.grams(hashes, gram)
+            fp = g[arrays.sliding_min_rightmost(g, span - gram + 1)]
+        else:
+            fp = arrays.grams(hashes, n) + np.uint64(n)
+        ok = row[: len(fp)] == row[n - 1 :]
+        if known is not None:
+            ok &= known(n, fp)
+        at = np.flatnonzero(ok)
+        keys = []
+        for h in (hashes, second):
+            out = np.full(len(at), n, np.uint64)
+            for j in range(n):
+                out = out * arrays.BASE + h[at + j]
+            keys.append(arrays.mix(out))
+        found.append((row[at], at - bounds[row[at]], np.full(len(at), n), fp[at], *keys))
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)
+    return tuple(np.concatenate([f[i] for f in found] + [np.zeros(0, k)]) for i, k in enumerate(kinds))
+
+
+def benchmark_windows(benchmark: DataFrame, span: int, gram: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(c1, c2, fp, at, n, w1, w2) of the distinct item texts, and (c1, c2, item) of all items; a null id is ``null``."""
+    key = text_key(text_col)
+    texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key["t1"].alias("c1"), key["t2"].alias("c2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = arrays.text_buffers(b.column("text"))
+            for i, j in arrays.chunks(offsets):
+                h, bounds = arrays.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                few = np.unique(np.diff(bounds))
+                few = [int(n) for n in few if 0 < n < span]
+                row, at, n, fp, w1, w2 = windows_of(h, bounds, span, gram, few, None)
+                whole = (n == span) | (n == np.diff(bounds)[row])
+                take = pa.array(row[whole] + i)
+                cols = [pa.array(x[whole].view(np.int64)) for x in (fp, w1, w2)]
+                ints = [pa.array(x[whole].astype(np.int32)) for x in (at, n)]
+                yield pa.RecordBatch.from_arrays([b.column("c1").take(take), b.column("c2").take(take), cols[0], *ints, *cols[1:]], ["c1", "c2", "fp", "at", "n", "w1", "w2"])
+
+    windows = texts.dropDuplicates(["c1", "c2"]).select("c1", "c2", "text").mapInArrow(run, f"c1 long, c2 long, {WINDOWS}")
+    return cut(windows.select("c1", "c2", "fp", "n", "w1", "w2").distinct()), texts.select("c1", "c2", "item").distinct()
+
+
+def matched_texts(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, text_col: str, item_col: str) -> DataFrame:
+    """(t1, t2, hits, items): the document texts that share a window, with the windows' (at, n) and the sorted item ids."""
+    windows, items = benchmark_windows(benchmark, span, gram, item_col, "text" if text_col not in benchmark.columns else text_col)
+    prints = windows.select("n", "fp").distinct()
+    lengths = sorted(r[0] for r in windows.filter(F.col("n") < span).select("n").distinct().collect())
+    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(k) for k, c in text_key(text_col).items()])
+    shared = None
+    if prints.count() <= BROADCAST_PRINTS:
+        table = prints.toArrow()
+        n, fp = table["n"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
+        shared = docs.sparkSession.sparkContext.broadcast({int(k): np.sort(fp[n == k]) for k in np.unique(n)})
+
+    def in_table(table: dict[int, np.ndarray]) -> Callable:
+        def known(n: int, fp: np.ndarray) -> np.ndarray:
+            keys = table.get(n, np.zeros(0, np.uint64))
+            if not len(keys):
+                return np.zeros(len(fp), bool)
+            at = np.searchsorted(keys, fp)
+            return keys[np.minimum(at, len(keys) - 1)] == fp
+
+        return known
+
+    def found(only_prints: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                data, offsets = arrays.text_buffers(b.column("text"))
+                for i, j in arrays.chunks(offsets):
+                    h, bounds = arrays.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    known = None
+                    if shared is not None:
+                        known = in_table(shared.value)
+                    elif not only_prints:
+                        of = b.column("fps").slice(i, j - i).flatten()
+                        n, fp = of.field("n").to_numpy(), of.field("fp").to_numpy().view(np.uint64)
+                        known = in_table({int(k): np.unique(fp[n == k]) for k in np.unique(n)})
+                    row, at, n, fp, w1, w2 = windows_of(h, bounds, span, gram, lengths, known)
+                    if only_prints:
+                        keep = np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])]) if len(fp) else np.zeros(0, bool)
+                        row, at, n, fp, w1, w2 = (x[keep] for x in (row, at, n, fp, w1, w2))
+                    take = pa.array(row + i)
+                    ints = [pa.array(x.astype(np.int32)) for x in (at, n)]
+                    cols = [pa.array(x.view(np.int64)) for x in (fp, w1, w2)]
+                    yield pa.RecordBatch.from_arrays([b.column("t1").take(take), b.column("t2").take(take), cols[0], *ints, *cols[1:]], ["t1", "t2", "fp", "at", "n", "w1", "w2"])
+
+        return run
+
+    schema = f"t1 long, t2 long, {WINDOWS}"
+    if shared is None:
+        hit = source.mapInArrow(found(True), schema).select("t1", "t2", "n", "fp").distinct().join(prints, ["n", "fp"], "left_semi")
+        hit = hit.groupBy("t1", "t2").agg(F.collect_set(F.struct("n", "fp")).alias("fps"))
+        source = source.join(hit, ["t1", "t2"])
+    asked = cut(source.mapInArrow(found(False), schema).select("t1", "t2", "at", "n", "w1", "w2").distinct())
+    counts = cut(asked.groupBy("n", "w1", "w2").agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    spans = salted_join(asked, windows.select("n", "w1", "w2").distinct(), ["n", "w1", "w2"], counts, total, ["t1", "t2", "at"], "left_semi")
+    hits = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
+    classes = salted_join(asked, windows.select("n", "w1", "w2", "c1", "c2"), ["n", "w1", "w2"], counts, total, ["t1", "t2", "at"]).select("t1", "t2", "c1", "c2").distinct()
+    names = classes.join(items, ["c1", "c2"]).groupBy("t1", "t2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return hits.join(names, ["t1", "t2"])
 
 
 def decontaminate(
@@ -148,55 +153,38 @@ def decontaminate(
     """
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     batched(docs.sparkSession)
-    own = [c for c in docs.columns if c not in new]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    base = ", ".join(f"`{c}` {kinds[c]}" for c in own)
-    sc, state = docs.sparkSession.sparkContext, docs.select(*own)
-    blocks = list(blocks_of(benchmark, span, gram, item_col, text_col))
-    for k, block in enumerate(blocks):
-        shared, last = sc.broadcast(block), k == len(blocks) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=last) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                data, offsets = arrays.text_buffers(b.column(text_col))
-                n_words, spans_, items = [], [], []
-                for i, j in arrays.chunks(offsets):
-                    h, bounds = arrays.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    n_words += np.diff(bounds).tolist()
-                    lo, hi, item = matches(shared.value, h, bounds)
-                    r = np.searchsorted(bounds, lo, "right") - 1
-                    rows: dict[int, tuple[list, set]] = {}
-                    for r_, a, z, t in zip(r.tolist(), lo.tolist(), hi.tolist(), item.tolist(), strict=True):
-                        s, ids = rows.setdefault(r_, ([], set()))
-                        s += (a - int(bounds[r_]), z - int(bounds[r_]))
-                        ids.add(shared.value.ids[t])
-                    for r_ in range(j - i):
-                        s, ids = rows.get(r_, ([], set()))
-                        spans_.append(s)
-                        items.append(ids)
-                if not first:
-                    spans_ = [(x or []) + y for x, y in zip(b.column("_dc_spans").to_pylist(), spans_, strict=True)]
-                    items = [set(x or ()) | y for x, y in zip(b.column("_dc_items").to_pylist(), items, strict=True)]
-                left = [b.column(c) for c in own]
-                if not last:
-                    more = [pa.array(n_words, pa.int64()), pa.array(spans_, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(left + more, own + STATE)
-                    continue
-                n_hit = [_covered(s) for s in spans_]
-                names = [sorted(x) for x in items]
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-                more = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(left + more, own + new)
-
-        out = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "_dc_words long, _dc_spans array<long>, _dc_items array<string>"
-        state = state.mapInArrow(run, f"{base}, {out}")
-    return state
-
-
-def _covered(flat: list[int]) -> int:
-    """Words in the union of [a, z) pairs."""
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    matched = matched_texts(docs, benchmark, span, gram, text_col, item_col)
+    matched = matched.select("t1", "t2", "hits", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    rows = packed(own, **text_key(text_col), text=F.coalesce(F.col(text_col), F.lit(""))).join(small(cut(matched), 100_000), ["t1", "t2"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = arrays.text_buffers(b.column("text"))
+            starts, _ = arrays.spans(data, offsets, arrays.WORD)
+            n_words = np.diff(np.searchsorted(starts, offsets))
+            n_hit = [_covered(h) for h in b.column("hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(n_words), pa.array(n_hit, pa.int64()), b.column("n_items"), b.column("items_sha256")], ["_row", *new[:4]])
+
+    schema = rows.select("_row").schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string")
+    counted = rows.select("_row", "text", "hits", "n_items", "items_sha256").mapInArrow(run, schema)
+    return counted.select("_row.*", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` without the rows whose text shares a window with an item; all columns stay, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark leaves all rows.
+    """
+    batched(docs.sparkSession)
+    gone = cut(matched_texts(docs, benchmark, span, gram, text_col, item_col).select("t1", "t2"))
+    return packed(docs, **text_key(text_col)).join(small(gone), ["t1", "t2"], "left_anti").select("_row.*")
+
+
+def _covered(hits: list[dict] | None) -> int:
+    """Words in the union of the windows."""
     total, end = 0, -1
-    for a, z in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        total += max(0, z - max(a, end))
-        end = max(end, z)
+    for at, n in sorted((h["at"], h["n"]) for h in hits or ()):
+        total += max(0, at + n - max(at, end))
+        end = max(end, at + n)
     return total

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import cut, key_text
+from factloom.llm.common import cut, key_text, packed
 
 LEVELS = ("domain", "language", "source_name")
 BROADCAST_LEAVES = 20_000
@@ -77,7 +77,7 @@ def seeded(seed: int, epoch: Column, base: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def mix_sources(
+def mixed_rows(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     share_of_tokens: float = 0.8,
@@ -89,15 +89,17 @@ def mix_sources(
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with _domain, _n_tokens and _copies (how many times the mix takes the row, 0 to ``max_epochs``).
+    """(_row, _domain, _n_tokens, _copies): all columns of a row as one struct, and how often the mix takes it.
 
-    Columns of these three names in the input are replaced. Nulls in language or source are leaves of their own; a null or
-    empty text has no tokens and is taken as often as its leaf has whole epochs; equal rows share one order key and are
-    taken together; an empty table gives an empty result.
+    Nulls in language or source are leaves of their own; a null or empty text has no tokens and is taken as often as its
+    leaf has whole epochs; equal rows share one order key and are taken together; an empty table gives an empty result;
+    weights must be positive, or an error is raised.
 
     A hot leaf is never one task: its prefix is cut by a histogram of order keys, first by their top ``BITS`` bits, then
     inside the one bin that the cut falls into, so the last step compares each row with its leaf's cut key.
     """
+    if any(not w > 0 for w in (weights or {}).values()):
+        raise ValueError("weights must be positive")
     domain = domain_of(F.col(source_col)) if domain is None else domain
     base = F.concat_ws("|", key_text(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     keys = {"domain": domain, "language": key_text(lang_col), "source_name": key_text(source_col)}
@@ -124,12 +126,20 @@ def mix_sources(
     cuts = budgets.join(first_of_edge, list(LEVELS), "left").join(last, list(LEVELS), "left")
     cuts = cut(cuts.select(*LEVELS, "_whole", F.when(F.col("_floor").isNull(), F.lit((1 << 60) - 1)).otherwise(F.coalesce("_last", "_floor")).alias("_cut"), "_rest"))
 
-    out = docs.drop("_domain", "_n_tokens", "_copies")
-    cuts = cuts.select(*[F.col(c).alias(f"_leaf_{c}") for c in LEVELS], F.col("_whole").alias("_leaf_whole"), F.col("_cut").alias("_leaf_cut"), F.col("_rest").alias("_leaf_rest"))
-    match = [keys[c] == F.col(f"_leaf_{c}") for c in LEVELS]
-    joined = out.join(hint(cuts), match[0] & match[1] & match[2], "left")
-    extra = (F.col("_leaf_rest") > 0) & (F.col("_leaf_whole") < max_epochs) & (seeded(seed, F.col("_leaf_whole") + 1, base) <= F.col("_leaf_cut"))
-    n_tokens = tokens_of(F.col(text_col))
-    joined = joined.withColumn("_n_tokens", n_tokens)
-    copies = F.col("_leaf_whole") + F.when(extra & (F.col("_n_tokens") > 0), 1).otherwise(0)
-    return joined.withColumn("_domain", domain).withColumn("_copies", copies.cast("int")).select(*out.columns, "_domain", "_n_tokens", "_copies")
+    rows = packed(docs, **keys, _base=base, _n_tokens=tokens_of(F.col(text_col)))
+    joined = rows.join(hint(cuts), list(LEVELS), "left")
+    extra = (F.col("_rest") > 0) & (F.col("_whole") < max_epochs) & (seeded(seed, F.col("_whole") + 1, F.col("_base")) <= F.col("_cut"))
+    copies = F.col("_whole") + F.when(extra & (F.col("_n_tokens") > 0), 1).otherwise(0)
+    return joined.select("_row", F.col("domain").alias("_domain"), "_n_tokens", copies.cast("int").alias("_copies"))
+
+
+def mix_sources(docs: DataFrame, *args, **options) -> DataFrame:
+    """``docs`` with _domain, _n_tokens and _copies of ``mixed_rows``; columns of these three names in the input are replaced."""
+    new = ["_domain", "_n_tokens", "_copies"]
+    return mixed_rows(docs, *args, **options).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in new], *new)
+
+
+def take_mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns, whatever their names."""
+    taken = mixed_rows(docs, *args, **options).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import batched, cut, parts, small
+from factloom.llm.common import batched, cut, packed, parts, small
 from factloom.llm.components import components
 
 SHINGLE = 5
@@ -251,8 +251,10 @@ def join_documents(docs: DataFrame, threshold: str = THRESHOLD, trees: int = TRE
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those whose component of near copies has a smaller id: one document of each stays.
 
-    Rows that repeat both id and text are one document. The removed keys are joined back as a narrow table.
+    Rows that repeat both id and text are one document. Texts without words stay. All columns stay, whatever their names;
+    an empty table gives an empty result. The removed keys are joined back as a narrow table.
     """
-    joined = join_documents(docs, id_col=id_col, text_col=text_col, **options)
-    gone = cut(joined.filter(F.col("class_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gid"), F.col("th").alias("_gth")).distinct())
-    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.xxhash64(text_col) == F.col("_gth")), "left_anti")
+    joined = join_documents(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    gone = cut(joined.filter(F.col("class_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("gid"), F.col("th").alias("gth")).distinct())
+    rows = packed(docs, id=F.col(id_col), th=F.xxhash64(text_col))
+    return rows.join(small(gone), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left_anti").select("_row.*")

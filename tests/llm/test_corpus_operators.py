@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import arrays, components, decontam, line_dedup, mixing, ngram_join, ppm, quality, sharding, suffix_dedup, topk, toxicity
 from factloom.llm.common import table
+from tests_of_operators import WORD, brute_decontam, brute_links, brute_mix, leaf_rows, lower
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, n_hit long"
@@ -48,13 +49,6 @@ def labels(spark):
     return table(spark, SF, "labels")
 
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def lower(text):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-
-
 # 1 sharding
 @pytest.mark.parametrize("which", ["docs", "awkward"])
 def test_sharding(which, request):
@@ -128,99 +122,27 @@ def test_quality(spark, awkward):
 
 
 # 4 mixing
-def brute_mix(rows, weights, share, epochs, seed=11):
-    def key(r, epoch):
-        base = f"{r['id']}|{hashlib.md5((r['text'] or '').encode()).hexdigest()}"
-        return int(hashlib.md5(f"{seed}|{epoch}|{base}".encode()).hexdigest()[:15], 16)
-
-    tokens = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
-    caps = Counter()
-    for r in rows:
-        for d in range(4):
-            caps[r["leaf"][:d]] += tokens(r) * epochs
-    budgets = {(): sum(map(tokens, rows)) * share}
-    for d in range(3):
-        for parent in [p for p in caps if len(p) == d]:
-            kids = [k for k in caps if len(k) == d + 1 and k[:d] == parent]
-            left, open_, alloc = budgets[parent], set(kids), dict.fromkeys(kids, 0.0)
-            w = {k: weights.get("/".join(k), 1.0) for k in kids}
-            while open_:
-                level = left / sum(w[k] for k in open_)
-                full = {k for k in open_ if caps[k] <= level * w[k] + 1e-9}
-                if not full:
-                    for k in open_:
-                        alloc[k] = level * w[k]
-                    break
-                for k in full:
-                    alloc[k] = caps[k]
-                    left -= caps[k]
-                open_ -= full
-            budgets.update(alloc)
-    out = Counter()
-    for leaf in [p for p in caps if len(p) == 3]:
-        mine = [r for r in rows if r["leaf"] == leaf]
-        total = sum(map(tokens, mine))
-        whole = min(math.floor(budgets[leaf] / total), epochs) if total else 0
-        rest = budgets[leaf] - whole * total
-        by = defaultdict(int)
-        for r in mine:
-            by[key(r, whole + 1)] += tokens(r)
-        so_far, taken = 0, set()
-        for k in sorted(k for k in by if by[k]):
-            so_far += by[k]
-            if so_far > rest:
-                break
-            taken.add(k)
-        for r in mine:
-            extra = whole < epochs and rest > 0 and tokens(r) > 0 and key(r, whole + 1) in taken
-            out[r["id"], tokens(r), whole + extra] += 1
-    return out
-
-
 @pytest.mark.parametrize("which,share,epochs", [("docs", 0.8, 2), ("docs", 1.7, 2), ("docs", 0.1, 1), ("awkward", 0.8, 2)])
 def test_mixing(which, share, epochs, request):
     df = request.getfixturevalue(which)
     weights = {"broad": 3.0, "broad/en": 4.0, "niche/en/src11": 20.0}
-    rows = []
-    for r in df.collect():
-        m = re.search("([0-9]+)$", r.source or "")
-        leaf = ("broad" if m and int(m[1]) < 10 else "niche", r.lang or "\x00null", r.source or "\x00null")
-        rows.append({"id": "\x00null" if r.doc_id is None else str(r.doc_id), "text": r.text, "leaf": leaf})
+    rows = leaf_rows(df)
     got = mixing.mix_sources(df, weights, share, epochs).collect()
     assert Counter(("\x00null" if r.doc_id is None else str(r.doc_id), r._n_tokens, r._copies) for r in got) == brute_mix(rows, weights, share, epochs)
 
 
-def test_mixing_empty(awkward):
+def test_mixing_empty_and_clashing_names(awkward):
     assert mixing.mix_sources(awkward.limit(0)).count() == 0
+    clash = awkward.select("*", F.lit("mine").alias("_leaf_whole"), F.lit(5).alias("_copies"), F.lit("x").alias("domain"))
+    got = mixing.mix_sources(clash)
+    assert got.columns == [c for c in clash.columns if c != "_copies"] + ["_domain", "_n_tokens", "_copies"] and got.filter("domain <> 'x' or _leaf_whole <> 'mine'").count() == 0
+    taken = mixing.take_mix(clash)
+    assert taken.columns == clash.columns and taken.count() == got.agg(F.sum("_copies")).first()[0] and taken.filter("_copies <> 5").count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(awkward, {"broad": 0.0})
 
 
 # 5 n-gram join
-def brute_links(rows, threshold):
-    sets = []
-    for r in rows:
-        w = WORD.findall(lower(r.text))
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
-    links, parent = Counter(), list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and Fraction(len(sets[i] & sets[j]), len(sets[i] | sets[j])) >= threshold:
-                links[i] += 1
-                links[j] += 1
-                parent[find(i)] = find(j)
-    low = {}
-    for i, r in enumerate(rows):
-        if sets[i]:
-            low.setdefault(find(i), []).append(r.doc_id)
-    name = lambda i: min((x for x in low[find(i)] if x is not None), default=None) if sets[i] else rows[i].doc_id
-    return Counter((r.doc_id, name(i), links[i]) for i, r in enumerate(rows))
-
-
 @pytest.mark.parametrize("which", ["docs", "awkward"])
 def test_ngram_join(which, request):
     df = request.getfixturevalue(which)
@@ -255,30 +177,12 @@ def test_components(spark):
 
 
 # 6 decontamination
-def brute_decontam(rows, items, span=10):
-    wins = []
-    for i in items:
-        w = WORD.findall(lower(i.text))
-        n = min(span, len(w))
-        wins.append((str(i.item_id) if i.item_id is not None else "null", {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set(), n))
-    out = Counter()
-    for r in rows:
-        w, hit, found = WORD.findall(lower(r.text)), set(), set()
-        for name, grams, n in wins:
-            for k in range(len(w) - n + 1):
-                if grams and tuple(w[k : k + n]) in grams:
-                    hit.update(range(k, k + n))
-                    found.add(name)
-        out[r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    return out
-
-
-@pytest.mark.parametrize("block_bytes", [32 << 20, 2000])
+@pytest.mark.parametrize("prints", [4_000_000, 0])
 @pytest.mark.parametrize("which", ["docs", "awkward"])
-def test_decontamination(spark, which, block_bytes, request, monkeypatch):
+def test_decontamination(spark, which, prints, request, monkeypatch):
     df = request.getfixturevalue(which)
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block_bytes)
-    items = [(None, "other"), (5, "C; d e"), (5, "again in"), (6, ""), (7, None), (8, " ".join(f"w{i % 977}x{i % 31}" for i in range(500, 530))), (9, "same words stand here again and again in this text"), (10, "b C d e")]
+    monkeypatch.setattr(decontam, "BROADCAST_PRINTS", prints)
+    items = [(None, "other"), (5, "C; d e"), (5, "again in"), (6, ""), (7, None), (8, " ".join(f"w{i % 977}x{i % 31}" for i in range(500, 530))), (80, " ".join(f"w{i % 977}x{i % 31}" for i in range(500, 530))), (81, "same words stand here again and again in this text!"), (9, "same words stand here again and again in this text"), (10, "b C d e")]
     bench = table(spark, SF, "benchmark").union(spark.createDataFrame(items, "item_id long, text string"))
     got = decontam.decontaminate(df.select("doc_id", "text", "lang"), bench).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute_decontam(df.collect(), bench.collect())
@@ -289,6 +193,11 @@ def test_decontamination_of_awkward_columns(awkward, spark):
     got = decontam.decontaminate(awkward, bench.limit(0))
     assert got.filter("contaminated").count() == 0 and got.columns[:6] == [c for c in awkward.columns if c != "n_hit"]
     assert decontam.decontaminate(awkward.limit(0), bench).count() == 0
+    clash = awkward.select("*", F.lit("mine").alias("t1"), F.lit(777).alias("n_words"), F.lit("x").alias("hits"))
+    items = spark.createDataFrame([(1, "one TWO"), (2, "")], "item_id long, text string")
+    kept = decontam.drop_contaminated(clash, items)
+    assert kept.columns == clash.columns and Counter(kept.collect()) == Counter(r for r in clash.collect() if r.text != "one two")
+    assert decontam.drop_contaminated(clash, items.limit(0)).count() == len(AWKWARD)
 
 
 # 7 LM scoring
