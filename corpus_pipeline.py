@@ -1,7 +1,11 @@
 """A training corpus from raw documents: five stages, each one operator of ``factloom.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
-docs. All but the last return the columns of ``documents``.
+docs. All but the last return the columns of ``docs``, whatever their names: stages carry a row's columns as one struct.
+
+Null and empty texts count as clean of toxic words and of the benchmark's and as no copies of another; the mix takes them as
+often as their leaf has whole epochs. Rows that repeat id and text stay or go together, but for the mix and the shards, which
+count rows. Null ids never name a group of copies that has another id. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontam, mixing, ngram_join, sharding, toxicity
-from factloom.llm.common import cut, table
+from factloom.llm.common import stored, table
 from factloom.llm.queries import WEIGHTS
 
 
@@ -25,14 +29,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten consecutive words with a benchmark item go."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    """Documents that share ten consecutive words, or all of a shorter item, with the benchmark go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: none, one or two times."""
-    mixed = mixing.mix_sources(docs, WEIGHTS)
-    return mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    return mixing.take_mix(docs, WEIGHTS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +51,15 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Learned scores and hashed order keys have no SQL; tests/llm checks each stage against its brute-force version.
+#: Learned scores and the permutation of rows have no SQL; tests/llm checks each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's result is cut off from its inputs."""
+    """All stages over ``documents``; every stage's result but the last is a Parquet table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = cut(docs)
+            docs = stored(docs)
     return docs
