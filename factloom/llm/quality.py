@@ -1,15 +1,17 @@
 """Document quality by co-training two views.
 
 The text view sees words and the text's shape, the metadata view source, language and length columns. Each is a logistic
-regression in numpy. In every round each view labels the unlabelled pool, and its most confident rows of either label join
-the other view's training set. Both are then calibrated (Platt) on rows kept out of the fit, and a logistic combination of
-the calibrated views scores all documents. The labelled sample and the pool are bounded by ``MAX_ROWS`` each.
+regression in numpy, calibrated (Platt) on labelled rows kept out of its fit. In every round both views score the whole
+unlabelled table in Spark, and each hands the rows that it is surest of, none below ``CONFIDENT``, to the other view's
+training set, ``EXCHANGE`` of either label at most. A logistic combination of the calibrated views then scores all documents. Only
+the labelled sample (``MAX_ROWS``) and the rows handed over are on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
-from factloom.llm.common import batched, crc_fold
+from factloom.llm.common import batched, crc_fold, cut
 
 BUCKETS = 256
 META = 512
 SHAPE = 24
 MAX_ROWS = 2500
-ROUNDS = 4
-EXCHANGE = 60  # rows of either label that a view hands over in a round
+ROUNDS = 3
+EXCHANGE = 60  # rows of either label that a view hands over in a round at most
+CONFIDENT = 0.9  # calibrated probability that a handed label needs
 
 
 @dataclass(frozen=True)
@@ -134,39 +137,20 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(m.weights[0] / m.scale[0]), float(m.intercept - m.weights[0] * m.mean[0] / m.scale[0] + np.log(y.mean() / (1 - y.mean())))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, exchange: int = EXCHANGE) -> Model:
-    """Fit both views; ``labels`` is -1 for the pool. Every fourth labelled row calibrates and combines the views."""
-    known = np.flatnonzero(labels >= 0)
-    keep = known[np.arange(len(known)) % 4 == 3]
-    fit = np.setdiff1d(known, keep)
-    pool = np.flatnonzero(labels < 0)
-    views = [text, meta]
-    sets = [(fit, labels[fit].astype(float)) for _ in views]
-    models = [fit_logit(v[s], y) for v, (s, y) in zip(views, sets, strict=True)]
-    for _ in range(rounds):
-        handed, taken = [], []
-        for v, model in zip(views, models, strict=True):
-            z = model.raw(v[pool])
-            order = np.argsort(z, kind="stable")
-            n = min(exchange, len(pool) // 4)
-            low, high = pool[order[:n]], pool[order[len(order) - n :]]
-            handed.append((np.concatenate([low, high]), np.repeat([0.0, 1.0], [len(low), len(high)])))
-            taken += [low, high]
-        for k in (0, 1):
-            rows, y = handed[1 - k]
-            sets[k] = np.concatenate([sets[k][0], rows]), np.concatenate([sets[k][1], y])
-        pool = np.setdiff1d(pool, np.concatenate(taken))
-        models = [fit_logit(v[s], y) for v, (s, y) in zip(views, sets, strict=True)]
-    fitted = []
-    for v, m in zip(views, models, strict=True):
-        slope, shift = platt(m.raw(v[keep]), labels[keep].astype(float))
-        fitted.append(Logit(m.mean, m.scale, m.weights, m.intercept, max(slope, 0.0), shift))
-    z = np.stack([m.calibrated(v[keep]) for m, v in zip(fitted, views, strict=True)], 1) if len(keep) else np.zeros((0, 2))
-    both = fit_logit(z, labels[keep].astype(float), 300, 1e-2)
+def fitted(x: np.ndarray, y: np.ndarray, kept_x: np.ndarray, kept_y: np.ndarray) -> Logit:
+    """A view with its calibration on the rows kept out."""
+    m = fit_logit(x, y)
+    slope, shift = platt(m.raw(kept_x), kept_y)
+    return Logit(m.mean, m.scale, m.weights, m.intercept, max(slope, 0.0), shift)
+
+
+def combined(views: list[Logit], kept: list[np.ndarray], kept_y: np.ndarray, prior: float) -> Model:
+    """The logistic combination of the calibrated views on the rows kept out, at the labels' rate."""
+    z = np.stack([m.calibrated(x) for m, x in zip(views, kept, strict=True)], 1) if len(kept_y) else np.zeros((0, 2))
+    both = fit_logit(z, kept_y, 300, 1e-2)
     w = both.weights / both.scale
-    prior = labels[known].mean() if len(known) else 0.5
     shift = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
-    return Model(fitted[0], fitted[1], (float(w[0]), float(w[1]), float(both.intercept - (w * both.mean).sum() + shift)))
+    return Model(views[0], views[1], (float(w[0]), float(w[1]), float(both.intercept - (w * both.mean).sum() + shift)))
 
 
 COLUMNS = ["_text", "_source", "_lang", "_chars"]
@@ -178,31 +162,100 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars") -> Model:
-    """Co-train on at most ``max_rows`` labelled rows (half of each label as far as there are such, outside fold 2 of 4)
-    and as many unlabelled ones, picked by hash of the id. Features are made on the executors."""
+def _features(rows: DataFrame, key: str) -> pd.DataFrame:
+    """Both views of (key, *COLUMNS) rows, made in tasks; the rows must be bounded. Sorted, so that their order is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            views = text_view(b.column("_text")), meta_view(b.column("_source"), b.column("_lang"), b.column("_chars"))
+            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array([r.tobytes() for r in x], pa.binary()) for x in views]], ["key", "t", "m"])
+
+    pdf = rows.select(F.col(key).cast("string").alias("key"), *COLUMNS).mapInArrow(run, "key string, t binary, m binary").toArrow().to_pandas()
+    return pdf.sort_values(["key", "t", "m"]).drop_duplicates("key") if len(pdf) else pdf
+
+
+def _arrays(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(pdf[c]), np.float32).reshape(len(pdf), n) for c, n in (("t", SHAPE + BUCKETS), ("m", META))]
+
+
+def confident(pool: DataFrame, labelled: DataFrame, views: list[Logit], taken: list[str], exchange: int = EXCHANGE) -> DataFrame:
+    """(key, view, label): the rows of the whole pool that each view hands over.
+
+    ``pool`` (key, *COLUMNS), ``labelled`` (key). Of either label these are the ``exchange`` rows with the highest calibrated
+    probability, if it is ``CONFIDENT`` at least; probabilities are compared in steps of 1e-4, ties by the key. A view that
+    learned nothing hands over nothing. Rows with a labelled or ``taken`` key are left out. Texts are not shuffled.
+    """
+    spark = pool.sparkSession
+    shared = spark.sparkContext.broadcast(views)
+    edge = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                x = text_view(part.column("_text")), meta_view(part.column("_source"), part.column("_lang"), part.column("_chars"))
+                z = [v.calibrated(a) if v.weights.any() else np.zeros(len(a)) for v, a in zip(shared.value, x, strict=True)]
+                keep = np.flatnonzero((np.abs(z[0]) >= edge) | (np.abs(z[1]) >= edge))
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(keep)), *[pa.array(np.round(a[keep], 4)) for a in z]], ["key", "z0", "z1"])
+
+    scored = pool.mapInArrow(run, "key string, z0 double, z1 double").groupBy("key").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1"))
+    if taken:
+        scored = scored.join(F.broadcast(spark.createDataFrame([(k,) for k in taken], "key string")), "key", "left_anti")
+    scored = cut(scored.join(labelled.select("key"), "key", "left_anti"))
+    parts = []
+    for view in (0, 1):
+        for label in (0, 1):
+            z = F.col(f"z{view}") if label else -F.col(f"z{view}")
+            top = scored.filter(z >= edge).orderBy(z.desc(), "key").limit(exchange)
+            parts.append(top.select("key", F.lit(view).alias("view"), F.lit(label).alias("label")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, exchange: int = EXCHANGE, id_col: str = "doc_id",
+    text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars",
+) -> Model:
+    """Co-train on at most ``max_rows`` labelled rows (half of each label as far as there are such, outside fold 2 of 4, picked
+    by hash of the id) and on what the views hand over from all unlabelled rows outside that fold.
+
+    Repeated labels of an id: the highest counts. Rows with a null id are scored, never learned from; of rows that repeat an id
+    one is learned from, always the same. With one label only, or none, the score is constant.
+    """
     batched(docs.sparkSession)
-    order = F.xxhash64("_lid")
     marked = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, 4) != 2))
     marked = marked.groupBy(F.col(id_col).alias("_lid")).agg(F.max("quality").cast("int").alias("_y"))
-    half = [marked.filter(f"_y = {y}").orderBy(order, "_lid").limit(max_rows // 2) for y in (0, 1)]
-    ids = docs.select(F.col(id_col).alias("_lid")).filter("_lid is not null")
-    pool = ids.join(labels.select(F.col(id_col).alias("_lid")), "_lid", "left_anti").filter(crc_fold("_lid", 4) != 2).orderBy(order, "_lid").limit(max_rows)
-    sample = half[0].unionAll(half[1]).unionAll(pool.select("_lid", F.lit(-1).alias("_y")))
-    rows = _columns(docs, id_col, text_col, source_col, lang_col, chars_col).join(F.broadcast(sample), F.col("_id") == F.col("_lid")).select("_lid", "_y", *COLUMNS)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = text_view(b.column("_text"))
-            m = meta_view(b.column("_source"), b.column("_lang"), b.column("_chars"))
-            blobs = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m)]
-            yield pa.RecordBatch.from_arrays([b.column("_lid").cast(pa.string()), b.column("_y"), *blobs], ["id", "y", "t", "m"])
-
-    pdf: pd.DataFrame = rows.mapInArrow(features, "id string, y int, t binary, m binary").toArrow().to_pandas()
-    pdf = pdf.drop_duplicates("id").sort_values("id").sample(frac=1.0, random_state=4) if len(pdf) else pdf
-    t = np.frombuffer(b"".join(pdf["t"]), np.float32).reshape(len(pdf), SHAPE + BUCKETS)
-    m = np.frombuffer(b"".join(pdf["m"]), np.float32).reshape(len(pdf), META)
-    return co_train(t, m, pdf["y"].to_numpy(np.int64))
+    half = [marked.filter(f"_y = {y}").orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows // 2) for y in (0, 1)]
+    sample = F.broadcast(half[0].unionAll(half[1]))
+    columns = _columns(docs, id_col, text_col, source_col, lang_col, chars_col)
+    joined = columns.join(sample, F.col("_id") == F.col("_lid"))
+    pdf = _features(joined, "_id")
+    truth = dict(sample.select(F.col("_lid").cast("string"), "_y").collect())
+    y = np.array([truth[k] for k in pdf["key"]], np.float64)
+    mixed = np.random.default_rng(4).permutation(len(pdf))
+    y, views_x = y[mixed], [x[mixed] for x in _arrays(pdf)]
+    keep = np.arange(len(y)) % 4 == 3
+    kept, kept_y = [x[keep] for x in views_x], y[keep]
+    sets = [(x[~keep], y[~keep]) for x in views_x]
+    pool = columns.filter(F.col("_id").isNotNull() & (crc_fold("_id", 4) != 2)).select(F.col("_id").cast("string").alias("key"), *COLUMNS)
+    labelled = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("key")).distinct()
+    taken: list[str] = []
+    models = [fitted(x, t, kx, kept_y) for (x, t), kx in zip(sets, kept, strict=True)]
+    for _ in range(rounds):
+        given = confident(pool, labelled, models, taken, exchange).collect()
+        if not given:
+            break
+        names = sorted({r.key for r in given})
+        wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in names], "key string"))
+        found = _features(pool.join(wanted, "key"), "key").reset_index(drop=True)
+        at, x = {k: i for i, k in enumerate(found["key"])}, _arrays(found)
+        for view in (0, 1):
+            rows = [(at[r.key], r.label) for r in sorted(given) if r.view != view]
+            if rows:
+                index, label = np.array(rows).T
+                sets[view] = np.concatenate([sets[view][0], x[view][index]]), np.concatenate([sets[view][1], label.astype(float)])
+        taken += names
+        models = [fitted(a, t, kx, kept_y) for (a, t), kx in zip(sets, kept, strict=True)]
+    return combined(models, kept, kept_y, float(y.mean()) if len(y) else 0.5)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars") -> DataFrame:

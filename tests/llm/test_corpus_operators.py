@@ -109,18 +109,57 @@ def test_filters_match_a_plain_convolution():
 
 
 # 3 quality
+def auc(pairs):
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
 def test_quality(spark, awkward):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     model = quality.fit(docs, labels)
-    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    got = {r.doc_id: r for r in quality.score_quality(docs, model).collect()}
     held = [(got[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in got and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
-    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
-    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.8
+    assert auc([(r.score, y) for r, y in held]) > 0.8
+    alone = {r.doc_id: r.text_score for r in quality.score_quality(docs, quality.fit(docs, labels, rounds=0)).collect()}
+    assert auc([(r.score, y) for r, y in held]) > auc([(alone[r.doc_id], y) for r, y in held]) - 0.02
+    shuffled = quality.fit(docs.repartition(5).unionAll(docs.limit(50)), labels)
+    assert np.allclose(shuffled.text.weights, model.text.weights, atol=1e-3) and np.allclose(shuffled.combine, model.combine, atol=1e-2)
     odd = quality.score_quality(awkward, model).collect()
     assert len(odd) == len(AWKWARD) and all(0 <= r.score <= 1 for r in odd)
+    assert len({r.score for r in odd if r.doc_id == 3}) == 1
     assert quality.score_quality(awkward.limit(0), quality.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_views_hand_over_their_surest_rows(spark, docs):
+    """Beside the two views over all rows on the driver: bounds, ties by key, what is left out, and a view that knows nothing."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    columns = quality._columns(docs, "doc_id", "text", "source", "lang", "n_chars").select(F.col("_id").cast("string").alias("key"), *quality.COLUMNS)
+    rows = columns.toArrow()
+    x = [quality.text_view(rows["_text"]), quality.meta_view(rows["_source"], rows["_lang"], rows["_chars"])]
+    views = [quality.Logit(np.zeros(a.shape[1]), np.ones(a.shape[1]), rng.normal(size=a.shape[1]), 0.1, 1.5, 0.2) for a in x]
+    labelled, taken = rows["key"].to_pylist()[:40], rows["key"].to_pylist()[40:60]
+    given = quality.confident(columns, spark.createDataFrame([(k,) for k in labelled], "key string"), views, taken, 7).collect()
+    want = set()
+    for v in (0, 1):
+        z = np.round(views[v].calibrated(x[v]), 4)
+        for label in (0, 1):
+            open_ = [(-s if label else s, k) for s, k in zip(z, rows["key"].to_pylist()) if k not in labelled + taken and (s if label else -s) >= np.log(9)]
+            want |= {(k, v, label) for _, k in sorted(open_)[:7]}
+    assert {(r.key, r.view, r.label) for r in given} == want and len(given) == len(want) > 10
+    none = [quality.fit_logit(a[:3], np.ones(3)) for a in x]
+    assert quality.confident(columns, spark.createDataFrame([], "key string"), none, [], 7).count() == 0
+
+
+def test_meta_view_of_nulls():
+    import pyarrow as pa
+
+    text, number = pa.array([None, None, "a"], pa.string()), pa.array([None, None, 3.0], pa.float64())
+    got = quality.meta_view(text, text, number)
+    assert (got[0] == got[1]).all() and (got[0] != got[2]).any()
+
+
 # 4 mixing
 @pytest.mark.parametrize("which,share,epochs", [("docs", 0.8, 2), ("docs", 1.7, 2), ("docs", 0.1, 1), ("awkward", 0.8, 2)])
 def test_mixing(which, share, epochs, request):
