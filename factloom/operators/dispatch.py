@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from factloom.operators.lookup import ordered_lookup
+from factloom.operators.chains import method_chains, singleton_chains
+from factloom.operators.common import cut
+from factloom.operators.lookup import name_fallback, ordered_lookup
 
 
 def super_lookup(sites: DataFrame, chains: DataFrame, methods: DataFrame) -> DataFrame:
@@ -46,3 +51,160 @@ def arity_rejected(given: Column, keywords: Column, low: Column, high: Column, r
     missing = F.size(F.array_except(needed, given_kw)) > 0
     unknown = ~rest & (F.size(F.array_except(given_kw, known)) > 0)
     return wrong_count | (takes & (missing | unknown))
+
+
+def protected_outcome(sites: DataFrame, chains: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sites`` with protected_ok: true, false or NULL (not known) for a protected target, true for any other.
+
+    ``sites`` (caller_owner, receiver_owner, target_owner, visibility, receiver_kind, original): allowed are reflective and
+    bare calls; public_send never; else both families must hold the target's owner, if all three owners are known and static.
+    """
+    static = classes.filter("not dynamic").select(F.col("id").alias("_known"))
+    family = chains.select("owner", F.col("candidate").alias("_member")).distinct()
+    rows = sites
+    for name in ("caller_owner", "receiver_owner", "target_owner"):
+        rows = rows.join(static.select(F.col("_known").alias(name), F.lit(True).alias(f"_{name}")), name, "left")
+    for name in ("caller_owner", "receiver_owner"):
+        members = family.select(F.col("owner").alias(name), F.col("_member").alias("target_owner"), F.lit(True).alias(f"_{name}_in"))
+        rows = rows.join(members, [name, "target_owner"], "left")
+    known = F.col("_caller_owner").isNotNull() & F.col("_receiver_owner").isNotNull() & F.col("_target_owner").isNotNull()
+    inside = F.col("_caller_owner_in").isNotNull() & F.col("_receiver_owner_in").isNotNull()
+    outcome = (
+        F.when(F.coalesce(F.col("visibility") != "protected", F.lit(True)), F.lit(True))
+        .when(F.col("original") == "public_send", F.lit(False))
+        .when(F.col("original").isin("send", "__send__", "method") | F.col("receiver_kind").isin("implicit", "super", "self"), F.lit(True))
+        .when(known, inside)
+    )
+    return rows.withColumn("protected_ok", outcome).select(*sites.columns, "protected_ok")
+
+
+def strategy() -> Column:
+    """Which lookup a call site takes: the first rule that holds.
+
+    Columns: dynamic, physical_target, flow_types (array), receiver_kind, caller_owner, caller_kind.
+    """
+    kind = F.col("receiver_kind")
+    own = F.when(F.col("caller_owner").isNull(), "name").when(F.coalesce(F.col("caller_kind") == "instance_method", F.lit(False)), "self_instance").otherwise("self_singleton")
+    above = F.when(F.col("caller_owner").isNull(), "name").when(F.col("caller_kind") == "singleton_method", "super_singleton").otherwise("super_instance")
+    return (
+        F.when(F.coalesce(F.col("dynamic"), F.lit(False)), "name")
+        .when(F.col("physical_target").isNotNull(), "physical")
+        .when(F.coalesce(F.size("flow_types") > 0, F.lit(False)), "flow")
+        .when(kind == "constant", "singleton")
+        .when(kind == "instance", "instance")
+        .when(kind.isin("self", "implicit"), own)
+        .when(kind == "super", above)
+        .otherwise("name")
+    )
+
+
+def chain_lookup(sites: DataFrame, entries: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """(site, part, definition_id, place, complete, missing): all definitions of the message in a site's entries.
+
+    ``sites`` (site, part, owner, message, after): entries up to position ``after`` don't count (NULL: all do); ``part`` tells
+    several lookups of a site apart. ``entries`` (owner, pos, candidate, sep), ``methods`` (candidate, sep, message,
+    definition_id), ``classes`` (id, dynamic). place 1: the first owner that defines it (ties stay), 2: shadowed by it.
+    complete: every owner up to that one has a class row, and no owner of the entries is dynamic. missing: found by method_missing,
+    which is looked for where the message is nowhere.
+    """
+    info = classes.select(F.col("id").alias("candidate"), F.col("dynamic").alias("_dynamic"), F.lit(1).alias("_row"))
+    tagged = entries.join(info, "candidate", "left")
+    upto = Window.partitionBy("owner").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    gaps = F.sum(F.when(F.col("_row").isNull(), 1).otherwise(0)).over(upto)
+    tagged = tagged.withColumn("_gaps", gaps).withColumn("_dyn", F.max(F.coalesce(F.col("_dynamic").cast("int"), F.lit(0))).over(Window.partitionBy("owner")))
+    wanted = sites.select("site", "part", "owner", "after", F.explode(F.array(F.struct(F.col("message").alias("message"), F.lit(False).alias("missing")), F.struct(F.lit("method_missing").alias("message"), F.lit(True).alias("missing")))).alias("_m"))
+    wanted = wanted.select("site", "part", "owner", "after", "_m.*")
+    found = wanted.join(tagged, "owner").filter(F.col("after").isNull() | (F.col("pos") > F.col("after"))).join(methods, ["candidate", "sep", "message"])
+    by = Window.partitionBy("site", "part").orderBy("missing", "pos")
+    placed = found.withColumn("_rank", F.rank().over(by)).withColumn("_hit", F.min_by("missing", F.struct("missing", "pos")).over(Window.partitionBy("site", "part")))
+    placed = placed.filter(F.col("missing") == F.col("_hit")).filter(~F.col("missing") | (F.col("_rank") == 1))
+    first = Window.partitionBy("site", "part")
+    complete = F.max(F.when(F.col("_rank") == 1, (F.col("_gaps") == 0) & (F.col("_dyn") == 0))).over(first)
+    return placed.select("site", "part", "definition_id", F.when(F.col("_rank") == 1, 1).otherwise(2).alias("place"), complete.alias("complete"), "missing")
+
+
+def method_lookup(sites: DataFrame, nodes: DataFrame, classes: DataFrame, limit: int | None = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lookups, targets, rejected) of call sites: site, status, reason; site, definition_id; site, definition_id, reason.
+
+    ``sites`` (site, caller_id, message, receiver_kind, receiver_name, dynamic, test, physical_target, flow_types,
+    original); ``nodes`` (definition_id, kind, owner, name, visibility, test); ``classes`` (id, kind, superclass, includes,
+    prepends, singleton_includes, singleton_prepends, dynamic). status: complete, partial (targets, but there may be more) or
+    unknown. A module's super call is answered by every host and is never complete; several flow types are complete only if
+    each is. Complete lookups reject private and protected targets and name what the hit shadows.
+    """
+    callers = nodes.select(F.col("definition_id").alias("caller_id"), F.col("owner").alias("caller_owner"), F.col("kind").alias("caller_kind"))
+    rows = sites.join(callers, "caller_id", "left").withColumn("strategy", strategy())
+    sep = F.when(F.col("kind") == "singleton_method", ".").otherwise("#")
+    methods = nodes.filter(F.col("kind").isin("instance_method", "singleton_method")).select(F.col("owner").alias("candidate"), sep.alias("sep"), F.col("name").alias("message"), "definition_id", F.coalesce("test", F.lit(False)).alias("_test"))
+    plain = methods.drop("_test")
+    owner = F.when(F.col("strategy").isin("singleton", "instance"), F.col("receiver_name")).otherwise(F.col("caller_owner"))
+    asked = rows.filter("strategy not in ('name', 'physical')").withColumn("owner", owner)
+    asked = asked.filter("strategy <> 'flow'").withColumn("part", F.lit("")).unionByName(asked.filter("strategy = 'flow'").withColumn("owner", F.explode(F.array_distinct("flow_types"))).withColumn("part", F.col("owner")))
+    asked = cut(asked.select("site", "part", "owner", "message", "strategy"))
+    starts = asked.select("owner").union(classes.select("id")).distinct()
+    instance = cut(method_chains(classes, starts).withColumn("sep", F.lit("#")))
+    lone = starts.join(classes.select(F.col("id").alias("owner")), "owner", "left_anti").filter("owner is not null").select("owner", F.lit(0).alias("pos"), F.col("owner").alias("candidate"), F.lit(".").alias("sep"))
+    singleton = cut(singleton_chains(classes).unionByName(lone))
+    none = F.lit(None).cast("int").alias("after")
+    modules = classes.filter("kind = 'module'").select(F.col("id").alias("owner"))
+    shared = asked.filter("strategy = 'super_instance'").join(modules, "owner", "left_semi")
+    own_place = lambda entries, s: entries.filter((F.col("candidate") == F.col("owner")) & (F.col("sep") == s)).select("owner", F.col("pos").alias("after"))
+    above = asked.filter("strategy = 'super_instance'").join(modules, "owner", "left_anti")
+    hosts = classes.filter("kind = 'class'").select(F.col("id").alias("owner"))
+
+    def hosted(entries: DataFrame) -> DataFrame:
+        """The module's super calls, in every class whose entries hold it."""
+        inside = entries.filter("sep = '#'").join(hosts, "owner").select(F.col("owner").alias("_host"), F.col("candidate").alias("owner"), F.col("pos").alias("after"))
+        return shared.join(inside, "owner").select("site", F.col("_host").alias("part"), F.col("_host").alias("owner"), "message", "after")
+
+    by_instance = [
+        asked.filter("strategy in ('instance', 'self_instance', 'flow')").select("site", "part", "owner", "message", none),
+        above.join(own_place(instance, "#"), "owner").select("site", "part", "owner", "message", "after"),
+        shared.join(own_place(instance, "#"), "owner").select("site", F.col("owner").alias("part"), "owner", "message", "after"),
+        hosted(instance),
+    ]
+    by_singleton = [
+        asked.filter("strategy in ('singleton', 'self_singleton')").select("site", "part", "owner", "message", none),
+        asked.filter("strategy = 'super_singleton'").join(own_place(singleton, "."), "owner").select("site", "part", "owner", "message", "after"),
+        hosted(singleton),
+    ]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    found = cut(chain_lookup(union(by_instance), instance, plain, classes).unionByName(chain_lookup(union(by_singleton), singleton, plain, classes)))
+    kinds = asked.groupBy("site").agg(F.first("strategy").alias("strategy"), F.count_distinct("part").alias("_parts")).join(shared.select("site", F.lit(True).alias("_open")).distinct(), "site", "left")
+    merged = found.groupBy("site").agg(F.count_distinct("part").alias("_hit"), F.min("complete").alias("_complete"), F.max("missing").alias("_missing"))
+    state = kinds.join(merged, "site", "left")
+    whole = F.coalesce(F.col("_complete"), F.lit(False)) & (F.col("_hit") == F.col("_parts")) & F.col("_open").isNull()
+    status = F.when(F.col("_hit").isNull(), "unknown").when(whole, "complete").otherwise("partial")
+    reason = F.concat(F.col("strategy"), F.when(F.col("_open").isNotNull(), "_open_hosts").when(F.coalesce(F.col("_missing"), F.lit(False)), "_method_missing").otherwise("_lookup"))
+    chained = cut(state.select("site", status.alias("status"), reason.alias("reason"), "strategy"))
+
+    unknown = chained.filter("status = 'unknown' and strategy = 'self_instance'").select("site")
+    named = rows.filter("strategy = 'name'").select("site", "message", "test").unionByName(rows.join(unknown, "site", "left_semi").select("site", "message", "test"))
+    runtime = name_fallback(methods.filter("not _test").select(F.col("message").alias("name"), "definition_id"), limit)
+    tests = name_fallback(methods.select(F.col("message").alias("name"), "definition_id"), limit)
+    is_test = F.coalesce("test", F.lit(False))
+    by_name = named.filter(~is_test).join(runtime, F.col("message") == F.col("name")).unionByName(named.filter(is_test).join(tests, F.col("message") == F.col("name"))).select("site", "definition_id")
+    by_name = cut(by_name)
+    direct = rows.filter("strategy = 'physical'").join(nodes.select(F.col("definition_id").alias("physical_target"), F.lit(True).alias("_there")), "physical_target", "left").select("site", F.col("physical_target").alias("definition_id"), "_there")
+
+    firsts = found.filter("place = 1").select("site", "definition_id").distinct().join(chained.select("site", "status"), "site")
+    facts = firsts.join(rows.select("site", "caller_owner", F.col("receiver_name").alias("receiver_owner"), "receiver_kind", "original"), "site")
+    facts = facts.join(nodes.select("definition_id", F.col("owner").alias("target_owner"), "visibility"), "definition_id")
+    judged = cut(protected_outcome(facts, instance, classes))
+    unsure = judged.filter("protected_ok is null and status = 'complete'").select("site").distinct().withColumn("_unsure", F.lit(True))
+    judged = judged.join(unsure, "site", "left").withColumn("status", F.when(F.col("_unsure").isNotNull(), "partial").otherwise(F.col("status")))
+    private = private_rejected(F.col("visibility"), F.col("receiver_kind"), F.col("original"), F.lit(None).cast("boolean"))
+    why = F.when(F.col("status") == "complete", F.when(~F.col("protected_ok"), "protected_visibility").when(private, "private_visibility"))
+    judged = judged.withColumn("_why", why)
+    targets = union([judged.filter("_why is null").select("site", "definition_id"), by_name, direct.filter("_there").select("site", "definition_id")])
+    final = chained.join(unsure, "site", "left").withColumn("status", F.when(F.col("_unsure").isNotNull(), "partial").otherwise(F.col("status")))
+    filled = by_name.select("site").distinct().withColumn("_named", F.lit(True))
+    fell = final.join(unknown, "site", "left_anti").select("site", "status", "reason")
+    loose = named.select("site").distinct().join(filled, "site", "left").select("site", F.when(F.col("_named"), "partial").otherwise("unknown").alias("status"), F.lit("name_fallback").alias("reason"))
+    exact = direct.select("site", F.when(F.col("_there"), "complete").otherwise("unknown").alias("status"), F.when(F.col("_there"), "physical_definition").otherwise("physical_target_missing").alias("reason"))
+    lookups = union([fell, loose, exact])
+    complete = lookups.filter("status = 'complete'").select("site")
+    hit = found.filter("place = 1").select("site", "definition_id").distinct()
+    shadowed = found.filter("place = 2 and not missing").select("site", "definition_id").distinct().join(hit, ["site", "definition_id"], "left_anti").join(complete, "site", "left_semi")
+    rejected = judged.filter("_why is not null").select("site", "definition_id", F.col("_why").alias("reason")).unionByName(shadowed.withColumn("reason", F.lit("shadowed_by_lookup_order")))
+    return lookups, targets.distinct(), rejected

@@ -19,6 +19,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFra
     """
     per_domain = "domain" in edges.columns
     keys = ["domain", "src"] if per_domain else ["src"]
+    edges = cut(edges.select(*keys, "dst").repartition(*keys))  # made once, dealt for the joins of all rounds
     known = cut(roots.select("domain", "node").distinct().select("domain", "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred")))
     found, frontier = [known], known
     for hop in range(1, max_rounds + 1):
@@ -35,19 +36,17 @@ def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFra
     raise RuntimeError("reach did not settle")
 
 
-def closure(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(ancestor, descendant, depth) of (parent, child) pairs by path doubling; depth is the shortest."""
-    known = cut(pairs.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")).distinct())
-    size = known.count()
-    for _ in range(max_rounds):
-        left = known.select("ancestor", F.col("descendant").alias("mid"), F.col("depth").alias("d1"))
-        right = known.select(F.col("ancestor").alias("mid"), "descendant", F.col("depth").alias("d2"))
-        longer = left.join(right, "mid").select("ancestor", "descendant", (F.col("d1") + F.col("d2")).alias("depth"))
-        known = cut(known.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
-        seen = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
-        if seen == size:
+def closure(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(ancestor, descendant, depth) of (parent, child) pairs; depth is the shortest. Each round joins the new rows only."""
+    edges = cut(pairs.select(F.col("parent").alias("_mid"), F.col("child").alias("descendant")).filter("_mid is not null and descendant is not null").distinct())
+    known = cut(edges.select(F.col("_mid").alias("ancestor"), "descendant", F.lit(1).alias("depth")))
+    frontier = known
+    for depth in range(2, max_rounds + 2):
+        step = frontier.select("ancestor", F.col("descendant").alias("_mid")).join(edges, "_mid").select("ancestor", "descendant").distinct()
+        frontier = cut(step.join(known, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
             return known
-        size = seen
+        known = cut(known.unionByName(frontier))
     raise RuntimeError("closure did not settle")
 
 

@@ -24,10 +24,11 @@ def definition_lookup(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def edges_of(evidence: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, orphans): evidence whose two ends are known, and the rest. ``evidence`` has caller_id and callee_id."""
-    known = nodes.select("definition_id").distinct()
-    ends = evidence.join(known.withColumnRenamed("definition_id", "caller_id"), "caller_id", "left_semi").join(known.withColumnRenamed("definition_id", "callee_id"), "callee_id", "left_semi")
-    return ends, evidence.join(ends.select("evidence_id"), "evidence_id", "left_anti")
+    """(edges, orphans): evidence rows whose two ends are known, and the other rows. ``evidence`` has caller_id and callee_id."""
+    known = lambda name: nodes.select(F.col("definition_id").alias(name), F.lit(True).alias(f"_{name}")).distinct()
+    tagged = evidence.join(known("caller_id"), "caller_id", "left").join(known("callee_id"), "callee_id", "left")
+    both = F.col("_caller_id").isNotNull() & F.col("_callee_id").isNotNull()
+    return tagged.filter(both).select(*evidence.columns), tagged.filter(~both).select(*evidence.columns)
 
 
 def ordered_lookup(sites: DataFrame, chains: DataFrame, methods: DataFrame, only: Column | None = None) -> DataFrame:

@@ -29,7 +29,8 @@ def nullable_precision(rows: DataFrame, by: list[str], predicted: Column, positi
 
 def macro(parts: DataFrame, value: str) -> DataFrame:
     """Mean of values that are rounded already, NULLs left out, rounded again."""
-    return parts.agg(F.round(F.avg(F.round(value, 4)), 4).alias("macro"), F.count(value).alias("n_parts"))
+    exact = F.round(value, 4).cast("decimal(18,4)")  # the mean of decimals is exact, so that a tie rounds up
+    return parts.agg(F.round(F.avg(exact), 4).cast("double").alias("macro"), F.count(value).alias("n_parts"))
 
 
 def tool_matrix(rows: DataFrame, by: str, tool: str, tools: list[str]) -> DataFrame:

@@ -17,12 +17,19 @@ def line_interval_join(hits: DataFrame, spans: DataFrame, width: int = 64) -> Da
     return hits.withColumn("_bucket", F.floor(F.col("line") / width)).join(bucketed, ["file", "_bucket"]).filter("line between first and last").drop("_bucket")
 
 
-def suffix_match(paths: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, file) where file is the only known file that ``path`` ends with at a path boundary."""
+def coverage_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(file, path): the covered paths that stand for each project file.
+
+    Those equal to the file, with or without a leading ``./``, win; a file without one has all paths that end with it
+    at a path boundary. ``files`` (file), ``paths`` (path). Nulls match nothing.
+    """
+    known = files.select("file").filter("file is not null").distinct()
+    exact = paths.select("path", F.regexp_replace("path", "^\\./", "").alias("file")).join(known, "file").select("file", "path").distinct()
+    rest = known.join(exact.select("file"), "file", "left_anti")
     parts = F.split("path", "/")
-    tails = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("file"))
-    hit = tails.join(known.select("file").distinct(), "file").groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min("file").alias("file"))
-    return hit.filter("_n = 1").select("path", "file")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    ends = paths.filter(F.size(parts) > 1).select("path", F.explode(tails).alias("file")).join(rest, "file").select("file", "path").distinct()
+    return exact.unionByName(ends)
 
 
 def prefer(rows: DataFrame, key: list[str], priority: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 
 def ordinal(rows: DataFrame, key: list[str], order: list, name: str = "ordinal") -> DataFrame:
-    """Position of each row inside its key, from 0."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    """Position of each row inside its key, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
 def top_per_key(rows: DataFrame, key: list[str], order: list, k: int) -> DataFrame:

@@ -2,50 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
 from factloom.operators import blockers, classify, dispatch, evidence, fixpoint, guard, lookup, metrics, runtime, sampling, text
+from factloom.plans import graph_queries  # noqa: F401  (registers its queries)
+from factloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from factloom.sources.facts import snapshot_digest
-from factloom.sources.tables import supply_edges, supply_nodes, supply_roots, table
+from factloom.sources.tables import supply_edges, supply_nodes, supply_roots, supply_sinks, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 DOMAINS = {"runtime": 3, "test": 4, "external": 5}
 
 
-def query(sql: str | None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-EDGES = """pair AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
-edges AS (SELECT s AS src, p AS dst FROM pair UNION ALL SELECT p, s FROM pair)"""
-ROOTS = """roots AS (SELECT CASE s_nationkey WHEN 3 THEN 'runtime' WHEN 4 THEN 'test' ELSE 'external' END AS domain, 'S' || s_suppkey AS node
-FROM supplier WHERE s_nationkey IN (3, 4, 5))"""
+EDGES = """edges AS (SELECT 'C' || o_custkey AS src, 'O' || o_orderkey AS dst FROM orders UNION SELECT 'O' || l_orderkey, 'P' || l_partkey FROM lineitem UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem
+UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
+ROOTS = """roots AS (SELECT CASE c_nationkey WHEN 3 THEN 'runtime' WHEN 4 THEN 'test' ELSE 'external' END AS domain, 'C' || c_custkey AS node
+FROM customer WHERE c_nationkey IN (3, 4, 5))"""
 WALK = f"""WITH RECURSIVE {EDGES}, {ROOTS},
 walk(domain, node) AS (SELECT domain, node FROM roots UNION SELECT w.domain, e.dst FROM walk w JOIN edges e ON e.src = w.node)"""
-NODES = "nodes AS (SELECT 'S' || s_suppkey AS node FROM supplier UNION ALL SELECT 'P' || p_partkey FROM part)"
+NODES = "nodes AS (SELECT 'C' || c_custkey AS node FROM customer UNION ALL SELECT 'O' || o_orderkey FROM orders UNION ALL SELECT 'P' || p_partkey FROM part UNION ALL SELECT 'S' || s_suppkey FROM supplier)"
+#: Flags of the stand-in graph: urgent orders are blocked, finished ones were observed, and penalties come from other columns.
 FLAGS = f"""{WALK}, {NODES},
-blocked AS (SELECT 'P' || p_partkey AS node, count(*) AS n_blockers FROM part WHERE p_size >= 45 GROUP BY 1),
-flags AS (SELECT n.node, coalesce(bool_or(domain = 'runtime'), false) AS runtime, coalesce(bool_or(domain = 'test'), false) AS test,
-coalesce(bool_or(domain = 'external'), false) AS external, coalesce(max(n_blockers), 0) AS n_blockers
-FROM nodes n LEFT JOIN walk w ON w.node = n.node LEFT JOIN blocked b ON b.node = n.node GROUP BY n.node),
-found AS (SELECT node, CASE WHEN n_blockers > 0 THEN 'blocked' WHEN test THEN 'test_only_reachable' ELSE 'unreachable' END AS classification
-FROM flags WHERE NOT runtime AND NOT external),
-scored AS (SELECT node, classification, CASE classification WHEN 'blocked' THEN 0.25::DOUBLE WHEN 'test_only_reachable' THEN 0.55::DOUBLE ELSE 0.62::DOUBLE END AS score FROM found),
-findings AS (SELECT node, classification, score, CASE WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
-CASE WHEN classification = 'unreachable' THEN 'review_candidate' ELSE 'diagnostic' END AS actionability FROM scored)"""
+facts AS (SELECT 'O' || o_orderkey AS node, o_orderpriority = '1-URGENT' AS blocked, o_orderstatus = 'F' AS observed, o_orderpriority = '2-HIGH' AS f1, o_totalprice > 300000 AS f2, o_orderstatus = 'P' AS f3, o_orderpriority = '5-LOW' AS f4 FROM orders),
+flags AS (SELECT n.node, coalesce(bool_or(domain = 'runtime'), false) AS runtime, coalesce(bool_or(domain = 'test'), false) AS test, coalesce(bool_or(domain = 'external'), false) AS external,
+coalesce(bool_or(blocked), false) AS blocked, coalesce(bool_or(observed), false) AS alive, coalesce(bool_or(f1), false) AS f1, coalesce(bool_or(f2), false) AS f2, coalesce(bool_or(f3), false) AS f3, coalesce(bool_or(f4), false) AS f4
+FROM nodes n LEFT JOIN walk w ON w.node = n.node LEFT JOIN facts f ON f.node = n.node GROUP BY n.node),
+found AS (SELECT *, CASE WHEN blocked THEN 'blocked' WHEN test THEN 'test_only_reachable' ELSE 'unreachable' END AS classification FROM flags WHERE NOT runtime AND NOT external AND NOT alive),
+summed AS (SELECT *, CASE classification WHEN 'blocked' THEN 0.25::DOUBLE WHEN 'test_only_reachable' THEN 0.55::DOUBLE ELSE 0.62::DOUBLE END
+- CASE WHEN f1 THEN 0.35::DOUBLE ELSE 0 END - CASE WHEN f2 THEN 0.25::DOUBLE ELSE 0 END - CASE WHEN f3 THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN f4 THEN 0.4::DOUBLE ELSE 0 END AS raw FROM found),
+scored AS (SELECT *, round(greatest(0.0::DOUBLE, raw), 4) AS score FROM summed),
+findings AS (SELECT node, classification, score, CASE WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN blocked THEN 'unknown' WHEN test THEN 'statically_reachable' ELSE 'unreachable_under_model' END AS state,
+CASE WHEN classification = 'unreachable' THEN 'review_candidate' ELSE 'diagnostic' END AS actionability, 2 + blocked::INT + f1::INT + f2::INT + f3::INT + f4::INT + (raw < 0)::INT AS n_components FROM scored)"""
 
 
 def _reached(spark, sf_dir):
@@ -53,15 +40,17 @@ def _reached(spark, sf_dir):
 
 
 def _findings(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    blocked = part.filter("p_size >= 45").select(F.concat(F.lit("P"), "p_partkey").alias("node"))
-    flagged = classify.flag_nodes(supply_nodes(spark, sf_dir), _reached(spark, sf_dir), blocked)
-    return classify.findings(flagged)
+    orders = table(spark, sf_dir, "orders").withColumn("node", F.concat(F.lit("O"), "o_orderkey"))
+    flags = {"is_uncertain": "o_orderpriority = '2-HIGH'", "is_dynamic_owner": "o_totalprice > 300000", "is_generated_accessor": "o_orderstatus = 'P'", "is_implicit": "o_orderpriority = '5-LOW'"}
+    nodes = supply_nodes(spark, sf_dir).join(orders.select("node", *[F.expr(v).alias(k) for k, v in flags.items()]), "node", "left")
+    nodes = nodes.select("node", *[F.coalesce(k, F.lit(False)).alias(k) for k in flags])
+    blocked, observed = orders.filter("o_orderpriority = '1-URGENT'").select("node"), orders.filter("o_orderstatus = 'F'").select("node")
+    return classify.findings(classify.flag_nodes(nodes, _reached(spark, sf_dir), blocked, observed))
 
 
-@query(f"{FLAGS} SELECT node, classification, score, confidence, actionability FROM findings")
+@query(f"{FLAGS} SELECT node, classification, score, confidence, actionability, state, n_components FROM findings")
 def classify_findings(spark, sf_dir):
-    return _findings(spark, sf_dir).select("node", "classification", "score", "confidence", "actionability")
+    return _findings(spark, sf_dir).select("node", "classification", "score", "confidence", "actionability", "state", F.size("components").alias("n_components"))
 
 
 @query(f"{FLAGS} SELECT classification, confidence, count(*) AS n FROM findings GROUP BY ALL")
@@ -81,7 +70,7 @@ def reach_multi_domain(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {ROOTS},
-walk(node, hops) AS (SELECT node, 0 FROM roots WHERE domain = 'runtime' UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.hops < 40),
+walk(node, hops) AS (SELECT node, 0 FROM roots WHERE domain = 'runtime' UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.hops < 9),
 best AS (SELECT node, min(hops) AS hops FROM walk GROUP BY node)
 SELECT b.node, b.hops, min(p.node) AS pred FROM best b LEFT JOIN edges e ON e.dst = b.node LEFT JOIN best p ON p.node = e.src AND p.hops = b.hops - 1 GROUP BY b.node, b.hops""")
 def reach_hops(spark, sf_dir):
@@ -91,7 +80,7 @@ def reach_hops(spark, sf_dir):
 
 @query(None)
 def witness_path(spark, sf_dir):
-    reached = fixpoint.reach(supply_edges(spark, sf_dir, all_lines=True), supply_roots(spark, sf_dir, {"runtime": 3}))
+    reached = fixpoint.reach(supply_edges(spark, sf_dir), supply_roots(spark, sf_dir, {"runtime": 3}))
     return fixpoint.witness_paths(reached, reached.select("node")).select("node", F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
 
 
@@ -101,7 +90,7 @@ walk(node) AS (SELECT 'S' || s_suppkey FROM supplier WHERE s_nationkey = 3 UNION
 SELECT node FROM walk""")
 def implicit_taint(spark, sf_dir):
     alive = table(spark, sf_dir, "part").filter("p_size < 10").select(F.concat(F.lit("P"), "p_partkey").alias("node"))
-    return fixpoint.taint(supply_edges(spark, sf_dir), alive, supply_roots(spark, sf_dir, {"r": 3}).select("node")).select("node")
+    return fixpoint.taint(supply_edges(spark, sf_dir), alive, supply_sinks(spark, sf_dir, 3)).select("node")
 
 
 HIERARCHY = """pairs AS (SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier)"""
@@ -116,13 +105,13 @@ def hierarchy_closure(spark, sf_dir):
     return fixpoint.closure(pairs)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, walk(node, hops) AS (SELECT node, 0 FROM (SELECT 'S' || s_suppkey AS node FROM supplier WHERE s_nationkey = 3)
-UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.hops < 40) SELECT node, min(hops) AS hops FROM walk GROUP BY node""")
+@query(f"""WITH RECURSIVE {EDGES}, undirected AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk(node, hops) AS (SELECT node, 0 FROM (SELECT 'S' || s_suppkey AS node FROM supplier WHERE s_nationkey = 3)
+UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN undirected e ON e.src = w.node WHERE w.hops < 8) SELECT node, min(hops) AS hops FROM walk GROUP BY node""")
 def nearest_alive(spark, sf_dir):
-    return fixpoint.nearest(supply_edges(spark, sf_dir), supply_roots(spark, sf_dir, {"r": 3}).select("node"))
+    return fixpoint.nearest(supply_edges(spark, sf_dir), supply_sinks(spark, sf_dir, 3))
 
 
-@query("""WITH refs AS (SELECT DISTINCT p_name AS ref FROM part UNION SELECT 'P' || p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'gone' || r_name FROM region),
+@query("""WITH refs AS (SELECT DISTINCT p_name AS ref FROM part UNION SELECT 'P' || p_partkey FROM part UNION SELECT 'gone' || r_name FROM region),
 by_symbol AS (SELECT p_name AS ref, count(*) AS n, min('P' || p_partkey) AS t FROM part GROUP BY 1)
 SELECT r.ref, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' WHEN p.p_partkey IS NOT NULL THEN 'exact' ELSE 'missing' END AS status,
 coalesce(n, CASE WHEN p.p_partkey IS NOT NULL THEN 1 ELSE 0 END) AS n_targets,
@@ -131,7 +120,7 @@ FROM refs r LEFT JOIN by_symbol b ON b.ref = r.ref LEFT JOIN part p ON 'P' || p.
 def definition_lookup_status(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     ids = F.concat(F.lit("P"), "p_partkey")
-    refs = part.select(F.col("p_name").alias("ref")).union(part.filter("p_partkey % 50 = 0").select(ids)).union(table(spark, sf_dir, "region").select(F.concat(F.lit("gone"), "r_name")))
+    refs = part.select(F.col("p_name").alias("ref")).union(part.select(ids)).union(table(spark, sf_dir, "region").select(F.concat(F.lit("gone"), "r_name")))
     return lookup.definition_lookup(refs, part.select(ids.alias("definition_id"), F.col("p_name").alias("symbol_id")))
 
 
@@ -204,14 +193,15 @@ def _evidence(spark, sf_dir):
 
 
 PAYLOAD = "concat_ws('|', l_partkey, l_suppkey, l_quantity, l_returnflag)"
+EVIDENCE_ID = """'evidence:v1:' || sha256('["' || l_orderkey || '","' || l_linenumber || '"]')"""
 
 
-@query(f"SELECT l_orderkey || '|' || l_linenumber AS evidence_id, count(DISTINCT {PAYLOAD}) AS n_payloads FROM lineitem GROUP BY 1 HAVING count(DISTINCT {PAYLOAD}) > 1")
+@query(f"SELECT {EVIDENCE_ID} AS evidence_id, count(DISTINCT {PAYLOAD}) AS n_payloads FROM lineitem GROUP BY 1 HAVING count(DISTINCT {PAYLOAD}) > 1")
 def evidence_collisions(spark, sf_dir):
     return evidence.collisions(_evidence(spark, sf_dir))
 
 
-@query(f"SELECT l_orderkey || '|' || l_linenumber AS evidence_id, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT {PAYLOAD}) = 1")
+@query(f"SELECT {EVIDENCE_ID} AS evidence_id, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT {PAYLOAD}) = 1")
 def evidence_dedupe(spark, sf_dir):
     return evidence.accepted(_evidence(spark, sf_dir)).select("evidence_id", "l_partkey", "l_suppkey")
 
@@ -263,14 +253,15 @@ def line_interval_join(spark, sf_dir):
     return runtime.line_interval_join(hits, spans).select("event_id", "span")
 
 
-@query("""WITH files AS (SELECT DISTINCT regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^.*/([^/]+/[^/]+)$', '\\1') AS file FROM pages WHERE page_id % 3 = 0),
-paths AS (SELECT DISTINCT split_part(split_part(url, '#', 1), '?', 1) AS path FROM pages),
-hit AS (SELECT path, file FROM paths JOIN files ON path = file OR ends_with(path, '/' || file))
-SELECT path, min(file) AS file FROM hit GROUP BY 1 HAVING count(*) = 1""")
-def path_suffix_match(spark, sf_dir):
+@query("""WITH paths AS (SELECT DISTINCT split_part(split_part(url, '#', 1), '?', 1) AS path FROM pages),
+files AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN split_part(split_part(url, '#', 1), '?', 1) ELSE regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^.*/([^/]+/[^/]+)$', '\\1') END AS file FROM pages),
+same AS (SELECT file, path FROM files JOIN paths ON path = file OR path = './' || file)
+SELECT file, path FROM same UNION ALL SELECT file, path FROM files JOIN paths ON ends_with(path, '/' || file) WHERE file NOT IN (SELECT file FROM same)""")
+def coverage_path_match(spark, sf_dir):
     clean = table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)).alias("path"))
-    files = clean.filter("page_id % 3 = 0").select(F.regexp_replace("path", "^.*/([^/]+/[^/]+)$", "$1").alias("file"))
-    return runtime.suffix_match(clean.select("path").distinct(), files)
+    short = F.regexp_replace("path", "^.*/([^/]+/[^/]+)$", "$1")
+    files = clean.select(F.when(F.col("page_id") % 3 == 0, F.col("path")).otherwise(short).alias("file"))
+    return runtime.coverage_paths(files, clean.select("path").distinct())
 
 
 @query("""SELECT user_id, event_id, event_type FROM events QUALIFY CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END = min(CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) OVER (PARTITION BY user_id)""")
@@ -334,7 +325,7 @@ def precision_nullable(spark, sf_dir):
     return metrics.nullable_precision(_labelled(spark, sf_dir), ["lang"], F.col("n_chars") > 12000, F.col("toxic") == 1)
 
 
-@query(f"WITH {RETRIEVAL.format(by='lang,')} SELECT round(avg(precision), 4) AS macro, count(precision) AS n_parts FROM pr")
+@query(f"WITH {RETRIEVAL.format(by='lang,')} SELECT round(sum(round(precision, 4)::DECIMAL(18,4)) / count(precision) + 1e-9, 4) AS macro, count(precision) AS n_parts FROM pr")
 def macro_average(spark, sf_dir):
     return metrics.macro(metrics.retrieval(_labelled(spark, sf_dir), ["lang"], F.col("n_chars") > 2000, F.col("quality") == 1), "precision")
 
@@ -368,7 +359,7 @@ def health_rollup(spark, sf_dir):
     return classify.health(o.select(F.when(F.col("o_orderstatus") == "P", "invalid").when(F.col("o_orderstatus") == "O", "degraded").alias("severity")))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS ordinal FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ordinal FROM lineitem")
 def ordinal_per_key(spark, sf_dir):
     out = sampling.ordinal(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "ordinal")
@@ -414,7 +405,7 @@ def trace_parent_edges(spark, sf_dir):
     return runtime.parent_edges(table(spark, sf_dir, "events").withColumnRenamed("event_type", "name"), "user_id", ["ts", "event_id"])
 
 
-@query("SELECT p_partkey, sha256(p_name || chr(31) || p_brand || chr(31) || p_size) AS fingerprint FROM part")
+@query("SELECT p_partkey, sha256(p_name || ':' || p_brand || ':' || p_size) AS fingerprint FROM part")
 def fingerprint_sha256(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("fingerprint"))
 
@@ -425,10 +416,24 @@ def camel_underscore(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name", scalars.underscore(camel).alias("snake")).distinct()
 
 
-@query("SELECT o_orderkey, CASE WHEN date_diff('day', o_orderdate, TIMESTAMP '1999-01-01') >= 365 THEN 'expired' ELSE 'active' END AS status FROM orders")
+@query("""WITH a AS (SELECT o_orderkey, sha256('unreachable:' || o_orderkey) AS wanted, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey % 7 AS k, o_orderdate::DATE AS d FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'invalid' WHEN k = 2 THEN 'fingerprint_required' WHEN k IN (3, 4) THEN 'stale_fingerprint' WHEN d <= DATE '1999-01-01' - 365 THEN 'review_required' ELSE 'active' END AS status FROM a""")
 def quarantine_status(spark, sf_dir):
-    since = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.quarantine_status(since, F.lit("1999-01-01").cast("date"), 365).alias("status"))
+    orders = table(spark, sf_dir, "orders")
+    wanted = scalars.fingerprint(F.lit("unreachable"), F.col("o_orderkey"))
+    k = F.col("o_orderkey") % 7
+    date = F.concat(F.lit("# quarantine since="), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    other = scalars.fingerprint(F.lit("blocked"), F.col("o_orderkey"))
+    note = (
+        F.when(k == 0, F.lit("# a comment"))
+        .when(k == 1, F.lit("# quarantine since=soon"))
+        .when(k == 2, date)
+        .when(k == 3, F.concat(date, F.lit(" fingerprint="), other))
+        .when(k == 4, F.concat(date, F.lit(" fingerprint=short")))
+        .when(k == 5, F.concat(date, F.lit(" fingerprint="), wanted))
+        .otherwise(F.concat(date, F.lit(" fingerprints="), other, F.lit(","), wanted))
+    )
+    return orders.select("o_orderkey", scalars.quarantine_status(note, wanted, F.lit("1999-01-01").cast("date"), 365).alias("status"))
 
 
 @query("SELECT p_partkey FROM part WHERE (p_type || '/' || p_brand) SIMILAR TO '(ECONOMY/.*|STANDARD/Brand#1.?)' AND NOT p_brand = 'Brand#2'")

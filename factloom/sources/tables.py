@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,25 +12,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply_edges(spark: SparkSession, sf_dir: str, quantity: float = 49, discount: float = 0.09, all_lines: bool = False) -> DataFrame:
-    """(src, dst): supplier to part and part to supplier, from all lines or from large discounted ones."""
-    lines = table(spark, sf_dir, "lineitem")
-    if not all_lines:
-        lines = lines.filter((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount))
-    pair = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("p")).distinct()
-    return pair.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(pair.select(F.col("p").alias("src"), F.col("s").alias("dst")))
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) over whole tables: customer, order, part, supplier, nation, region, each to the next."""
+    t = lambda name: table(spark, sf_dir, name)
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    parts = [
+        edge(t("orders"), "C", "o_custkey", "O", "o_orderkey"),
+        edge(t("lineitem"), "O", "l_orderkey", "P", "l_partkey"),
+        edge(t("lineitem"), "P", "l_partkey", "S", "l_suppkey"),
+        edge(t("supplier"), "S", "s_suppkey", "N", "s_nationkey"),
+        edge(t("nation"), "N", "n_nationkey", "R", "n_regionkey"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def supply_roots(spark: SparkSession, sf_dir: str, domains: dict[str, int]) -> DataFrame:
-    """(domain, node): suppliers of one nation for each domain."""
-    suppliers = table(spark, sf_dir, "supplier")
-    parts = [suppliers.filter(F.col("s_nationkey") == n).select(F.lit(d).alias("domain"), F.concat(F.lit("S"), "s_suppkey").alias("node")) for d, n in domains.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(domain, node): customers of one nation for each domain."""
+    customers = table(spark, sf_dir, "customer")
+    return reduce(DataFrame.unionByName, [customers.filter(F.col("c_nationkey") == n).select(F.lit(d).alias("domain"), F.concat(F.lit("C"), "c_custkey").alias("node")) for d, n in domains.items()])
+
+
+def supply_sinks(spark: SparkSession, sf_dir: str, nation: int) -> DataFrame:
+    """(node): suppliers of one nation."""
+    return table(spark, sf_dir, "supplier").filter(F.col("s_nationkey") == nation).select(F.concat(F.lit("S"), "s_suppkey").alias("node"))
 
 
 def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node"))
-    return s.unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node")))
+    names = {"customer": ("C", "c_custkey"), "orders": ("O", "o_orderkey"), "part": ("P", "p_partkey"), "supplier": ("S", "s_suppkey")}
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(F.concat(F.lit(k), c).alias("node")) for t, (k, c) in names.items()])

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
@@ -47,50 +48,70 @@ def test_reach_by_domain_and_cycles(spark):
 def test_closure_of_a_cycle(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
     assert rows(fixpoint.closure(pairs)) == [("a", "a", 2), ("a", "b", 1), ("b", "a", 1), ("b", "b", 2)]
+    assert fixpoint.closure(pairs.limit(0)).count() == 0
 
 
 def test_alive_beats_blocked_and_blocked_beats_test(spark):
-    flags = "node string, alive boolean, runtime boolean, external boolean, test boolean, n_blockers int, is_dynamic boolean"
-    n = spark.createDataFrame([("a", True, False, False, False, 1, False), ("b", False, False, False, True, 1, True), ("c", False, False, False, True, 0, False), ("d", False, False, False, False, 0, True)], flags)
-    assert rows(classify.findings(n).select("node", "classification", "score", "confidence", "actionability")) == [
-        ("b", "blocked", 0.0, "low", "diagnostic"),
-        ("c", "test_only_reachable", 0.55, "medium", "diagnostic"),
-        ("d", "unreachable", 0.27, "low", "review_candidate"),
-    ]
+    flags = "node string, alive boolean, runtime boolean, external boolean, test boolean, n_blockers int, is_uncertain boolean, is_dynamic_owner boolean, is_generated_accessor boolean, is_implicit boolean, is_unobserved boolean, defined_via string"
+    no = (False,) * 5
+    n = spark.createDataFrame(
+        [
+            ("a", True, False, False, False, 1, *no, "def"), ("b", False, False, False, True, 1, True, False, False, False, False, "def"), ("c", False, False, False, True, 0, *no, "def"),
+            ("d", False, False, False, False, 0, False, True, False, False, True, "def"), ("e", False, False, False, False, 0, False, False, True, True, False, "def"), ("f", False, False, False, False, 0, *no, "rails_scope"),
+        ],
+        flags,
+    )
+    got = {r.node: r for r in classify.findings(n).collect()}
+    assert {k: (r.classification, r.score, r.confidence, r.actionability, r.state) for k, r in got.items()} == {
+        "b": ("blocked", 0.0, "low", "diagnostic", "unknown"),
+        "c": ("test_only_reachable", 0.55, "medium", "diagnostic", "statically_reachable"),
+        "d": ("unreachable", 0.37, "low", "review_candidate", "unreachable_under_model"),
+        "e": ("unreachable", 0.02, "low", "review_candidate", "unreachable_under_model"),
+    }
+    assert [tuple(c) for c in got["b"].components] == [("base(blocked)", 0.25), ("matching_blocker", 0.0), ("near_metaprogramming", -0.35), ("score_clamp", 0.1)]
+    assert [tuple(c) for c in got["d"].components] == [("base(unreachable)", 0.62), ("dynamic_owner", -0.25), ("runtime_unobserved", 0.0)]
+    kinds = spark.createDataFrame([("analyzer_failure",), ("reference_scan_incomplete",), ("unknown_dispatch",)], "k string")
+    assert [r[0] for r in kinds.select(classify.severity(F.col("k"))).collect()] == ["invalid", "degraded", None]
 
 
 def test_runtime_joins(spark):
     hits = spark.createDataFrame([("f", 64), ("f", 200), ("g", 5)], "file string, line int")
     spans = spark.createDataFrame([("f", 10, 64, "a"), ("f", 60, 130, "b"), ("g", 6, 9, "c")], "file string, first int, last int, span string")
     assert rows(runtime.line_interval_join(hits, spans).select("line", "span")) == [(64, "a"), (64, "b")]
-    paths = spark.createDataFrame([("/srv/app/lib/x.rb",), ("/q/x.rb",)], "path string")
-    known = spark.createDataFrame([("lib/x.rb",), ("app/lib/x.rb",), ("y.rb",)], "file string")
-    assert rows(runtime.suffix_match(paths, known)) == []
-    assert rows(runtime.suffix_match(paths, known.limit(1))) == [("/srv/app/lib/x.rb", "lib/x.rb")]
+    paths = spark.createDataFrame([("/srv/app/lib/x.rb",), ("lib/x.rb",), ("/q/lib/y.rb",), ("/r/lib/y.rb",), ("./z.rb",), ("oz.rb",)], "path string")
+    known = spark.createDataFrame([("lib/x.rb",), ("app/lib/x.rb",), ("lib/y.rb",), ("z.rb",), ("none.rb",), (None,)], "file string")
+    assert rows(runtime.coverage_paths(known, paths)) == [("app/lib/x.rb", "/srv/app/lib/x.rb"), ("lib/x.rb", "lib/x.rb"), ("lib/y.rb", "/q/lib/y.rb"), ("lib/y.rb", "/r/lib/y.rb"), ("z.rb", "./z.rb")]
 
 
 def test_globs_and_ratios(spark):
     df = spark.createDataFrame([("app/models/a.rb",), ("lib/a.rb",), ("a.py",)], "p string")
     take = lambda g: [r[0] for r in df.filter(scalars.matches_any(F.col("p"), g)).collect()]
     assert take(["app/**/*.rb"]) == ["app/models/a.rb"] and take(["**/*.{rb,py}"]) == ["app/models/a.rb", "lib/a.rb", "a.py"] and take([]) == []
+    df = spark.createDataFrame([("a{b",), ("b.rb",), ("d.rb",), ("x/y",)], "p string")
+    assert take(["a{b"]) == ["a{b"] and take(["[bc].rb"]) == ["b.rb"] and take(["[!b-c].rb"]) == ["d.rb"] and take(["x[!a]y"]) == [] and take(["[b"]) == [] and take(["{b,{d,e}}.rb"]) == ["b.rb", "d.rb"]
     one = spark.range(1).select(scalars.ratio(F.lit(1), F.lit(0)), scalars.nullable_ratio(F.lit(1), F.lit(0)), scalars.nearest_rank(F.array(*map(F.lit, [1, 2, 3, 4])), 95)).first()
     assert tuple(one) == (0.0, None, 4)
 
 
 def test_ndjson_round_trip(spark, tmp_path):
-    nodes = spark.createDataFrame([("d1", "A#x", "instance_method", "a.rb", 1, 2, "A", "x", False, "public")], facts.SCHEMAS["nodes"])
-    edges = spark.createDataFrame([("d1", "d2", None)], facts.SCHEMAS["edges"])
-    facts.write_ndjson({"nodes": nodes, "edges": edges}, str(tmp_path / "out"))
+    nodes = spark.createDataFrame([("d1", "A#x", "instance_method", "a.rb", 1, 2, "A", "x", False, "public")], facts.SCHEMAS["node"])
+    edges = spark.createDataFrame([("d1", "d2", None)], facts.SCHEMAS["edge"])
+    facts.write_ndjson({"node": nodes, "edge": edges}, str(tmp_path / "out"), {"title": "t"}, {"projection": "all"})
     back = facts.read_ndjson(spark, str(tmp_path / "out"))
-    assert rows(back["nodes"]) == rows(nodes) and rows(back["edges"]) == rows(edges) and back["roots"].count() == 0
+    assert rows(back["node"]) == rows(nodes) and rows(back["edge"]) == rows(edges) and back["entry_point"].count() == 0
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(x["record"] for x in lines) == ["edge", "graph_metadata", "node", "report"] and all(isinstance(x["data"], dict) for x in lines)
+    with pytest.raises(Exception, match="version"):
+        facts.read_ndjson(spark, str(tmp_path / "out"), "other")["edge"].collect()
     files = spark.createDataFrame([("a", "1"), ("b", None)], "path string, content string")
     assert rows(facts.snapshot_digest(files)) == rows(facts.snapshot_digest(files.orderBy(F.desc("path"))))
+    assert facts.snapshot_digest(files).first().digest != facts.snapshot_digest(files.fillna("")).first().digest and facts.snapshot_digest(files.limit(0)).first().n_files == 0
 
 
 def test_stream_of_calls(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    events = [("t1", 1, "call", "a"), ("t1", 2, "call", "b"), ("t1", 3, "return", "b"), ("t2", 1, "call", "z"), ("t1", 4, "call", "c")]
+    events = [("t1", 1, "call", "a"), ("t1", 2, "call", "b"), ("t1", 3, "call", "lost"), ("t1", 5, "return", "never"), ("t1", 4, "return", "b"), ("t2", 1, "call", "z"), ("t1", 6, "call", "c")]
     for k, batch in enumerate([events[:2], events[2:]]):
         path = source / f"{k}.json"
         path.write_text("\n".join(json.dumps(dict(zip(("thread", "seq", "event", "name"), e))) for e in batch))
@@ -98,7 +119,7 @@ def test_stream_of_calls(spark, tmp_path):
     stream = spark.readStream.schema("thread string, seq long, event string, name string").option("maxFilesPerTrigger", 1).json(str(source))
     q = trace.stack_edges(stream).writeStream.format("memory").queryName("calls").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
-    assert rows(spark.table("calls")) == [("t1", "a", "b"), ("t1", "a", "c")]
+    assert rows(spark.table("calls")) == [("t1", "a", "b"), ("t1", "a", "c"), ("t1", "b", "lost")]
 
 
 def test_plug_in_analyzer(spark):
@@ -109,8 +130,95 @@ def test_plug_in_analyzer(spark):
             edges = spark.createDataFrame([("r", "a", "e1", "p"), ("a", "b", "e2", "p"), ("a", "b", "e2", "q")], "caller_id string, callee_id string, evidence_id string, payload_digest string")
             return analyzers.AnalyzerResult(edges, spark.createDataFrame([("c",)], "node string"))
 
+    class Broken(One):
+        name = "broken"
+
+        def analyze(self, given):
+            bad = spark.range(1).selectExpr("raise_error('late') as caller_id", "'a' as callee_id", "'e' as evidence_id", "'p' as payload_digest")
+            return analyzers.AnalyzerResult(bad, spark.createDataFrame([], "node string"))
+
+    class Bold(One):
+        name = "bold"
+
+        def analyze(self, given):
+            return analyzers.AnalyzerResult(One().analyze(given).edges.limit(0), spark.createDataFrame([], "node string"), spark.createDataFrame([(1, "complete")], "site int, status string"), complete=False)
+
     given = {"nodes": spark.createDataFrame([(x,) for x in "rabc"], "node string"), "roots": spark.createDataFrame([("runtime", "r")], "domain string, node string")}
     assert rows(analyzers.run(given, [One()]).select("node", "classification")) == [("b", "unreachable"), ("c", "blocked")]
+    for failing in (Broken(), Bold()):
+        assert rows(analyzers.run(given, [One(), failing]).select("node", "classification")) == [("b", "blocked"), ("c", "blocked")]
+
+
+def test_static_analyzers(spark):
+    from test_dispatch import CLASS, NODE, SITE, klass
+
+    classes = spark.createDataFrame([klass("Base"), klass("Leaf", "Base"), klass("Unmade", "Base"), klass("Dyn", "Base", dynamic=True)], CLASS)
+    nodes = spark.createDataFrame([(f"{o}_{m}", "instance_method", o, m, "public", False) for o, m in [("Leaf", "go"), ("Unmade", "go"), ("Dyn", "go"), ("Base", "run"), ("Leaf", "main")]] + [(f"m{i}", "instance_method", f"X{i}", "many", "public", False) for i in range(5)], NODE)
+    rest = (False, False, None, None, None)
+    sites = spark.createDataFrame([(1, "Leaf_main", "go", "instance", "Base", *rest), (2, "Leaf_main", "run", "instance", "Leaf", *rest), (3, "Leaf_main", "go", "unknown", None, *rest), (4, "Leaf_main", "many", "unknown", None, *rest), (5, "Leaf_main", "none", "instance", "Leaf", *rest)], SITE)
+    facts_ = {"nodes": nodes, "sites": sites, "classes": classes, "instantiated": spark.createDataFrame([("Leaf",)], "owner string")}
+    edges, resolutions, found = analyzers.name_resolution(facts_)
+    heuristic = {(3, f"{o}_go", "heuristic") for o in ("Leaf", "Unmade", "Dyn")}
+    assert {(r.site, r.callee_id, r.grade) for r in edges.collect()} == {(2, "Base_run", "exact")} | heuristic
+    assert {r.site: r.status for r in resolutions.collect()} == {1: "unknown", 2: "complete", 3: "partial", 4: "unknown", 5: "unknown"}
+    assert [(r.site, r.reason, r.scope_kind, r.scope_values) for r in found.collect()] == [(4, "ambiguity_limit_exceeded", "message", ["many"])]
+    wide, states = analyzers.cha(facts_)
+    assert {(r.site, r.callee_id) for r in wide.collect()} == {(1, "Leaf_go"), (1, "Unmade_go"), (1, "Dyn_go"), (2, "Base_run")} | {(s, c) for s, c, _ in heuristic}
+    assert {r.site: r.status for r in states.collect()} == {1: "partial", 2: "complete", 3: "partial", 4: "unknown", 5: "unknown"}
+    assert {(r.site, r.callee_id) for r in analyzers.rta(facts_).collect()} == {(1, "Leaf_go"), (1, "Dyn_go"), (2, "Base_run"), (3, "Leaf_go"), (3, "Dyn_go")}
+
+
+def test_evidence_identity_and_scopes(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "q"), ("", "q")], "x string, y string")
+    assert evidence.with_payload(df, ["x", "y"], ["y"]).select("evidence_id").distinct().count() == 4
+    scopes = spark.createDataFrame([({"source_revision": "1", "env": "p"}, {"source_revision": "1"}, None), ({"source_revision": "2"}, {"source_revision": "1"}, None), ({"source_revision": "1"}, {"source_revision": "1"}, "stale"), ({"env": "p"}, {"env": "p"}, None), ({"env": "p"}, None, None)], "a map<string,string>, r map<string,string>, s string")
+    assert [r[0] for r in scopes.select(evidence.observed_verified(F.col("a"), F.col("r"), F.col("s"))).collect()] == [True, False, False, False, False]
+    e = spark.createDataFrame([("e1", "p1", "r"), ("e1", "p2", "t"), ("e2", "p1", "r")], "evidence_id string, payload_digest string, d string")
+    assert rows(evidence.collision_report(e, "d")) == [("e1", 2, ["p1", "p2"], ["r", "t"])]
+
+
+def test_small_expressions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    text = F.lit
+    assert value(scalars.lower_camel(text("a_b?"))) == "aB?" and value(scalars.method_name(text("A::B#c.d"))) == "c.d" and value(scalars.method_name(text("x"))) == "x"
+    assert value(scalars.reference_tokens(text("no-name"))) == [] and value(scalars.annotation_escape(text("a%\nb"))) == "a%25%0Ab"
+    assert value(scalars.camelize(text("api/user_html"), {"api": "API", "html": "HTML"})) == "API::UserHTML"
+    assert value(scalars.string_list(F.array(text("b"), text(""), text(None), text("a"), text("b")))) == ["a", "b"]
+    assert [value(scalars.revision_status(text(g), text(c), text(s))) for g, c, s in [("a", "a", True), (None, "a", False), ("a", "", False), ("a", "a", None), ("a", "b", False)]] == ["stale", "unknown", "provided_unverified", "match", "mismatch"]
+    assert value(scalars.loc(text(3), text(None).cast("int"))) == 1 and value(scalars.loc(text(3), text(9))) == 7 and value(scalars.loc(text(None).cast("int"), text(9))) == 0
+    assert value(scalars.relative_limit(text(2.0), text(1.5), text(0.5), text(2.8))) == 2.8 and value(scalars.observation_days(F.to_timestamp(text("2020-01-01 00:00:00")), F.to_timestamp(text("2020-01-02 00:00:01")))) == 2
+    assert value(scalars.bounded_snippet(text("  a   b  "))) == "a b" and value(scalars.bounded_snippet(text("é" * 9), 5)) == "éé…"
+    words = {"person": "people"}, ["news"], [("(?:s|x)$", "$0es"), ("y$", "ies")]
+    assert [value(scalars.pluralize(text(w), *words)) for w in ("person", "news", "box", "city", "cat")] == ["people", "news", "boxes", "cities", "cats"]
+    assert value(scalars.constant_candidates(text("X"), F.array(text("A::B"), text("A")))) == ["A::B::X", "A::X", "X"]
+
+
+def test_reports_and_gates(spark):
+    from factloom.operators import evaluate, guard, report, roots
+
+    f = spark.createDataFrame([("a", "unreachable", "review_candidate", "medium", 0, True), ("b", "blocked", "diagnostic", "low", 2, True), ("c", "unreachable", "review_candidate", "low", 1, True), ("d", "unused", "review_candidate", "high", 0, False)], "id string, classification string, actionability string, confidence string, n_blockers int, complete boolean")
+    assert sorted(r.id for r in report.broken(f).collect()) == ["c", "d"]
+    assert {k: sorted(r.id for r in v.collect()) for k, v in report.split(f, "medium").items()} == {"actionable": ["a", "d"], "blocked": ["b"], "diagnostic": ["c"]}
+    assert json.loads(report.sarif_results(f.withColumn("file", F.lit("x.rb")).withColumn("line", F.lit(3))).first().value)["locations"][0]["physicalLocation"]["region"] == {"startLine": 3}
+    checks = spark.createDataFrame([("x", True), ("y", None)], "check string, passed boolean")
+    assert tuple(evaluate.gate(checks).first()) == (False, 2, ["y"]) and evaluate.gate(checks.filter("check = 'x'")).first().passed and not evaluate.gate(checks.limit(0)).first().passed
+    pair = lambda r, c: spark.createDataFrame([(r, c)], "root string, configuration_sha256 string")
+    assert guard.comparability(pair("a", "1"), pair("b", None)).first().reasons == ["root_mismatch", "configuration_missing"] and guard.comparability(pair("a", "1"), pair("a", "1")).first().comparable
+    now = spark.createDataFrame([("p1", "f", "low", True), ("p2", "g", "low", True), ("p3", "g", "low", False)], "physical_fingerprint string, file string, confidence string, is_candidate boolean")
+    got = guard.ci_check(now, now.limit(1), "degraded", ["c1"], ["c1", "c2"], spark.createDataFrame([("f",)], "file string"))
+    assert rows(got) == [("analysis_health", False, 1), ("new_candidates", True, 0), ("ratchet", False, 1)]
+    nodes = spark.createDataFrame([("d1", "block_entry", "bin/x.rb", False, "b"), ("d2", "block_entry", "spec/x.rb", True, "t"), ("d3", "instance_method", "lib/x.rb", False, "A::B#go")], "definition_id string, kind string, file string, test boolean, symbol_id string")
+    assert rows(roots.merged(roots.script_roots(nodes, ["bin/*.rb"]), roots.test_roots(nodes), roots.declared_roots(nodes, ["A*go"]))) == [("d1", "runtime", "main_script"), ("d2", "test", "test_suite"), ("d3", "runtime", "public_api_declared")]
+    assert tuple(roots.unrooted_units(nodes, nodes.limit(0).select("definition_id"), nodes.select(F.col("definition_id").alias("caller_id"))).first()) == (1, ["bin/x.rb"])
+    edges = spark.createDataFrame([("d1", "gone", 1)], "caller_id string, callee_id string, call_site_id int")
+    issues = report.self_check(nodes, edges, spark.createDataFrame([(1, "complete", 1), (1, "partial", 0), (2, "complete", 1)], "call_site_id int, status string, n_targets int"), f)
+    assert dict(map(tuple, issues.collect())) == {"unknown_edge_end": 1, "repeated_site": 1, "complete_without_edge": 1, "broken_finding": 2}
+    known = spark.createDataFrame([("k", "d1", "i1"), ("k", None, "i2"), ("k", "d9", "i2")], "corpus string, definition_id string, id string")
+    selected = spark.createDataFrame([("k", "d1", "i9"), ("k", None, "i2")], "corpus string, definition_id string, id string")
+    assert sorted((r.id, r.recalled) for r in evaluate.recalled(known, selected).collect()) == [("i1", True), ("i2", False), ("i2", True)]
+    _, faults = evaluate.attach_labels(selected, spark.createDataFrame([("i2", "dead"), ("i2", "dead"), ("i5", "alive")], "id string, value string"), ["id"])
+    assert rows(faults) == [("i2", "repeated"), ("i5", "unmatched")]
 
 
 def test_arity_and_private(spark):

@@ -12,10 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_witness_path_over_all_lines(spark):
     near = defaultdict(set)
-    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
-        near[f"S{r.l_suppkey}"].add(f"P{r.l_partkey}")
-        near[f"P{r.l_partkey}"].add(f"S{r.l_suppkey}")
-    level = {f"S{r.s_suppkey}" for r in spark.read.parquet(f"{SF}/supplier.parquet").filter("s_nationkey = 3").collect()}
+    t = lambda name, *cols: spark.read.parquet(f"{SF}/{name}.parquet").select(*cols).collect()
+    for a, x, b, y, rows in [("C", 0, "O", 1, t("orders", "o_custkey", "o_orderkey")), ("O", 0, "P", 1, t("lineitem", "l_orderkey", "l_partkey")), ("P", 0, "S", 1, t("lineitem", "l_partkey", "l_suppkey")), ("S", 0, "N", 1, t("supplier", "s_suppkey", "s_nationkey")), ("N", 0, "R", 1, t("nation", "n_nationkey", "n_regionkey"))]:
+        for r in rows:
+            near[f"{a}{r[x]}"].add(f"{b}{r[y]}")
+    level = {f"C{r.c_custkey}" for r in spark.read.parquet(f"{SF}/customer.parquet").filter("c_nationkey = 3").collect()}
     want, hops = {x: (0, None) for x in level}, 0
     while level:
         hops += 1
