@@ -131,17 +131,18 @@ def reference_kind(line: Column, token: Column, name: Column, owner: Column, ext
 def matches(files: DataFrame, nodes: DataFrame, limit: int = 10_000_000, metadata: list[str] | None = None, per_definition: int | None = None) -> DataFrame:
     """(definition_id, path, line, token, kind, snippet) of searched files (path, text) and nodes (definition_id, name, owner).
 
-    Tokens are told apart once a line and met with the names' spellings by a join; names that are no identifiers are not
-    searched for. ``per_definition`` keeps that many matches of a definition, by path and line, for a report; None keeps all.
+    Tokens are told apart once a line and met with the names' spellings by a join that carries no text; only the lines of
+    matches are joined back (paths must be distinct). Names that are no identifiers are not searched for. ``per_definition`` keeps that many matches of a definition, by path and line, for a report; None keeps all.
     Null texts, and files with a ``skip_reason``, give no rows.
     """
     wanted = nodes.select("definition_id", "name", "owner", F.explode(reference_tokens(F.col("name"))).alias("token"))
     kept = files.filter(skip_reason(F.col("path"), F.col("text"), limit, metadata or []).isNull()).withColumn("ext", extension(F.col("path")))
     blank = blank_comments(F.col("text"))
     source = F.when(F.col("ext") == "erb", F.array_join(F.flatten(F.transform(F.split(blank, r"(?s)(?=<%)|(?<=%>)"), lambda x: F.array(F.when(x.startswith("<%"), x).otherwise(F.regexp_replace(x, "[^\n]", " "))))), "")).otherwise(blank)
-    raw = F.split("text", "\n")
-    lines = kept.select("path", "ext", raw.alias("_raw"), F.posexplode(F.split(source, "\n")).alias("_at", "_line")).select("path", "ext", (F.col("_at") + 1).alias("line"), F.get("_raw", "_at").alias("_shown"), strip_inline("_line", "ext").alias("_line"))
-    met = lines.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("_line", F.lit(f"({TOKEN})"), F.lit(1))))).join(wanted, "token")
+    pairs = F.arrays_zip(F.split("text", "\n").alias("shown"), F.split(source, "\n").alias("line"))
+    lines = kept.select("path", "ext", F.posexplode(pairs).alias("_at", "_p")).select("path", "ext", (F.col("_at") + 1).alias("line"), F.col("_p.shown").alias("_shown"), strip_inline("_p.line", "ext").alias("_line"))
+    tokens = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("_line", F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
+    met = tokens.join(wanted, "token").join(lines, ["path", "line"])
     told = met.withColumn("kind", reference_kind(F.col("_line"), F.col("token"), F.col("name"), F.col("owner"), F.col("ext"))).filter("kind is not null")
     out = told.select("definition_id", "path", "line", "token", "kind", bounded_snippet(F.col("_shown")).alias("snippet"))
     if per_definition is None:

@@ -138,3 +138,100 @@ def precision_gate(measured: DataFrame, precision: float, yield_: int, recall: f
     wanted = [("candidate_precision", precision), ("candidate_count", yield_)] + ([("known_positive_recall", recall)] if recall is not None else [])
     checks = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(F.col(c) >= v, F.lit(False)).alias("passed")) for c, v in wanted])
     return measured.select(F.explode(checks).alias("_c")).select("_c.*")
+
+
+DETERMINATE = ("dead", "alive", "external")
+
+
+def candidate_metrics(selected: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """Counts, precision and recall of selected candidates by corpus, category or tool.
+
+    ``selected`` (candidate, label, loc, confidence, by), ``known`` (candidate, by): known positives. Only dead, alive and
+    external labels are reviewed; precision is NULL where none is, recall where nothing is known. A group that only one of
+    the two has stays.
+    """
+    reviewed = F.col("label").isin(*DETERMINATE)
+    sums = selected.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("candidate_count"), F.coalesce(F.sum("loc"), F.lit(0)).alias("candidate_loc"), F.count("loc").alias("loc_measured_count"), F.count_if(reviewed).alias("reviewed_count"),
+        F.count_if(reviewed & F.col("confidence").isin("certain", "high")).alias("reviewed_high_count"), F.count_if(F.col("label") == "dead").alias("_right"),
+    )
+    mine = selected.select(*by, "candidate", F.lit(True).alias("_hit")).distinct()
+    found = known.select(*by, "candidate").distinct().join(mine, [*by, "candidate"], "left").groupBy(*by).agg(F.count(F.lit(1)).alias("known_positive_count"), F.count("_hit").alias("_found"))
+    numbers = [c for c in sums.columns + found.columns if c not in by]
+    out = sums.join(found, by, "full").select(*by, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers])
+    precision = nullable_ratio(F.col("_right"), F.col("reviewed_count")).alias("candidate_precision")
+    recall = nullable_ratio(F.col("_found"), F.col("known_positive_count")).alias("known_positive_recall")
+    return out.select(*by, *[c for c in numbers if not c.startswith("_")], precision, recall)
+
+
+def aggregate_quality(parts: DataFrame) -> DataFrame:
+    """One row for several reports: sums, and the rates made anew from them. ``parts`` has the counts of ``quality`` and
+    resolution_total, resolution_unknown."""
+    names = ["candidate_count", "candidate_loc", "diagnostic_count", "blocked_count", "unknown_count", "resolution_total", "resolution_unknown"]
+    sums = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
+    findings = F.col("candidate_count") + F.col("diagnostic_count")
+    return sums.select(*names[:5], ratio(F.col("blocked_count"), findings).alias("blocked_rate"), ratio(F.col("unknown_count"), findings).alias("unknown_rate"), ratio(F.col("resolution_unknown"), F.col("resolution_total")).alias("unknown_resolution_rate"))
+
+
+def merged_tallies(parts: DataFrame, counts: str) -> DataFrame:
+    """(value, n): maps from values to counts, of many rows, added up."""
+    return parts.select(F.explode(counts).alias("value", "n")).groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def phase_rollup(phases: DataFrame) -> DataFrame:
+    """(name, seconds, allocated, peak_rss_kb) by phase; a phase that ran often is one row, the memory its highest."""
+    return phases.groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("allocated").alias("allocated"), F.max("rss_kb").alias("peak_rss_kb"))
+
+
+def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n): keys that should be unique and are not."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def unambiguous(facts: DataFrame, name: str, fact: str) -> DataFrame:
+    """(name, fact) of names with one fact; a name with two different ones is dropped, a null fact is a fact."""
+    seen = F.concat(F.lit("v"), F.col(fact).cast("string"))
+    one = facts.groupBy(name).agg(F.count_distinct(F.coalesce(seen, F.lit("-"))).alias("_n"), F.first(fact).alias(fact))
+    return one.filter("_n = 1").drop("_n")
+
+
+def count_at_least(rows: DataFrame, level: Column, least: Column) -> DataFrame:
+    """(n): rows whose level (a rank) is at least another; unknown levels don't count."""
+    return rows.agg(F.count_if(level >= least).alias("n"))
+
+
+def review_coverage(policies: DataFrame, changes: DataFrame) -> DataFrame:
+    """(corpus, changes, required, completed, zero_difference): every corpus of ``policies`` has a row.
+
+    ``changes`` (corpus, required, reviewed).
+    """
+    counted = changes.groupBy("corpus").agg(F.count(F.lit(1)).alias("changes"), F.count_if("required").alias("required"), F.count_if(F.col("required") & F.col("reviewed")).alias("completed"))
+    out = policies.select("corpus").distinct().join(counted, "corpus", "left").fillna(0, ["changes", "required", "completed"])
+    return out.withColumn("zero_difference", F.col("changes") == 0)
+
+
+def queue_summary(corpora: DataFrame, available: DataFrame, queued: DataFrame) -> DataFrame:
+    """(corpus, available, queued, queued_high): every corpus has a row. ``queued`` (corpus, confidence)."""
+    there = available.groupBy("corpus").agg(F.count(F.lit(1)).alias("available"))
+    taken = queued.groupBy("corpus").agg(F.count(F.lit(1)).alias("queued"), F.count_if(F.col("confidence").isin("certain", "high")).alias("queued_high"))
+    return corpora.select("corpus").distinct().join(there, "corpus", "left").join(taken, "corpus", "left").fillna(0)
+
+
+def safety_violations(base: DataFrame, mutant: DataFrame) -> DataFrame:
+    """(definition_id, violation): candidates that a mutation added, and candidates that are blocked as well.
+
+    Both (definition_id, is_candidate, is_blocked).
+    """
+    mine = mutant.filter("is_candidate").select("definition_id")
+    added = mine.subtract(base.filter("is_candidate").select("definition_id")).withColumn("violation", F.lit("added_candidate"))
+    both = mine.intersect(mutant.filter("is_blocked").select("definition_id")).withColumn("violation", F.lit("blocked_candidate"))
+    return added.unionByName(both)
+
+
+def instantiated_sample(classes: DataFrame, limit: int = 64, few: int = 16) -> DataFrame:
+    """(n, sample, digest): all class names in order up to ``limit``, else the first ``few``; the digest covers every name."""
+    names = classes.select("name").filter("name is not null").distinct()
+    first = names.orderBy("name").limit(limit + 1).agg(F.array_sort(F.collect_list("name")).alias("_s"))
+    whole = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("name").cast("decimal(38,0)")), F.lit(0)).alias("_a"), F.coalesce(F.sum(F.xxhash64(F.reverse("name"), F.lit(1)).cast("decimal(38,0)")), F.lit(0)).alias("_b"))
+    sample = F.when(F.col("n") <= limit, F.col("_s")).otherwise(F.slice("_s", 1, few)).alias("sample")
+    return whole.crossJoin(F.broadcast(first)).select("n", sample, F.sha2(F.concat_ws(",", "n", "_a", "_b"), 256).alias("digest"))
