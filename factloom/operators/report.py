@@ -84,11 +84,6 @@ def bounded(values: Column, limit: int = 100) -> Column:
     return F.struct(F.slice(values, 1, limit).alias("items"), n.alias("total"), F.least(n, F.lit(limit)).alias("returned"), (n > limit).alias("truncated"))
 
 
-def suggestions(nodes: DataFrame, wanted: str, k: int = 10) -> DataFrame:
-    """The first k ids that hold a text, for an id that is not there."""
-    return nodes.select("definition_id").filter(F.col("definition_id").contains(wanted)).orderBy("definition_id").limit(k)
-
-
 def self_check(nodes: DataFrame, edges: DataFrame, resolutions: DataFrame, findings: DataFrame) -> DataFrame:
     """(issue, n) of the graph's invariants: unknown edge ends, repeated sites, complete sites without an edge, broken findings.
 
@@ -101,8 +96,3 @@ def self_check(nodes: DataFrame, edges: DataFrame, resolutions: DataFrame, findi
     out = out.unionByName(count(resolutions.groupBy("call_site_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "repeated_site"))
     bare = resolutions.filter("status = 'complete' and n_targets > 0").join(edges.select("call_site_id").distinct(), "call_site_id", "left_anti")
     return out.unionByName(count(bare, "complete_without_edge")).unionByName(count(broken(findings), "broken_finding"))
-
-
-def why(nodes: DataFrame) -> Column:
-    """Why a node is where it is: the first of observed, runtime, external, blocked, test reach, or dead."""
-    return F.when(F.col("alive"), "observed").when(F.col("runtime"), "runtime_path").when(F.col("external"), "external_path").when(F.col("n_blockers") > 0, "blocked").when(F.col("test"), "test_path").otherwise("dead")
