@@ -50,7 +50,9 @@ def coverage_files(payloads: DataFrame) -> DataFrame:
     files = payloads.filter(m.isNotNull()).select("run", F.explode(held).alias("j"))
     inner = F.coalesce(_object(_object(F.col("j"))["files"]), _object(F.col("j")))
     lines = files.select("run", F.explode(inner).alias("path", "lines"))
-    return lines.select("run", "path", F.explode(executed(F.col("lines"))).alias("line")).filter("line is not null").distinct()
+    m = _object(F.col("lines"))
+    flat = lines.withColumn("lines", F.coalesce(m["lines"], m["coverage"], F.col("lines")))
+    return flat.select("run", "path", F.explode(executed(F.col("lines"), False)).alias("line")).filter("line is not null").distinct()
 
 
 def dense_counts(fields: Column, length: Column) -> Column:
