@@ -35,4 +35,20 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-ORACLE_SQL = {"op6_decontamination": DECONTAMINATION, "op8_exact_topk": TOPK, "op10_line_dedup": LINES}
+FILTER_AUDIT = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, part, (len(w) < 100)::INTEGER + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INTEGER
++ 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INTEGER
++ 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)::INTEGER AS mask FROM t),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT v.f || w.f || x.f || y.f || z.f AS o, [v.b, w.b, x.b, y.b, z.b] AS bs FROM f v, f w, f x, f y, f z WHERE v.b | w.b | x.b | y.b | z.b = 31),
+s AS (SELECT o, i::INTEGER AS step, bs[i] AS b, coalesce(list_sum(bs[1:i - 1]), 0)::INTEGER AS seen FROM (SELECT *, unnest(range(1, 6)) AS i FROM o)),
+r AS (SELECT part, o AS filter_order, step, b, coalesce(sum(n) FILTER (mask & (seen | b) = 0), 0)::BIGINT AS kept,
+coalesce(sum(n) FILTER (mask & b > 0 AND mask & seen = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & b > 0 AND mask & seen > 0), 0)::BIGINT AS redundant,
+coalesce(sum(n) FILTER (mask = b), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & b > 0 AND mask & seen = 0), 0)::BIGINT AS good_lost,
+coalesce(sum(toxic) FILTER (mask & b > 0 AND mask & seen = 0), 0)::BIGINT AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (b), (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley FROM r"""
+
+ORACLE_SQL = {"op6_decontamination": DECONTAMINATION, "op8_exact_topk": TOPK, "op10_line_dedup": LINES, "op12_filter_audit": FILTER_AUDIT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontam, line_dedup, mixing, ngram_join, ppm, quality, sharding, suffix_dedup, topk, toxicity
+from factloom.llm import decontam, filter_audit, line_dedup, mixing, ngram_join, pii, ppm, quality, sharding, suffix_dedup, topk, toxicity, whitening
 from factloom.llm.common import table
 from factloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -62,9 +62,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_toxicity, op3_quality_cotraining, op4_mixing, op5_ngram_jaccard_join, op6_decontamination, op7_lm_scoring, op8_exact_topk, op9_suffix_dedup, op10_line_dedup)
+    for f in (
+        op1_sharding,
+        op2_toxicity,
+        op3_quality_cotraining,
+        op4_mixing,
+        op5_ngram_jaccard_join,
+        op6_decontamination,
+        op7_lm_scoring,
+        op8_exact_topk,
+        op9_suffix_dedup,
+        op10_line_dedup,
+        op11_whitening,
+        op12_filter_audit,
+        op13_pii,
+    )
 }
-
-
