@@ -23,6 +23,7 @@ FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
 MASKS = 1 << len(FILTERS)
 LOCAL_BYTES = 64 << 20  # text that a task keeps before the shuffle; then it sends what it has and starts again
+ROUTED_BYTES = 64 << 20  # text that a task after the shuffle is meant to get; more text, more tasks
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -105,7 +106,8 @@ def failed_filters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(text), text, F.col(id_col), F.coalesce(F.col(part_col).cast("string"), F.lit("")), text_mask(text))
-    width = parts(spark)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()["bytes"]
+    width = max(parts(spark), -(-total // ROUTED_BYTES))
     decided = rows.rdd.mapPartitions(_send).partitionBy(width, lambda key: key % width).mapPartitions(_decide)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())])
     return spark.createDataFrame(decided, schema, verifySchema=False)
