@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators.chains import method_chains, singleton_chains
+from factloom.operators.chains import method_chains, singleton_chains, superclass_lines
 from factloom.operators.common import cut
 from factloom.operators.lookup import name_fallback, ordered_lookup
 
@@ -98,39 +98,71 @@ def strategy() -> Column:
     )
 
 
-def chain_lookup(sites: DataFrame, entries: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
-    """(site, part, definition_id, place, complete, missing): all definitions of the message in a site's entries.
+def tagged(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """``entries`` (owner, pos, candidate, sep) with gaps, the owners up to there without a class row, and opened, whether any is dynamic."""
+    info = classes.groupBy(F.col("id").alias("candidate")).agg(F.max(F.coalesce(F.col("dynamic").cast("int"), F.lit(0))).alias("_dynamic"))
+    told = entries.join(info, "candidate", "left")
+    upto = Window.partitionBy("owner").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    gaps = F.sum(F.when(F.col("_dynamic").isNull(), 1).otherwise(0)).over(upto)
+    opened = F.max(F.coalesce("_dynamic", F.lit(0))).over(Window.partitionBy("owner")) > 0
+    return told.select("owner", "pos", "candidate", "sep", gaps.alias("gaps"), opened.alias("opened"))
+
+
+def lone_entries(owners: DataFrame, classes: DataFrame, sep: str) -> DataFrame:
+    """Tagged entries of owners (owner) without a class row: themselves."""
+    missing = owners.select("owner").filter("owner is not null").distinct().join(classes.select(F.col("id").alias("owner")), "owner", "left_anti")
+    return missing.select("owner", F.lit(0).alias("pos"), F.col("owner").alias("candidate"), F.lit(sep).alias("sep"), F.lit(1).cast("long").alias("gaps"), F.lit(False).alias("opened"))
+
 
-    ``sites`` (site, part, owner, message, after): entries up to position ``after`` don't count (NULL: all do); ``part`` tells
-    several lookups of a site apart. ``entries`` (owner, pos, candidate, sep), ``methods`` (candidate, sep, message,
-    definition_id), ``classes`` (id, dynamic). place 1: the first owner that defines it (ties stay), 2: shadowed by it.
-    complete: every owner up to that one has a class row, and no owner of the entries is dynamic. missing: found by method_missing,
-    which is looked for where the message is nowhere.
+def class_entries(classes: DataFrame, above: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The tagged instance and singleton entries of all classes, made once. ``above``: ``chains.superclass_lines``, if they are there."""
+    above = superclass_lines(classes) if above is None else above
+    return cut(tagged(method_chains(classes, above=above).withColumn("sep", F.lit("#")), classes)), cut(tagged(singleton_chains(classes, above), classes))
+
+
+def resolve(requests: DataFrame, entries: DataFrame, methods: DataFrame) -> DataFrame:
+    """(owner, message, after, definition_id, place, complete, missing): all definitions of a message in an owner's entries.
+
+    ``requests`` (owner, message, after), each once: entries up to position ``after`` don't count (-1: all do). ``entries`` as
+    ``tagged`` gives them, ``methods`` (candidate, sep, message, definition_id). place 1: the first owner that defines it (ties
+    stay), 2: shadowed by it. complete: every owner up to that one has a class row, and no owner of the entries is
+    dynamic. missing: found by method_missing, which is looked for where the message is nowhere, once for an owner and not for
+    each message. A message that no method has meets no entry at all.
     """
-    info = classes.select(F.col("id").alias("candidate"), F.col("dynamic").alias("_dynamic"), F.lit(1).alias("_row"))
-    tagged = entries.join(info, "candidate", "left")
-    upto = Window.partitionBy("owner").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    gaps = F.sum(F.when(F.col("_row").isNull(), 1).otherwise(0)).over(upto)
-    tagged = tagged.withColumn("_gaps", gaps).withColumn("_dyn", F.max(F.coalesce(F.col("_dynamic").cast("int"), F.lit(0))).over(Window.partitionBy("owner")))
-    wanted = sites.select("site", "part", "owner", "after", F.explode(F.array(F.struct(F.col("message").alias("message"), F.lit(False).alias("missing")), F.struct(F.lit("method_missing").alias("message"), F.lit(True).alias("missing")))).alias("_m"))
-    wanted = wanted.select("site", "part", "owner", "after", "_m.*")
-    found = wanted.join(tagged, "owner").filter(F.col("after").isNull() | (F.col("pos") > F.col("after"))).join(methods, ["candidate", "sep", "message"])
-    by = Window.partitionBy("site", "part").orderBy("missing", "pos")
-    placed = found.withColumn("_rank", F.rank().over(by)).withColumn("_hit", F.min_by("missing", F.struct("missing", "pos")).over(Window.partitionBy("site", "part")))
-    placed = placed.filter(F.col("missing") == F.col("_hit")).filter(~F.col("missing") | (F.col("_rank") == 1))
-    first = Window.partitionBy("site", "part")
-    complete = F.max(F.when(F.col("_rank") == 1, (F.col("_gaps") == 0) & (F.col("_dyn") == 0))).over(first)
-    return placed.select("site", "part", "definition_id", F.when(F.col("_rank") == 1, 1).otherwise(2).alias("place"), complete.alias("complete"), "missing")
-
-
-def method_lookup(sites: DataFrame, nodes: DataFrame, classes: DataFrame, limit: int | None = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    names = methods.select("message").distinct()
+
+    def found(wanted: DataFrame) -> DataFrame:
+        hit = wanted.join(names, "message", "left_semi").join(entries, "owner").filter(F.col("pos") > F.col("after")).join(methods, ["candidate", "sep", "message"])
+        return hit.withColumn("_rank", F.rank().over(Window.partitionBy("owner", "message", "after").orderBy("pos")))
+
+    complete = (F.col("gaps") == 0) & ~F.col("opened")
+    direct = cut(found(requests).select("owner", "message", "after", "definition_id", "_rank", complete.alias("_whole")))
+    first = Window.partitionBy("owner", "message", "after")
+    placed = direct.select("owner", "message", "after", "definition_id", F.when(F.col("_rank") == 1, 1).otherwise(2).alias("place"), F.max(F.when(F.col("_rank") == 1, F.col("_whole"))).over(first).alias("complete"), F.lit(False).alias("missing"))
+    lost = requests.join(direct.select("owner", "message", "after"), ["owner", "message", "after"], "left_anti")
+    caught = found(lost.select("owner", "after", F.lit("method_missing").alias("message")).distinct()).filter("_rank = 1").select("owner", "after", "definition_id", complete.alias("complete"))
+    return placed.unionByName(lost.join(caught, ["owner", "after"]).select("owner", "message", "after", "definition_id", F.lit(1).alias("place"), "complete", F.lit(True).alias("missing")))
+
+
+def chain_lookup(sites: DataFrame, entries: DataFrame, methods: DataFrame) -> DataFrame:
+    """(site, part, definition_id, place, complete, missing): ``resolve`` for sites (site, part, owner, message, after; NULL after: -1).
+
+    ``part`` tells several lookups of a site apart. Each (owner, message, after) is resolved once, however many sites ask.
+    """
+    asked = sites.select("site", "part", "owner", "message", F.coalesce("after", F.lit(-1)).alias("after"))
+    answers = resolve(asked.select("owner", "message", "after").filter("owner is not null").distinct(), entries, methods)
+    return asked.join(answers, ["owner", "message", "after"]).select("site", "part", "definition_id", "place", "complete", "missing")
+
+
+def method_lookup(sites: DataFrame, nodes: DataFrame, classes: DataFrame, limit: int | None = 4, entries: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lookups, targets, rejected) of call sites: site, status, reason; site, definition_id; site, definition_id, reason.
 
     ``sites`` (site, caller_id, message, receiver_kind, receiver_name, dynamic, test, physical_target, flow_types,
     original); ``nodes`` (definition_id, kind, owner, name, visibility, test); ``classes`` (id, kind, superclass, includes,
     prepends, singleton_includes, singleton_prepends, dynamic). status: complete, partial (targets, but there may be more) or
     unknown. A module's super call is answered by every host and is never complete; several flow types are complete only if
-    each is. Complete lookups reject private and protected targets and name what the hit shadows.
+    each is. Complete lookups reject private and protected targets and name what the hit shadows. ``entries``: what
+    ``class_entries`` gave for the classes, if it is there already.
     """
     callers = nodes.select(F.col("definition_id").alias("caller_id"), F.col("owner").alias("caller_owner"), F.col("kind").alias("caller_kind"))
     rows = sites.join(callers, "caller_id", "left").withColumn("strategy", strategy())
@@ -141,10 +173,9 @@ def method_lookup(sites: DataFrame, nodes: DataFrame, classes: DataFrame, limit:
     asked = rows.filter("strategy not in ('name', 'physical')").withColumn("owner", owner)
     asked = asked.filter("strategy <> 'flow'").withColumn("part", F.lit("")).unionByName(asked.filter("strategy = 'flow'").withColumn("owner", F.explode(F.array_distinct("flow_types"))).withColumn("part", F.col("owner")))
     asked = cut(asked.select("site", "part", "owner", "message", "strategy"))
-    starts = asked.select("owner").union(classes.select("id")).distinct()
-    instance = cut(method_chains(classes, starts).withColumn("sep", F.lit("#")))
-    lone = starts.join(classes.select(F.col("id").alias("owner")), "owner", "left_anti").filter("owner is not null").select("owner", F.lit(0).alias("pos"), F.col("owner").alias("candidate"), F.lit(".").alias("sep"))
-    singleton = cut(singleton_chains(classes).unionByName(lone))
+    of_instance, of_singleton = entries or class_entries(classes)
+    instance = of_instance.unionByName(lone_entries(asked, classes, "#"))
+    singleton = of_singleton.unionByName(lone_entries(asked, classes, "."))
     none = F.lit(None).cast("int").alias("after")
     modules = classes.filter("kind = 'module'").select(F.col("id").alias("owner"))
     shared = asked.filter("strategy = 'super_instance'").join(modules, "owner", "left_semi")
@@ -169,7 +200,7 @@ def method_lookup(sites: DataFrame, nodes: DataFrame, classes: DataFrame, limit:
         hosted(singleton),
     ]
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    found = cut(chain_lookup(union(by_instance), instance, plain, classes).unionByName(chain_lookup(union(by_singleton), singleton, plain, classes)))
+    found = cut(chain_lookup(union(by_instance), instance, plain).unionByName(chain_lookup(union(by_singleton), singleton, plain)))
     kinds = asked.groupBy("site").agg(F.first("strategy").alias("strategy"), F.count_distinct("part").alias("_parts")).join(shared.select("site", F.lit(True).alias("_open")).distinct(), "site", "left")
     merged = found.groupBy("site").agg(F.count_distinct("part").alias("_hit"), F.min("complete").alias("_complete"), F.max("missing").alias("_missing"))
     state = kinds.join(merged, "site", "left")

@@ -122,52 +122,6 @@ def test_stream_of_calls(spark, tmp_path):
     assert rows(spark.table("calls")) == [("t1", "a", "b"), ("t1", "a", "c"), ("t1", "b", "lost")]
 
 
-def test_plug_in_analyzer(spark):
-    class One:
-        name = "one"
-
-        def analyze(self, given):
-            edges = spark.createDataFrame([("r", "a", "e1", "p"), ("a", "b", "e2", "p"), ("a", "b", "e2", "q")], "caller_id string, callee_id string, evidence_id string, payload_digest string")
-            return analyzers.AnalyzerResult(edges, spark.createDataFrame([("c",)], "node string"))
-
-    class Broken(One):
-        name = "broken"
-
-        def analyze(self, given):
-            bad = spark.range(1).selectExpr("raise_error('late') as caller_id", "'a' as callee_id", "'e' as evidence_id", "'p' as payload_digest")
-            return analyzers.AnalyzerResult(bad, spark.createDataFrame([], "node string"))
-
-    class Bold(One):
-        name = "bold"
-
-        def analyze(self, given):
-            return analyzers.AnalyzerResult(One().analyze(given).edges.limit(0), spark.createDataFrame([], "node string"), spark.createDataFrame([(1, "complete")], "site int, status string"), complete=False)
-
-    given = {"nodes": spark.createDataFrame([(x,) for x in "rabc"], "node string"), "roots": spark.createDataFrame([("runtime", "r")], "domain string, node string")}
-    assert rows(analyzers.run(given, [One()]).select("node", "classification")) == [("b", "unreachable"), ("c", "blocked")]
-    for failing in (Broken(), Bold()):
-        assert rows(analyzers.run(given, [One(), failing]).select("node", "classification")) == [("b", "blocked"), ("c", "blocked")]
-
-
-def test_static_analyzers(spark):
-    from test_dispatch import CLASS, NODE, SITE, klass
-
-    classes = spark.createDataFrame([klass("Base"), klass("Leaf", "Base"), klass("Unmade", "Base"), klass("Dyn", "Base", dynamic=True)], CLASS)
-    nodes = spark.createDataFrame([(f"{o}_{m}", "instance_method", o, m, "public", False) for o, m in [("Leaf", "go"), ("Unmade", "go"), ("Dyn", "go"), ("Base", "run"), ("Leaf", "main")]] + [(f"m{i}", "instance_method", f"X{i}", "many", "public", False) for i in range(5)], NODE)
-    rest = (False, False, None, None, None)
-    sites = spark.createDataFrame([(1, "Leaf_main", "go", "instance", "Base", *rest), (2, "Leaf_main", "run", "instance", "Leaf", *rest), (3, "Leaf_main", "go", "unknown", None, *rest), (4, "Leaf_main", "many", "unknown", None, *rest), (5, "Leaf_main", "none", "instance", "Leaf", *rest)], SITE)
-    facts_ = {"nodes": nodes, "sites": sites, "classes": classes, "instantiated": spark.createDataFrame([("Leaf",)], "owner string")}
-    edges, resolutions, found = analyzers.name_resolution(facts_)
-    heuristic = {(3, f"{o}_go", "heuristic") for o in ("Leaf", "Unmade", "Dyn")}
-    assert {(r.site, r.callee_id, r.grade) for r in edges.collect()} == {(2, "Base_run", "exact")} | heuristic
-    assert {r.site: r.status for r in resolutions.collect()} == {1: "unknown", 2: "complete", 3: "partial", 4: "unknown", 5: "unknown"}
-    assert [(r.site, r.reason, r.scope_kind, r.scope_values) for r in found.collect()] == [(4, "ambiguity_limit_exceeded", "message", ["many"])]
-    wide, states = analyzers.cha(facts_)
-    assert {(r.site, r.callee_id) for r in wide.collect()} == {(1, "Leaf_go"), (1, "Unmade_go"), (1, "Dyn_go"), (2, "Base_run")} | {(s, c) for s, c, _ in heuristic}
-    assert {r.site: r.status for r in states.collect()} == {1: "partial", 2: "complete", 3: "partial", 4: "unknown", 5: "unknown"}
-    assert {(r.site, r.callee_id) for r in analyzers.rta(facts_).collect()} == {(1, "Leaf_go"), (1, "Dyn_go"), (2, "Base_run"), (3, "Leaf_go"), (3, "Dyn_go")}
-
-
 def test_evidence_identity_and_scopes(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "q"), ("", "q")], "x string, y string")
     assert evidence.with_payload(df, ["x", "y"], ["y"]).select("evidence_id").distinct().count() == 4
