@@ -55,6 +55,32 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+KEY_LENGTH = 16  # characters of a literal prefix or suffix that an index key has at most
+ALTERNATIVES = 64  # spellings that braces are written out to at most; beyond, what stands before the first brace is the key
+
+
+def _spellings(glob: str) -> list[str]:
+    """The glob with its innermost-first braces written out; unchanged if there are too many."""
+    found = [glob]
+    while len(found) <= ALTERNATIVES:
+        at = next((i for i, g in enumerate(found) if re.search(r"\{[^{}]*\}", g)), None)
+        if at is None:
+            return found
+        g = found.pop(at)
+        m = re.search(r"\{([^{}]*)\}", g)
+        found += [g[: m.start()] + part + g[m.end() :] for part in m[1].split(",")]
+    return [glob]
+
+
+def glob_keys(glob: str) -> list[tuple[str, int, str]]:
+    """(side, length, text): literal prefixes (p) or suffixes (s) of which a matching value has one; ("a", 0, "") if any value may match."""
+    keys = set()
+    for g in _spellings(glob.replace("**/", "*")):
+        before, after = re.split(r"[*?\[\]{}]", g, maxsplit=1)[0][:KEY_LENGTH], re.split(r"[*?\[\]{}]", g)[-1][-KEY_LENGTH:]
+        keys.add(("p", len(before), before) if before else ("s", len(after), after) if after else ("a", 0, ""))
+    return [("a", 0, "")] if ("a", 0, "") in keys else sorted(keys)
+
+
 def _closing(glob: str, start: int) -> int:
     """Where the brace at ``start`` is closed; -1: nowhere."""
     depth = 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,22 +120,30 @@ def baseline_cascade(entries: DataFrame, current: DataFrame) -> DataFrame:
     ``entries`` (idx, definition_id, fingerprint, body_digest, symbol_id, path, classification), ``current`` (finding,
     definition_id, physical_fingerprint, body_digest, symbol_id, path, classification). exact: definition id or fingerprint;
     body_digest: equal body, symbol and path; symbol_path_hint: equal symbol and path; the classification is the same in
-    all. finding is the one candidate, NULL if there are several (a review) or none (unmatched).
+    all. finding is the one candidate, NULL if there are several (a review) or none (unmatched). Findings are counted by key
+    before the join, so that a place with many findings and many entries forms no pairs.
     """
-    e, c = entries.alias("e"), current.alias("c")
-    same = F.col("e.classification") == F.col("c.classification")
-    place = (F.col("e.symbol_id") == F.col("c.symbol_id")) & (F.col("e.path") == F.col("c.path"))
-    rules = [
-        ("exact", F.col("e.definition_id") == F.col("c.definition_id")),
-        ("exact", F.coalesce("e.definition_id", "e.fingerprint") == F.col("c.physical_fingerprint")),
-        ("body_digest", (F.col("e.body_digest") == F.col("c.body_digest")) & place),
-        ("symbol_path_hint", place),
-    ]
-    order = {"exact": 0, "body_digest": 1, "symbol_path_hint": 2}
-    found = reduce(DataFrame.unionByName, [e.join(c, rule & same).select("e.idx", "c.finding", F.lit(name).alias("strategy"), F.lit(order[name]).alias("_o")) for name, rule in rules])
-    per = found.distinct().groupBy("idx", "strategy", "_o").agg(F.count(F.lit(1)).alias("n"), F.min("finding").alias("finding"))
-    first = per.groupBy("idx").agg(F.min_by(F.struct("strategy", "n", "finding"), "_o").alias("_m"))
-    joined = entries.select("idx").join(first, "idx", "left")
+    known = current.withColumn("_place", F.when(F.col("symbol_id").isNotNull() & F.col("path").isNotNull(), F.struct("symbol_id", "path")))
+    asked = entries.withColumn("_place", F.when(F.col("symbol_id").isNotNull() & F.col("path").isNotNull(), F.struct("symbol_id", "path"))).withColumn("_print", F.coalesce("definition_id", "fingerprint"))
+    rules = {  # by column of the findings: the entries' column
+        "id": {"definition_id": "definition_id"},
+        "print": {"physical_fingerprint": "_print"},
+        "both": {"definition_id": "definition_id", "physical_fingerprint": "_print"},
+        "body": {"body_digest": "body_digest", "_place": "_place"},
+        "hint": {"_place": "_place"},
+    }
+    for name, keys in rules.items():
+        counted = known.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("classification").alias("_kind")).agg(F.count_distinct("finding").alias(f"_n_{name}"), F.min("finding").alias(f"_f_{name}"))
+        on = F.col("classification") == F.col("_kind")
+        for i, c in enumerate(keys.values()):
+            on = on & (F.col(c) == F.col(f"_k{i}"))
+        asked = asked.join(counted, on, "left").drop("_kind", *[f"_k{i}" for i in range(len(keys))])
+    n = lambda name: F.coalesce(F.col(f"_n_{name}"), F.lit(0).cast("long"))
+    exact = n("id") + n("print") - n("both")
+    told = F.when(exact > 0, F.struct(F.lit("exact").alias("strategy"), exact.alias("n"), F.least("_f_id", "_f_print").alias("finding")))
+    for name, strategy in (("body", "body_digest"), ("hint", "symbol_path_hint")):
+        told = told.when(n(name) > 0, F.struct(F.lit(strategy).alias("strategy"), n(name).alias("n"), F.col(f"_f_{name}").alias("finding")))
+    joined = asked.select("idx", told.alias("_m"))
     return joined.select("idx", F.coalesce("_m.strategy", F.lit("unmatched")).alias("strategy"), F.coalesce("_m.n", F.lit(0).cast("long")).alias("n_candidates"), F.when(F.col("_m.n") == 1, F.col("_m.finding")).alias("finding"))
 
 

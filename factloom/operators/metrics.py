@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.scalars import nearest_rank, nullable_ratio, ratio
+from factloom.operators import ranges
 
 
 def retrieval(rows: DataFrame, by: list[str], predicted: Column, positive: Column) -> DataFrame:
@@ -38,20 +40,23 @@ def tool_matrix(rows: DataFrame, by: str, tool: str, tools: list[str]) -> DataFr
     return rows.groupBy(by).pivot(tool, tools).agg(F.count(F.lit(1))).select(by, *[F.coalesce(t, F.lit(0)).alias(t) for t in tools])
 
 
-def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, min, max, mean and nearest-rank median and p95. Exact: sorts a group's distinct values with their counts,
-    so a hot group moves one row for each distinct value."""
-    from pyspark.sql.window import Window
+def distribution(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """count, low, high, mean and nearest-rank percentiles (p50, p95) by group. Exact, and no task holds a whole group.
 
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(whole))
-
-    def at(percent: int) -> Column:
-        return F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_total") * F.lit(percent) / 100.0), F.lit(1)), F.col(value)))
-
-    return ranked.groupBy(*by).agg(F.max("_total").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.sum(F.col(value) * F.col("_n")) / F.max("_total"), 4).alias("mean"), at(50).alias("p50"), at(95).alias("p95"))
+    Distinct values with their counts are range-partitioned by group and value; the totals of a group's partitions say in
+    which of them a rank lies, and only that one is ordered.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = ranges.ranged(counts, by, ["_v"])
+    parts = ranges.totals_before(cells, by, "_n")
+    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("_p"), F.greatest(F.ceil(F.col("_total") * F.lit(p) / 100.0), F.lit(1)).alias("_rank")) for p in percents]))
+    wanted = parts.select("*", ranks.alias("_r")).select(*by, ranges.PART, "_before", "_size", "_r.*").filter("_rank > _before and _rank <= _before + _size")
+    near = ranges.null_safe(cells, wanted, [*by, ranges.PART])
+    upto = Window.partitionBy(*by, ranges.PART, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = near.withColumn("_upto", F.sum("_n").over(upto) + F.col("_before")).filter("_upto >= _rank").groupBy(*by, "_p").agg(F.min("_v").alias("_v"))
+    points = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])
+    plain = cells.groupBy(*by).agg(F.sum("_n").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.round(F.sum(F.col("_v") * F.col("_n")) / F.sum("_n"), 4).alias("mean"))
+    return ranges.null_safe(plain, points, by)
 
 
 def performance_gate(measured: DataFrame, limits: DataFrame, corpus: str, values: list[str]) -> DataFrame:

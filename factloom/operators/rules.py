@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,32 @@ def clean_path(path: Column) -> Column:
     return F.when(~path.startswith("/") & (F.coalesce(F.get(done, F.lit(0)), F.lit("")) != ".."), F.when(F.size(done) == 0, ".").otherwise(F.array_join(done, "/")))
 
 
-def load_edges(references: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved) of load references (site, caller_id, file, test, kind, path, literal) to file roots (file, definition_id, test).
+#: Nodes that stand for all file roots outside tests, and for all of them.
+HUB, TEST_HUB = "load:runtime", "load:test"
+
+
+@dataclass
+class LoadGraph:
+    """edges (site, caller_id, target, strategy) from callers to roots or hubs, hubs (src, dst) from hubs to roots, unresolved (site),
+    and blockers of the callers of unknown paths."""
+
+    edges: DataFrame
+    hubs: DataFrame
+    unresolved: DataFrame
+    blockers: DataFrame
+
+    def graph(self) -> DataFrame:
+        """(src, dst): what a reachability walks; hubs are nodes of it."""
+        return self.edges.select(F.col("caller_id").alias("src"), F.col("target").alias("dst")).distinct().unionByName(self.hubs)
+
+
+def load_edges(references: DataFrame, roots: DataFrame) -> LoadGraph:
+    """Load references (site, caller_id, file, test, kind, path, literal) to file roots (file, definition_id, test).
 
     A literal require_relative is read from its file's folder, another literal from ``lib`` or as it is below ``lib``; a path
-    without extension also stands for the source file. A reference with an unknown path leads to all roots, tests' only if it
-    is in a test itself. edges (site, caller_id, definition_id, strategy), unresolved (site): literals without a root.
-    Every unknown reference of a caller leads to the same roots, so callers, not references, meet them.
+    without extension also stands for the source file. Literals without a root are unresolved. A reference with an unknown path
+    may lead to any root, tests' only if it is in a test itself: it has one edge to a hub, and the hub one to each root, so the
+    pairs of callers and roots are never formed. Its caller is blocked.
     """
     literal = references.filter("literal")
     folder = F.regexp_extract("file", r"^(.*/)?[^/]*$", 1)
@@ -96,8 +117,14 @@ def load_edges(references: DataFrame, roots: DataFrame) -> tuple[DataFrame, Data
     places = F.when(relative, F.when(near.isNotNull(), bare(near)).otherwise(none)).otherwise(F.coalesce(F.when(plain.isNotNull(), wide), none))
     strategy = F.when(relative, "require_relative").when(F.col("kind") == "autoload", "autoload_lib_path").otherwise("require_lib_path")
     aims = literal.select("site", "caller_id", strategy.alias("strategy"), F.explode(places).alias("file"))
-    found = aims.join(roots.select("file", "definition_id"), "file").select("site", "caller_id", "definition_id", "strategy")
+    found = aims.join(roots.select("file", "definition_id"), "file").select("site", "caller_id", F.col("definition_id").alias("target"), "strategy")
     unresolved = literal.select("site").join(found.select("site").distinct(), "site", "left_anti")
-    open_ = references.filter("not literal").groupBy("caller_id").agg(F.min("site").alias("site"), F.max("test").alias("test"))
-    every = open_.join(roots.select("definition_id", F.col("test").alias("_test")), F.col("test") | ~F.col("_test")).select("site", "caller_id", "definition_id", F.lit("dynamic_conservative").alias("strategy"))
-    return found.unionByName(every), unresolved
+    open_ = references.filter("not literal")
+    test = F.coalesce("test", F.lit(False))
+    unknown = open_.select("site", "caller_id", F.when(test, TEST_HUB).otherwise(HUB).alias("target"), F.lit("dynamic_conservative").alias("strategy"))
+    hubs = roots.select(F.when(test, TEST_HUB).otherwise(HUB).alias("src"), F.col("definition_id").alias("dst")).distinct()
+    both = references.sparkSession.createDataFrame([(TEST_HUB, HUB)], "src string, dst string")
+    reason = F.concat(F.min("kind"), F.lit(" path is not a static string or symbol"))
+    per = open_.groupBy("caller_id").agg(F.count(F.lit(1)).alias("n_sites"), reason.alias("reason"))
+    told = per.select(F.concat(F.lit("load:"), "caller_id").alias("blocker_id"), F.lit("dynamic_load").alias("kind"), F.lit("definition").alias("scope_kind"), F.col("caller_id").alias("scope_value"), F.lit("exact").alias("scope_match"), "reason", "n_sites")
+    return LoadGraph(found.unionByName(unknown), hubs.unionByName(both), unresolved, told)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators import ranges
+
 
 def line_interval_join(hits: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """hits (file, line, ...) within spans (file, first, last, ...): an equi-join on file and line bucket, then the range.
@@ -49,17 +51,31 @@ def latest_run(payloads: DataFrame, key: list[str], run: str) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, right_ts: str, value: str) -> DataFrame:
-    """Each left row with the latest right value at or before it: both sides in one ordered pass by key, no pairs."""
-    union = left.select(key, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
-    union = union.unionByName(right.select(key, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(union.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value")))
-    seen = Window.partitionBy(key).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return union.withColumn("_last", F.last("_value", ignorenulls=True).over(seen)).filter("_side = 1").select("_row.*", F.col("_last").alias(f"latest_{value}"))
+    """Each left row with the latest right value at or before it: both sides in one ordered pass, no pairs.
+
+    Rows are range-partitioned by key and time, so a key of any size lies in many tasks; each takes over the last value of the
+    key's earlier partitions.
+    """
+    union = left.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
+    union = union.unionByName(right.select(F.col(key).alias("_key"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(union.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value")))
+    rows = ranges.ranged(union, ["_key"], ["_ts", "_side", F.xxhash64("_row")])
+    seen = Window.partitionBy("_key", ranges.PART).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_last", F.last("_value", ignorenulls=True).over(seen)).filter("_side = 1")
+    before = ranges.carried(rows, ["_key"], F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_ts"))), "_carried")
+    told = ranges.null_safe(local, before, ["_key", ranges.PART], "left")
+    known = F.when(F.col("_key").isNotNull(), F.coalesce("_last", "_carried"))
+    return told.select("_row.*", known.alias(f"latest_{value}"))
 
 
 def parent_edges(calls: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(parent, child, n): consecutive calls of one thread, counted."""
-    before = F.lag("name").over(Window.partitionBy(key).orderBy(*order))
-    return calls.withColumn("parent", before).filter("parent is not null").groupBy("parent", F.col("name").alias("child")).agg(F.count(F.lit(1)).alias("n"))
+    """(parent, child, n): consecutive calls of one thread, counted. A thread of any size lies in many tasks; see ``ranges``."""
+    rows = ranges.ranged(calls.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "name"), ["_key"], [f"_o{i}" for i in range(len(order))])
+    at = F.struct(*[f"_o{i}" for i in range(len(order))])
+    local = rows.withColumn("_lag", F.lag("name").over(Window.partitionBy("_key", ranges.PART).orderBy(at, "name")))
+    local = local.withColumn("_first", F.row_number().over(Window.partitionBy("_key", ranges.PART).orderBy(at, "name")) == 1)
+    before = ranges.carried(rows, ["_key"], F.max_by("name", F.struct(at, "name")), "_carried")
+    told = ranges.null_safe(local, before, ["_key", ranges.PART], "left").withColumn("parent", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
+    return told.filter("parent is not null").groupBy("parent", F.col("name").alias("child")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def executed_lines(counts: Column) -> Column:

@@ -146,14 +146,14 @@ def why_not_states(spark, sf_dir):
 
 
 @query(
-    """WITH res AS (SELECT o_orderkey AS site, o_custkey % 200 AS a, o_orderkey % 13 AS b FROM orders), sites AS (SELECT l_orderkey AS site, count(*) AS n, min(l_linenumber) AS caller FROM lineitem WHERE l_linenumber > 5 GROUP BY 1),
+    """WITH res AS (SELECT o_orderkey AS site, o_custkey % 200 AS a, o_orderkey % 13 AS b FROM orders), sites AS (SELECT l_orderkey AS site, count(*) AS n, min(l_linenumber) AS caller FROM lineitem GROUP BY 1),
 aims AS (SELECT site, a AS t FROM res UNION SELECT site, b FROM res), known AS (SELECT c_custkey AS k FROM customer)
 SELECT site AS call_site_id, CASE WHEN n IS NULL THEN 'unknown_call_site' ELSE 'ambiguous_call_site' END AS issue, NULL::BIGINT AS definition_id FROM res LEFT JOIN sites USING (site) WHERE n IS NULL OR n > 1
 UNION ALL SELECT site, CASE WHEN t NOT IN (SELECT k FROM known) THEN 'unknown_target_definition' ELSE 'missing_target_edge' END, t FROM aims LEFT JOIN sites USING (site) WHERE t NOT IN (SELECT k FROM known) OR (n = 1 AND NOT (caller % 2 = t % 2))"""
 )
 def resolution_issues(spark, sf_dir):
     res = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_site_id"), F.lit("p").alias("producer"), F.array(F.col("o_custkey") % 200, F.col("o_orderkey") % 13).alias("target_definition_ids"))
-    sites = table(spark, sf_dir, "lineitem").filter("l_linenumber > 5").select(F.col("l_orderkey").alias("call_site_id"), F.col("l_linenumber").cast("long").alias("caller_id"))
+    sites = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call_site_id"), F.col("l_linenumber").cast("long").alias("caller_id"))
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("definition_id"))
     callers = sites.select("caller_id").distinct()
     edges = nodes.select((F.col("definition_id") % 2).alias("_k"), F.col("definition_id").alias("callee_id")).join(callers.withColumn("_k", F.col("caller_id") % 2), "_k").select("caller_id", "callee_id")
@@ -203,20 +203,53 @@ def convention_hits(spark, sf_dir):
     return rules.convention_hits(nodes, listed, up, ["rails"])
 
 
-@query(
-    """WITH refs AS (SELECT c_custkey AS site, c_custkey % 3 AS k, c_custkey % 25 AS n, 'm' || c_custkey AS caller FROM customer)
-SELECT site, caller AS caller_id, 'S' || s_suppkey AS definition_id, CASE k WHEN 0 THEN 'require_relative' ELSE 'require_lib_path' END AS strategy FROM refs JOIN supplier ON s_suppkey = n WHERE k < 2
-UNION ALL SELECT site, caller, 'S' || s_suppkey, 'dynamic_conservative' FROM refs, supplier WHERE k = 2 AND site < 30"""
-)
-def load_edges(spark, sf_dir):
+LOADS = "refs AS (SELECT c_custkey AS site, c_custkey % 3 AS k, c_custkey % 25 AS n, 'm' || c_custkey AS caller, c_custkey % 7 = 0 AS test, c_nationkey FROM customer)"
+
+
+def _loads(spark, sf_dir):
+    """References of all customers to suppliers as files: a third each by folder, by load path and unknown; every fourth file is a test's."""
     key = F.col("c_custkey")
     k = key % 3
     path = F.when(k == 0, F.concat(F.lit("../n/./s"), key % 25)).otherwise(F.concat(F.lit("n/s"), key % 25, F.lit(".rb")))
-    refs = table(spark, sf_dir, "customer").filter((k < 2) | (key < 30)).select(
-        key.alias("site"), _text("m", key).alias("caller_id"), F.lit("lib/m/x.rb").alias("file"), F.lit(False).alias("test"), F.when(k == 0, "require_relative").otherwise("require").alias("kind"), path.alias("path"), (k < 2).alias("literal")
+    refs = table(spark, sf_dir, "customer").select(
+        key.alias("site"), _text("m", key).alias("caller_id"), F.lit("lib/m/x.rb").alias("file"), (key % 7 == 0).alias("test"), F.when(k == 0, "require_relative").otherwise("require").alias("kind"), path.alias("path"), (k < 2).alias("literal")
     )
-    roots = table(spark, sf_dir, "supplier").select(F.concat(F.lit("lib/n/s"), "s_suppkey", F.lit(".rb")).alias("file"), _text("S", "s_suppkey").alias("definition_id"), F.lit(False).alias("test"))
-    return rules.load_edges(refs, roots)[0]
+    roots = table(spark, sf_dir, "supplier").select(F.concat(F.lit("lib/n/s"), "s_suppkey", F.lit(".rb")).alias("file"), _text("S", "s_suppkey").alias("definition_id"), (F.col("s_suppkey") % 4 == 0).alias("test"))
+    return rules.load_edges(refs, roots)
+
+
+@query(
+    f"""WITH {LOADS} SELECT site, caller AS caller_id, 'S' || s_suppkey AS target, CASE k WHEN 0 THEN 'require_relative' ELSE 'require_lib_path' END AS strategy FROM refs JOIN supplier ON s_suppkey = n WHERE k < 2
+UNION ALL SELECT site, caller, CASE WHEN test THEN 'load:test' ELSE 'load:runtime' END, 'dynamic_conservative' FROM refs WHERE k = 2"""
+)
+def load_edges(spark, sf_dir):
+    return _loads(spark, sf_dir).edges
+
+
+@query("SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'load:test' ELSE 'load:runtime' END AS src, 'S' || s_suppkey AS dst FROM supplier UNION ALL SELECT 'load:test', 'load:runtime'")
+def load_hubs(spark, sf_dir):
+    return _loads(spark, sf_dir).hubs
+
+
+@query(
+    f"""WITH {LOADS}, pairs AS (SELECT caller, s_suppkey FROM refs JOIN supplier ON s_suppkey = n WHERE k < 2 UNION SELECT caller, s_suppkey FROM refs, supplier WHERE k = 2 AND (test OR s_suppkey % 4 > 0))
+SELECT DISTINCT c_nationkey::VARCHAR AS domain, 'S' || s_suppkey AS node FROM pairs JOIN refs USING (caller)"""
+)
+def load_reach(spark, sf_dir):
+    """The files that each nation's customers may load: reachability over hubs beside all pairs in SQL."""
+    loads = _loads(spark, sf_dir)
+    roots = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("domain"), _text("m", "c_custkey").alias("node"))
+    return fixpoint.reach(loads.graph(), roots).filter("node like 'S%'").select("domain", "node")
+
+
+@query(f"WITH {LOADS} SELECT 'load:' || caller AS blocker_id, caller AS scope_value, 'require path is not a static string or symbol' AS reason, count(*) AS n_sites FROM refs WHERE k = 2 GROUP BY caller")
+def load_blockers(spark, sf_dir):
+    return _loads(spark, sf_dir).blockers.select("blocker_id", "scope_value", "reason", "n_sites")
+
+
+@query(f"WITH {LOADS} SELECT site FROM refs WHERE k < 2 AND n NOT IN (SELECT s_suppkey FROM supplier)")
+def load_unresolved(spark, sf_dir):
+    return _loads(spark, sf_dir).unresolved
 
 
 METRICS = """WITH sel AS (SELECT o_orderpriority AS corpus, o_orderkey AS c, CASE o_orderkey % 5 WHEN 0 THEN 'dead' WHEN 1 THEN 'alive' WHEN 2 THEN 'external' WHEN 3 THEN 'unsure' END AS label, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS loc, CASE WHEN o_orderkey % 7 < 2 THEN 'high' ELSE 'low' END AS conf FROM orders WHERE o_orderstatus <> 'P'),

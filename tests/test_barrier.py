@@ -5,7 +5,7 @@ import posixpath
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import barrier, rules
+from factloom.operators import barrier, fixpoint, rules
 
 
 def rows(df):
@@ -92,6 +92,11 @@ def test_routes_and_loads(spark):
         assert clean == (None if p.startswith("/") or want == ".." or want.startswith("../") else want), p
     roots = spark.createDataFrame([("lib/a.rb", "ra", False), ("lib/b/c.rb", "rc", False), ("test/t.rb", "rt", True), ("lib/b/e.json", "re", False)], "file string, definition_id string, test boolean")
     refs = spark.createDataFrame([(1, "m1", "lib/b/x.rb", False, "require_relative", "c", True), (2, "m1", "lib/b/x.rb", False, "require", "a", True), (3, "m2", "x.rb", False, "autoload", "lib/a.rb", True), (4, "m2", "x.rb", False, "require", "json", True), (5, "m3", "x.rb", False, "require", None, False), (6, "m4", "test/x.rb", True, "require", None, False), (7, "m5", "x.rb", False, "require_relative", "../z", True)], "site int, caller_id string, file string, test boolean, kind string, path string, literal boolean")
-    edges, lost = rules.load_edges(refs, roots)
-    assert rows(edges) == sorted([(1, "m1", "rc", "require_relative"), (2, "m1", "ra", "require_lib_path"), (3, "m2", "ra", "autoload_lib_path"), *[(5, "m3", d, "dynamic_conservative") for d in ("ra", "rc", "re")], *[(6, "m4", d, "dynamic_conservative") for d in ("ra", "rc", "re", "rt")]], key=repr)
-    assert rows(lost) == [(4,), (7,)]
+    loads = rules.load_edges(refs, roots)
+    assert rows(loads.edges) == sorted([(1, "m1", "rc", "require_relative"), (2, "m1", "ra", "require_lib_path"), (3, "m2", "ra", "autoload_lib_path"), (5, "m3", rules.HUB, "dynamic_conservative"), (6, "m4", rules.TEST_HUB, "dynamic_conservative")], key=repr)
+    assert rows(loads.unresolved) == [(4,), (7,)]
+    assert rows(loads.hubs) == sorted([(rules.HUB, d) for d in ("ra", "rc", "re")] + [(rules.TEST_HUB, "rt"), (rules.TEST_HUB, rules.HUB)])
+    assert rows(loads.blockers.select("scope_kind", "scope_value", "n_sites")) == [("definition", "m3", 1), ("definition", "m4", 1)]
+    asked = spark.createDataFrame([("a", "m3"), ("b", "m4"), ("c", "m1")], "domain string, node string")
+    reached = {(r.domain, r.node) for r in fixpoint.reach(loads.graph(), asked).collect() if r.node.startswith("r")}
+    assert reached == {("a", d) for d in ("ra", "rc", "re")} | {("b", d) for d in ("ra", "rc", "re", "rt")} | {("c", "rc"), ("c", "ra")}
