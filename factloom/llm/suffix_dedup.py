@@ -223,8 +223,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """``docs`` with kept_bytes (the remaining bytes), n_bytes, n_removed, n_spans and kept_sha256.
 
     Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Rows are ordered by id (null first)
-    and, where ids repeat, by text hash; rows that repeat both are one document. Input columns with the names of the new
-    ones are replaced; an empty table gives an empty result.
+    and, where ids repeat, by a 64-bit text hash; rows that repeat both are one document. Input columns with the names of the
+    new ones are replaced, those with names of the operator's own columns stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     batched(spark)
@@ -232,7 +232,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     new = ["kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     own_columns = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("th"), text.alias("text"))
+    doubled = _repeats(docs, id_col)
+    told_apart = F.xxhash64(text) if doubled else F.lit(0).cast("long")  # where ids are unique, they name documents
+    source = docs.select(F.col(id_col).alias("id"), told_apart.alias("th"), text.alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,7 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 cols = [b.column("id").take(who), b.column("th").take(who), longs[0], *ends, *longs[1:], pa.array(g.view(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "th", "c", "lo", "hi", "own", "l", "r", "g"])
 
-    hits = source.mapInArrow(places, f"id {kind}, th int, c long, lo int, hi int, own int, l long, r long, g int")
+    hits = source.mapInArrow(places, f"id {kind}, th long, c long, lo int, hi int, own int, l long, r long, g int")
     hits = stored(hits.drop("g") if inline else hits.join(repeated, "g", "left_semi").drop("g"))
     place = F.struct("id", "th", "lo")
     firsts = hits.groupBy("c").agg(F.min(F.struct("id", "th", "lo", "hi", "own", "l", "r")).alias("f"), F.count(F.lit(1)).alias("n"))
@@ -281,7 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     dealt = halves.join(often.select("k", "salts"), "k").withColumn("salt", F.when(F.col("salts") > 1, spread).otherwise(-1))
     wanted = stored(dealt.groupBy("id", "th").agg(F.collect_list(F.struct("k", "left", "salt", "lo", "hi", "own")).alias("spans")))
     texts = source.join(small(wanted.select(F.col("id").alias("_i"), F.col("th").alias("_t"))), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left_semi")
-    texts = texts.dropDuplicates(["id", "th"]) if _repeats(docs, id_col) else texts
+    texts = texts.dropDuplicates(["id", "th"]) if doubled else texts
     texts = texts.join(wanted.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "spans"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")))
     texts = texts.select("id", "th", "text", *[F.col(f"spans.{c}").alias(c) for c in ("k", "left", "salt", "lo", "hi", "own")])
     side = (length - GRAM) // 2
@@ -304,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             cols = [pa.array(flat["k"][ok]), pa.array(flat["salt"][ok].astype(np.int32)), b.column("id").take(take), b.column("th").take(take), pa.array((lo - offsets[row])[ok].astype(np.int32)), body]
             yield pa.RecordBatch.from_arrays(cols, ["k", "salt", "id", "th", "lo", "body"])
 
-    pieces = texts.mapInArrow(contexts, f"k long, salt int, id {kind}, th int, lo int, body binary")
+    pieces = texts.mapInArrow(contexts, f"k long, salt int, id {kind}, th long, lo int, body binary")
     pieces = pieces.repartition(parts(spark), "k", "salt").sortWithinPartitions("k", "salt", "id", "th", "lo")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         cols = [table["id"].chunk(0).take(take), table["th"].chunk(0).take(take), pa.array(lo.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(done), *keys]
         yield pa.RecordBatch.from_arrays(cols, ["id", "th", "lo", "stop", "done", "w1", "w2"])
 
-    windows = pieces.mapInArrow(shards, f"id {kind}, th int, lo int, stop int, done boolean, w1 long, w2 long")
+    windows = pieces.mapInArrow(shards, f"id {kind}, th long, lo int, stop int, done boolean, w1 long, w2 long")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Repeats that shards found pass; of each window's sorted places all but the first become repeats."""
@@ -379,15 +381,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(x).take(take) for x in ("id", "th", "lo", "stop")], ["id", "th", "lo", "stop"])
 
     merged = windows.repartition(parts(spark), "w1", "w2").sortWithinPartitions("done", "w1", "w2", "id", "th", "lo")
-    across = merged.select("id", "th", "lo", "stop", "done", "w1", "w2").mapInArrow(merge, f"id {kind}, th int, lo int, stop int")
+    across = merged.select("id", "th", "lo", "stop", "done", "w1", "w2").mapInArrow(merge, f"id {kind}, th long, lo int, stop int")
     gone = whole.unionAll(across).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "stop")).alias("_cuts"))
-    gone = gone.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.transform("_cuts", lambda x: x["lo"]).alias("_lo"), F.transform("_cuts", lambda x: x["stop"]).alias("_stop"))
-    rows = docs.select(*own_columns).join(gone, F.col(id_col).eqNullSafe(F.col("_i")) & (F.hash(text) == F.col("_t")), "left").drop("_i", "_t")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    key, print_, los_, stops_ = (mark + c for c in ("i", "t", "lo", "stop"))
+    gone = gone.select(F.col("id").alias(key), F.col("th").alias(print_), F.transform("_cuts", lambda x: x["lo"]).alias(los_), F.transform("_cuts", lambda x: x["stop"]).alias(stops_))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own_columns]).join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (told_apart == F.col(print_)), "left").drop(key, print_)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = arrays.text_buffers(b.column(text_col))
-            los, stops = b.column("_lo"), b.column("_stop")
+            los, stops = b.column(los_), b.column(stops_)
             kept, out = [], np.zeros((b.num_rows, 3), np.int64)
             for r in range(b.num_rows):
                 body = data[offsets[r] : offsets[r + 1]]
@@ -404,5 +410,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             cols = [b.column(c) for c in own_columns] + [pa.array(kept, pa.binary()), *[pa.array(out[:, k]) for k in range(3)], sha]
             yield pa.RecordBatch.from_arrays(cols, own_columns + new)
 
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own_columns).schema.fields)
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own_columns)
     return rows.mapInArrow(finish, f"{base}, kept_bytes binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

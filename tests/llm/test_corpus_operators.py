@@ -336,7 +336,7 @@ def test_suffix_dedup(which, shard, inline, hot, request, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
     if not inline:
         monkeypatch.setattr(suffix_dedup, "BROADCAST_PRINTS", -1)
-    rows = df.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("th")).collect()
+    rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()
     got = suffix_dedup.remove_repeats(df).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows, 100)
 
@@ -408,3 +408,12 @@ def test_line_dedup_of_very_long_texts(spark):
         assert line_dedup.dedup_lines(df).first().n_lines == n
         took.append(time.time() - began)
     assert took[2] < 3 * took[1] + 2
+
+
+def test_suffix_dedup_clashing_names(spark):
+    """Columns of the operator's own names stay, repeated ids are told apart by their texts, and null ids come first."""
+    long = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(3))[:140]
+    rows = [(2, "x" + long, 1, "a"), (1, long, 2, "b"), (1, "other" * 3, 3, "c"), (None, long[:120], 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _i int, _lo string").withColumn("_t", F.lit(1)).withColumn("id", F.lit("q")).withColumn("_stop", F.lit(2)).withColumn("__t", F.lit(3))
+    got = {(r["doc_id"], r["_lo"]): r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert {k: (r["n_removed"], r["_i"], r["id"], r["__t"]) for k, r in got.items()} == {(2, "a"): (140, 1, "q", 3), (1, "b"): (120, 2, "q", 3), (1, "c"): (0, 3, "q", 3), (None, "d"): (0, 4, "q", 3)}
