@@ -203,14 +203,14 @@ def convention_hits(spark, sf_dir):
     return rules.convention_hits(nodes, listed, up, ["rails"])
 
 
-LOADS = "refs AS (SELECT c_custkey AS site, c_custkey % 3 AS k, c_custkey % 25 AS n, 'm' || c_custkey AS caller, c_custkey % 7 = 0 AS test, c_nationkey FROM customer)"
+LOADS = "refs AS (SELECT c_custkey AS site, c_custkey % 3 AS k, c_custkey % 1250 AS n, 'm' || c_custkey AS caller, c_custkey % 7 = 0 AS test, c_nationkey FROM customer)"
 
 
 def _loads(spark, sf_dir):
     """References of all customers to suppliers as files: a third each by folder, by load path and unknown; every fourth file is a test's."""
     key = F.col("c_custkey")
     k = key % 3
-    path = F.when(k == 0, F.concat(F.lit("../n/./s"), key % 25)).otherwise(F.concat(F.lit("n/s"), key % 25, F.lit(".rb")))
+    path = F.when(k == 0, F.concat(F.lit("../n/./s"), key % 1250)).otherwise(F.concat(F.lit("n/s"), key % 1250, F.lit(".rb")))
     refs = table(spark, sf_dir, "customer").select(
         key.alias("site"), _text("m", key).alias("caller_id"), F.lit("lib/m/x.rb").alias("file"), (key % 7 == 0).alias("test"), F.when(k == 0, "require_relative").otherwise("require").alias("kind"), path.alias("path"), (k < 2).alias("literal")
     )
