@@ -7,7 +7,8 @@ names met before.
 
 Every path is a number of superclass steps, then nothing or a listed name and what lies behind it, and fewer superclass steps
 come first. So superclass lines, which may be long, are made by path doubling, in rounds that grow with the logarithm
-of the depth; what a class lists is walked from the listed names only, and the two meet in one join.
+of the depth; what a class lists is walked from the listed names only, and the two meet in one join. That holds where no
+listed name leads back to the class that lists it; owners that can reach such a circle are walked step by step.
 """
 
 from __future__ import annotations
@@ -88,14 +89,22 @@ def method_chains(classes: DataFrame, owners: DataFrame | None = None, above: Da
     listed = cut(_listed(classes, "prepends", PREPENDS).unionByName(_listed(classes, "includes", INCLUDES)))
     lines = _lines(classes, starts, above)
     own = lines.select("klass").distinct().select("klass", F.col("klass").alias("candidate"), F.array().cast(PATH).alias("path"))
+    circles = None
     if not listed.isEmpty():
         behind = walk(listed.unionByName(_above(classes)), listed.select(F.col("child").alias("owner")).distinct())
         inside = listed.join(behind, F.col("child") == F.col("owner"))
         step = F.concat(F.array(F.struct("g", "i")), "path").cast(PATH)
         own = own.unionByName(inside.select(F.col("parent").alias("klass"), "candidate", step.alias("path")))
+        circles = cut(inside.filter(F.col("candidate") == F.col("parent")).select("candidate").distinct())
     best = lines.join(own, "klass").groupBy("owner", "candidate").agg(F.min(F.struct("k", "path")).alias("_at"))
-    emitted = F.concat("_at.path", F.array(F.struct(F.lit(SELF).alias("g"), F.lit(0).alias("i"))))
-    place = Window.partitionBy("owner").orderBy("_at.k", emitted)
+    best = best.select("owner", "candidate", "_at.k", "_at.path")
+    if circles is not None and not circles.isEmpty():
+        best = cut(best)
+        turning = cut(best.join(circles, "candidate", "left_semi").select("owner").distinct())
+        slow = walk(listed.unionByName(_above(classes)), turning).select("owner", "candidate", F.lit(0).alias("k"), "path")
+        best = best.join(turning, "owner", "left_anti").unionByName(slow)
+    emitted = F.concat("path", F.array(F.struct(F.lit(SELF).alias("g"), F.lit(0).alias("i"))))
+    place = Window.partitionBy("owner").orderBy("k", emitted)
     return best.select("owner", (F.row_number().over(place) - 1).alias("pos"), "candidate")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from factloom.operators.common import cut
 
+FEW = 200_000  # rows of a frontier (a domain and a node each) that are broadcast at most; a larger one is shuffled to the edges
+
 
 def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(domain, node, hops, pred): nodes reachable from each domain's roots.
@@ -19,16 +21,18 @@ def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFra
     """
     per_domain = "domain" in edges.columns
     keys = ["domain", "src"] if per_domain else ["src"]
-    edges = cut(edges.select(*keys, "dst").repartition(*keys))  # made once, dealt for the joins of all rounds
+    edges = cut(edges.select(*keys, "dst").repartition(*keys).sortWithinPartitions(*keys))  # made once, dealt and sorted for the joins of all rounds
     known = cut(roots.select("domain", "node").distinct().select("domain", "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred")))
-    found, frontier = [known], known
+    found, frontier, n = [known], known, known.count()
     for hop in range(1, max_rounds + 1):
-        step = frontier.select("domain", F.col("node").alias("src")).join(edges, keys).groupBy("domain", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
+        at = frontier.select("domain", F.col("node").alias("src"))
+        step = edges.join(F.broadcast(at) if n <= FEW else at, keys).groupBy("domain", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
         seen = found[0]
         for part in found[1:]:
             seen = seen.unionByName(part)
         frontier = cut(step.join(seen, ["domain", "node"], "left_anti").select("domain", "node", F.lit(hop).alias("hops"), "pred"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             return seen
         found.append(frontier)
         if len(found) > 8:

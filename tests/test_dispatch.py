@@ -36,6 +36,20 @@ def singleton(info, owner, seen):
     return ext(c[6]) + [(owner, ".")] + ext(c[5]) + singleton(info, c[2], seen)
 
 
+def test_chains_without_circles(spark):
+    """Random classes and modules that only name later ones: the same chains by lines and modules as by a walk."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        names = [f"K{i}" for i in range(24)]
+        later = lambda i, n: [rng.choice(names[i + 1 :]) for _ in range(rng.randint(0, n))] if i < 22 else []
+        rows = [klass(n, rng.choice([None, *names[i + 1 : i + 4]]) if i < 20 else None, later(i, 2), later(i, 1)) for i, n in enumerate(names)]
+        info = {r[0]: r for r in rows}
+        got = {}
+        for r in chains.method_chains(spark.createDataFrame(rows, CLASS)).orderBy("owner", "pos").collect():
+            got.setdefault(r.owner, []).append(r.candidate)
+        assert got == {n: chain(info, n, set()) for n in info}
+
+
 def test_chains_beside_a_walk(spark):
     rng = random.Random(3)
     names = [f"K{i}" for i in range(14)] + ["Out"]
