@@ -1,22 +1,31 @@
-"""N-gram Jaccard self-join with MinHash banding and exact verification.
-
-Texts become sets of 5-word shingles; documents with one set are one class, and only classes are compared. Each of
-``TREES`` bands hashes ``depth`` MinHash values of the classes. The depth is one constant of threshold and target recall, the
-deepest at which the chance that a pair at the threshold shares a band reaches the recall: no forest of sorted tries, and
-nothing adapts to the data. Classes that share a band's key are linked to the smallest of them, and the components of these
-links are the candidate families. Inside a family all pairs are verified exactly, by counting common shingles with matrix products.
-Large families are cut into blocks, each pair of blocks is one task, and only per-class sums and spanning links leave it.
+"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+
+Texts become sets of 5-word shingles; documents with one set are one class, and only classes are compared. A class has a
+MinHash signature for each of ``TREES`` trees. A tree is the prefix trie of these signatures, kept as sorted rows: each sub-trie
+below the shortest prefix that can be needed is one run of a sorted partition, and comparing neighbours of the run gives each class the
+longest prefix that it shares with any other class there.
+
+Prefixes are then shortened for each class on its own. At a cap of x values it asks every tree for the classes that share its
+min(x, longest shared prefix) values, and a partner at the threshold escapes all trees with the probability of ``missed``. The
+class takes the largest cap at which that is at most 1 - ``recall``, so one that meets others in few trees only asks for long
+prefixes, and one that meets them in many shortens down to ``depth_for``, where the recall holds whatever the data are. (A partner that would lengthen
+the longest shared prefix is itself met there, so the bound holds although the lengths come from the data.)
+
+Classes below one asked prefix are linked to the smallest of them, and the components of these links are the candidate families. Inside a
+family all pairs are verified exactly, by counting common shingles with matrix products. Large families are cut into blocks, each
+pair of blocks is one task, and only per-class sums and spanning links leave it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import arrays
@@ -26,22 +35,45 @@ from factloom.llm.components import components
 SHINGLE = 5
 THRESHOLD = "0.8"
 TREES = 32
-MAX_DEPTH = 8
+MAX_DEPTH = 8  # values of the shortest prefix at most
+LONGER = 3  # values by which a prefix may be longer
 RECALL = 0.99999
 BLOCK_WEIGHT = 1_500_000  # shingles in one block of a family, a document counting as 300 at least
 _RNG = np.random.default_rng(99)
-_MULT = _RNG.integers(1, 2**32, TREES * MAX_DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_XOR = _RNG.integers(0, 2**32, TREES * MAX_DEPTH, dtype=np.uint64).astype(np.uint32)
+_MULT = _RNG.integers(1, 2**32, TREES * (MAX_DEPTH + LONGER), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_XOR = _RNG.integers(0, 2**32, TREES * (MAX_DEPTH + LONGER), dtype=np.uint64).astype(np.uint32)
 
 
 def depth_for(threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
-    """The deepest prefix that still reaches the recall at the threshold."""
+    """The deepest prefix that still reaches the recall at the threshold, whatever the data: no class shortens below it."""
     depth = MAX_DEPTH
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def missed(threshold: float, lengths: list[int]) -> float:
+    """The chance that a pair at the threshold shares none of the prefixes of these lengths, one of each tree."""
+    return math.prod(1 - threshold**n for n in lengths)
+
+
+def cap_for(shared: list[Column], threshold: float, trees: int, depth: int, recall: float) -> Column:
+    """The largest cap on a class's prefixes that reaches the recall.
+
+    ``shared`` counts the class's trees by the length of the longest prefix shared there: ``depth``, one more, and so on.
+    Trees without a shared prefix of ``depth`` values have nobody at it, so they count as asked at ``depth``.
+    """
+    fails = [math.log1p(-(threshold ** (depth + i))) for i in range(len(shared))]
+    none = F.lit(trees) - sum(shared[1:], shared[0])
+    cap = F.lit(depth)
+    for top in range(1, len(shared)):
+        chance = none * F.lit(fails[0])
+        for i, n in enumerate(shared):
+            chance = chance + n * F.lit(fails[min(i, top)])
+        cap = F.when(chance <= math.log(1 - recall), depth + top).otherwise(cap)
+    return cap
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted shingle hashes of every row, with bounds. A text of fewer than k words is one shingle."""
     h, bounds = arrays.words(data, offsets)
@@ -66,22 +98,27 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
 
 
 def signature_keys(values: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """(rows, trees) prefix hashes at ``depth`` of rows that have shingles."""
+    """(rows, trees, 2) of rows that have shingles: a tree's prefix of ``depth`` values as a hash, and the LONGER next
+    values, 16 bits of each, in order in one number. (Values told apart by 16 bits may only add candidates.)"""
     low = (values ^ (values >> np.uint64(32))).astype(np.uint32)
-    keys = np.zeros((len(bounds) - 1, trees), np.uint64)
+    keys = np.zeros((len(bounds) - 1, trees, 2), np.uint64)
     for t in range(trees):
-        for d in range(depth):
-            i = t * MAX_DEPTH + d
+        for d in range(depth + LONGER):
+            i = t * (MAX_DEPTH + LONGER) + d
             x = (low ^ _XOR[i]) * _MULT[i]
             x ^= x >> np.uint32(15)
             x *= _MULT[-1 - i]
-            keys[:, t] = keys[:, t] * arrays.BASE + np.minimum.reduceat(x, bounds[:-1]).astype(np.uint64)
-        keys[:, t] = arrays.mix(keys[:, t] ^ np.uint64((t + 1) << 40))
+            least = np.minimum.reduceat(x, bounds[:-1]).astype(np.uint64)
+            if d < depth:
+                keys[:, t, 0] = keys[:, t, 0] * arrays.BASE + least
+            else:
+                keys[:, t, 1] = (keys[:, t, 1] << np.uint64(16)) | (arrays.mix(least + np.uint64(1)) & np.uint64(0xFFFF))
+        keys[:, t, 0] = arrays.mix(keys[:, t, 0] ^ np.uint64((t + 1) << 40))
     return keys
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """(id, th, c, n, keys): id, text hash, class (16 bytes), shingle count and prefix hashes of texts that have words."""
+    """(id, th, c, n, keys): id, text hash, class (16 bytes), shingle count and signatures of texts that have words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +143,59 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: i
     return source.mapInArrow(run, f"id {kind}, th long, c binary, n long, keys binary")
 
 
-def trie_links(classes: DataFrame, trees: int) -> DataFrame:
-    """(u, v): each class and the smallest class with the same band key."""
+def shared_lengths(tails: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """How many of the LONGER values each two neighbours of a sorted run share; -1 where they are of different sub-tries."""
+    out = np.where(nodes[1:] == nodes[:-1], 0, -1)
+    for i in range(1, LONGER + 1):
+        out += (out == i - 1) & (tails[1:] >> np.uint64(16 * (LONGER - i)) == tails[:-1] >> np.uint64(16 * (LONGER - i)))
+    return out
+
+
+def tries(classes: DataFrame, trees: int) -> DataFrame:
+    """(c, node, tail, longer) for each class and tree where another class shares the prefix ``node``.
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longer: by how many values the longest prefix shared there is longer. Rows are dealt by node and sorted inside a
+    partition, so a sub-trie is one run; a task keeps one batch and the row before it.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
+            keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64).reshape(-1, 2)
             c = b.column("c").take(pa.array(np.repeat(np.arange(b.num_rows), trees)))
-            yield pa.RecordBatch.from_arrays([c, pa.array(keys)], ["c", "node"])
+            yield pa.RecordBatch.from_arrays([c, pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["c", "node", "tail"])
 
-    under = classes.select("c", "keys").mapInArrow(nodes, "c binary, node long")
-    hubs = under.groupBy("node").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    return under.join(hubs, "node").filter("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct()
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, -1  # the last row read, not yet given out, and what it shares with the row before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+            share = shared_lengths(now.column("tail").to_numpy().view(np.uint64), now.column("node").to_numpy())
+            best = np.maximum(np.concatenate([[before], share[:-1]]), share) if len(share) else np.zeros(0, np.int64)
+            yield told(now.slice(0, len(best)), best)
+            held, before = now.slice(now.num_rows - 1), share[-1] if len(share) else before
+        if held is not None:
+            yield told(held, np.array([before]))
+
+    def told(b: pa.RecordBatch, best: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.flatnonzero(best >= 0))
+        return pa.RecordBatch.from_arrays([*[b.column(x).take(at) for x in ("c", "node", "tail")], pa.array(best[best >= 0].astype(np.int32))], ["c", "node", "tail", "longer"])
+
+    under = classes.select("c", "keys").mapInArrow(rows, "c binary, node long, tail long")
+    return under.repartition(F.col("node")).sortWithinPartitions("node", "tail").mapInArrow(runs, "c binary, node long, tail long, longer int")
+
+
+def trie_links(classes: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
+    """(u, v): each class and the smallest class below a prefix that it, or another class below it, asks for."""
+    met = tries(classes, trees)
+    mine = Window.partitionBy("c")  # a class has a row a tree at most
+    shared = [F.count_if(F.col("longer") == i).over(mine) for i in range(LONGER + 1)]
+    asked = cut(met.withColumn("asked", F.least("longer", cap_for(shared, threshold, trees, depth, recall) - depth)))
+    levels = F.explode(F.sequence(F.lit(0), F.col("longer")))
+    prefix = F.expr(f"shiftright(tail, 16 * ({LONGER} - level))")
+    nodes = asked.select("c", "node", "tail", "asked", levels.alias("level")).select("c", "node", prefix.alias("prefix"), "level", (F.col("asked") == F.col("level")).alias("wanted"))
+    hubs = nodes.groupBy("node", "level", "prefix").agg(F.min("c").alias("hub"), F.max("wanted").alias("_w")).filter("_w").drop("_w")
+    return nodes.join(hubs, ["node", "level", "prefix"]).filter("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -184,7 +262,7 @@ def join_documents(docs: DataFrame, threshold: str = THRESHOLD, trees: int = TRE
     kind = docs.schema[id_col].dataType.simpleString()
     signed = cut(signatures(docs, id_col, text_col, trees, depth))
     classes = cut(signed.groupBy("c").agg(F.min_by(F.struct("id", "th"), F.struct("id", "th")).alias("rep"), F.min("id").alias("low"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    families = components(trie_links(classes, trees)).select(F.col("node").alias("c"), F.col("root").alias("family"))
+    families = components(trie_links(classes, float(ratio), trees, depth, recall)).select(F.col("node").alias("c"), F.col("root").alias("family"))
     weight = F.greatest("n", F.lit(300))
     members = cut(classes.drop("keys").join(families, "c"))
     sizes = members.groupBy("family").agg(F.sum(weight).alias("w")).withColumn("nb", F.ceil(F.col("w") / BLOCK_WEIGHT).cast("int"))
