@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars
 from factloom.operators import blockers, classify, dispatch, evidence, fixpoint, guard, lookup, metrics, runtime, sampling, text
-from factloom.plans import analysis_queries, change_queries, coverage_queries, diagnosis_queries, graph_queries  # noqa: F401  (register their queries)
+from factloom.plans import analysis_queries, change_queries, coverage_queries, diagnosis_queries, graph_queries, release_queries  # noqa: F401  (register their queries)
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from factloom.sources.facts import snapshot_digest
 from factloom.sources.tables import supply_edges, supply_nodes, supply_roots, supply_sinks, table
