@@ -90,5 +90,5 @@ def test_empty_table(spark, odd):
         assert out.count() == 0 and (name == "sharding" or out.columns == odd.columns)
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
