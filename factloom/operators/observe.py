@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import lookup
 from factloom.operators.runtime import coverage_paths, line_interval_join, prefer
 
 #: Fixed keys under which a payload keeps its files, and those that two merged observations must share.
@@ -90,29 +91,61 @@ def reference(value: Column) -> Column:
     return F.when(text.isNotNull(), as_text).when(good, as_object)
 
 
-def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ref, status, definition_id): one row for each definition that a reference may mean, one with NULL if there is none.
+def _stated(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References, once each, with status, _way (id or symbol) and _target, the smallest definition that they may mean.
 
-    ``refs`` (ref, identifier, definition_id, symbol_id, file, line), ``nodes`` (definition_id, symbol_id, file, line). An
-    identifier is a symbol first (unique, ambiguous), then an id (exact). Otherwise an id whose node fits the symbol, file and
-    line is exact; a wrong id without file or line is missing; else symbol, file and line decide. References without
-    symbol are missing. Repeated references are one.
+    Nodes of a symbol are counted before references meet them, so no pair of a reference and a symbol's node is formed.
     """
     given = refs.select("ref", "identifier", "definition_id", "symbol_id", "file", "line").distinct()
+    plain = F.col("identifier").isNotNull()
+    by_id = _by_id(given, nodes).groupBy("ref").agg(F.count(F.lit(1)).alias("_ids"), F.min("_id").alias("_by_id"))
+    by_symbol = _symbols(given).join(lookup.narrowed_counts(nodes), lookup.ASKED).groupBy("ref").agg(F.sum("_n").alias("_symbols"), F.min("_target").alias("_by_symbol"))
+    told = given.join(by_id, "ref", "left").join(by_symbol, "ref", "left")
+    first, other = F.when(plain, F.lit("symbol")).otherwise("id"), F.when(plain, F.lit("id")).otherwise("symbol")
+    held = lambda way: F.when(way == "id", F.col("_ids")).otherwise(F.col("_symbols"))
+    told = told.withColumn("_way", F.when(held(first).isNotNull(), first).when(held(other).isNotNull(), other))
+    status = F.when(F.col("_way").isNull(), "missing").when(F.col("_way") == "id", "exact").when(F.col("_symbols") == 1, "unique").otherwise("ambiguous")
+    target = F.when(F.col("_way") == "id", F.col("_by_id")).when(F.col("_way") == "symbol", F.col("_by_symbol"))
+    return told.select(*given.columns, status.alias("status"), "_way", target.alias("_target"))
+
+
+def _by_id(given: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``given`` with the nodes (_id) of their ids; a node must fit the symbol, file and line that stand beside the id."""
     n = nodes.select(F.col("definition_id").alias("_id"), F.col("symbol_id").alias("_s"), F.col("file").alias("_f"), F.col("line").alias("_l"))
     plain = F.col("identifier").isNotNull()
     fits = (F.col("symbol_id") == F.col("_s")) & (F.col("file").isNull() | (F.col("file") == F.col("_f"))) & (F.col("line").isNull() | (F.col("line") == F.col("_l")))
+    met = given.join(n, F.when(plain, F.col("identifier")).otherwise(F.col("definition_id")) == F.col("_id"))
+    return met.filter(plain | F.coalesce(fits, F.lit(False))).drop("_s", "_f", "_l")
+
+
+def _symbols(given: DataFrame) -> DataFrame:
+    """``given`` that may be meant by symbol, with the keys of ``lookup.asked``; a bare identifier asks for any file and line."""
+    plain = F.col("identifier").isNotNull()
     hinted = F.col("definition_id").isNull() | F.col("file").isNotNull() | F.col("line").isNotNull()
-    found = lambda df, on, way: df.join(n, on).filter(plain | F.coalesce(fits, F.lit(False))).select("ref", F.col("_id").alias("definition_id"), F.lit(way).alias("_way"))
-    by_id = found(given, F.when(plain, F.col("identifier")).otherwise(F.col("definition_id")) == F.col("_id"), "id")
-    by_symbol = found(given.filter(plain | hinted), F.when(plain, F.col("identifier")).otherwise(F.col("symbol_id")) == F.col("_s"), "symbol")
-    hits = by_id.unionByName(by_symbol)
-    counts = hits.groupBy("ref").agg(F.count_if(F.col("_way") == "id").alias("_ids"), F.count_if(F.col("_way") == "symbol").alias("_symbols"))
-    by = F.when(plain, F.when(F.col("_symbols") > 0, "symbol").otherwise("id")).otherwise(F.when(F.col("_ids") > 0, "id").otherwise("symbol"))
-    status = F.when(F.col("_ids").isNull(), "missing").when(F.col("_by") == "id", "exact").when(F.col("_symbols") == 1, "unique").otherwise("ambiguous")
-    told = given.select("ref", plain.alias("identifier")).withColumn("identifier", F.when(F.col("identifier"), F.lit("")))
-    told = told.join(counts, "ref", "left").withColumn("_by", F.when(F.col("_ids").isNotNull(), by)).select("ref", status.alias("status"), F.col("_by").alias("_way"))
-    return told.join(hits, ["ref", "_way"], "left").select("ref", "status", "definition_id")
+    narrow = lambda c: F.when(~plain, F.col(c))
+    return given.filter(plain | hinted).select("*", *lookup.asked(F.coalesce("identifier", "symbol_id"), narrow("file"), narrow("line")))
+
+
+def resolve_ends(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ref, status, definition_id): as ``resolve``, but one row for each reference, with the smallest definition that it may mean."""
+    return _stated(refs, nodes).select("ref", "status", F.col("_target").alias("definition_id"))
+
+
+def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ref, status, definition_id): one row for each definition that a reference may mean, one with NULL if there is none.
+
+    ``refs`` (ref, identifier, definition_id, symbol_id, file, line), ``nodes`` (definition_id, symbol_id, file, line). An
+    identifier is a symbol first (unique, ambiguous), then an id (exact). Otherwise an id whose node fits the symbol, file and
+    line is exact; a wrong id without file or line is missing; else symbol, file and line decide. References without
+    symbol are missing. Repeated references are one. The pairs of references and nodes are what the last joins give out; only
+    references and nodes are shuffled.
+    """
+    stated = _stated(refs, nodes)
+    by_id = _by_id(stated.filter("_way = 'id'"), nodes).select("ref", "status", F.col("_id").alias("definition_id"))
+    asked = _symbols(stated.filter("_way = 'symbol'")).select("ref", "status", *lookup.ASKED)
+    by_symbol = asked.join(lookup.narrowings(nodes), lookup.ASKED).select("ref", "status", "definition_id")
+    lost = stated.filter("_way is null").select("ref", "status", F.col("_target").alias("definition_id"))
+    return by_id.unionByName(by_symbol).unionByName(lost)
 
 
 def alive(resolved: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ counted AS (SELECT ref, way, count(*) AS n FROM hits GROUP BY ALL),
 resolved AS (SELECT r.ref, CASE WHEN c.n IS NULL THEN 'missing' WHEN c.way = 'exact' THEN 'exact' WHEN c.n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, h.id AS definition_id FROM refs r LEFT JOIN counted c USING (ref) LEFT JOIN hits h USING (ref))"""
 
 
-def _resolved(spark, sf_dir):
+def _references(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     nodes = part.select(_text("P", "p_partkey").alias("definition_id"), _text("T", F.col("p_partkey") % 37).alias("symbol_id"), _text("f", F.col("p_partkey") % 5).alias("file"), F.col("p_size").cast("int").alias("line"))
     key = F.col("c_custkey")
@@ -44,12 +44,12 @@ def _resolved(spark, sf_dir):
         key.alias("ref"), F.when(k == 0, sym).when(k == 1, at).alias("identifier"), F.when(k == 2, at).when(k == 3, F.lit("nowhere")).alias("definition_id"), F.when(k == 2, _text("T", (key % 100 + 1) % 37)).when(k >= 3, sym).alias("symbol_id"),
         F.when(k == 4, _text("f", key % 5)).alias("file"), F.lit(None).cast("int").alias("line"),
     )
-    return observe.resolve(refs, nodes)
+    return refs, nodes
 
 
 @query(f"{RUNTIME} SELECT ref, status, definition_id FROM resolved")
 def runtime_resolution(spark, sf_dir):
-    return _resolved(spark, sf_dir)
+    return observe.resolve(*_references(spark, sf_dir))
 
 
 OBSERVED = f"""{RUNTIME}, ends AS (SELECT ref, min(status) AS status, min(definition_id) AS id FROM resolved GROUP BY ref),
@@ -58,7 +58,7 @@ matched AS (SELECT edge, CASE WHEN both_ THEN x END AS caller_id, CASE WHEN both
 
 
 def _observed(spark, sf_dir):
-    resolved = _resolved(spark, sf_dir)
+    resolved = observe.resolve_ends(*_references(spark, sf_dir))
     calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge"), F.col("o_custkey").alias("caller"), (F.col("o_orderkey") % 150).alias("callee"))
     return resolved, observe.observed_edges(calls, resolved)
 

@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from measure import shuffled_rows
 from pyspark.sql import functions as F
 
-from factloom.operators import observe
+from factloom.operators import lookup, observe
 
 
 def test_payload_shapes(spark):
@@ -58,3 +59,24 @@ def test_imports(spark):
     ids, many = observe.import_lines(covered, spark.createDataFrame([("d9",)], "definition_id string"), spans)
     assert sorted(r.definition_id for r in ids.collect()) == ["d1", "d2", "d9"]
     assert [tuple(r) for r in many.collect()] == [("a.rb", 4, ["d1", "d2"])]
+
+
+def test_hot_symbols_are_counted_before_references_meet_them(spark):
+    """400 references to a symbol of 400 nodes are 160,000 pairs; ends and edges come from counts, and no pair is shuffled."""
+    nodes = spark.range(400).selectExpr("concat('d', id) as definition_id", "'A#x' as symbol_id", "concat('f', id % 3) as file", "if(id % 7 = 0, null, cast(id % 5 as int)) as line")
+    none = "cast(null as string) as"
+    refs = spark.range(400).selectExpr("id as ref", f"{none} identifier", f"{none} definition_id", "'A#x' as symbol_id", "if(id % 2 = 0, concat('f', id % 4), null) as file", "if(id % 3 = 0, cast(id % 6 as int), null) as line")
+    parts = {r.definition_id: (r.file, r.line) for r in nodes.collect()}
+    fits = {r.ref: sorted(d for d, (f, n) in parts.items() if r.file in (None, f) and r.line in (None, n)) for r in refs.collect()}
+    state = lambda found: "missing" if not found else "unique" if len(found) == 1 else "ambiguous"
+    want = {(ref, state(found), d) for ref, found in fits.items() for d in found or [None]}
+    got, ends, seen, narrow = [], [], [], []
+    edges = spark.range(400).selectExpr("id as edge", "id as caller", "id as callee")
+    assert shuffled_rows(spark, lambda: got.extend(observe.resolve(refs, nodes).collect())) < 40_000
+    assert shuffled_rows(spark, lambda: ends.extend(observe.resolve_ends(refs, nodes).collect())) < 20_000
+    assert shuffled_rows(spark, lambda: seen.extend(observe.observed_edges(edges, observe.resolve_ends(refs, nodes)).collect())) < 20_000
+    assert shuffled_rows(spark, lambda: narrow.extend(lookup.runtime_reference(refs, nodes).collect())) < 20_000
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {tuple(r) for r in ends} == {(ref, state(found), min(found, default=None)) for ref, found in fits.items()}
+    assert {tuple(r) for r in narrow} == {(ref, state(found), found[0] if len(found) == 1 else None) for ref, found in fits.items()}
+    assert len(seen) == 400 and {r.match for r in seen} == {"partially_matched"}
