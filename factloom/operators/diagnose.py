@@ -131,6 +131,24 @@ def incoming_sites(nodes: DataFrame, sites: DataFrame, targets: DataFrame) -> Da
     return named.unionByName(to).distinct()
 
 
+def incoming_counts(nodes: DataFrame, sites: DataFrame, resolutions: DataFrame, targets: DataFrame) -> DataFrame:
+    """(definition_id, n_sites and a number for each status): ``incoming_sites`` with their resolutions, counted.
+
+    Sites of a message are counted once and not for each node of that name; what the name does not tell are pairs: targets whose
+    site says another message, and all sites of a node that has several names.
+    """
+    status = lambda df: df.join(resolutions.select("call_site_id", "status"), "call_site_id", "left").fillna("unrecorded", ["status"])
+    counted = lambda df, key: status(df).groupBy(key).agg(F.count_distinct("call_site_id").alias("n_sites"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES])
+    said = sites.select("call_site_id", F.col("message").alias("name")).distinct()
+    names = nodes.select("definition_id", "name").distinct()
+    several = names.groupBy("definition_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("definition_id")
+    one = names.join(several, "definition_id", "left_anti")
+    other = targets.select("definition_id", "call_site_id").distinct().join(one, "definition_id").join(said, ["call_site_id", "name"], "left_anti").select("definition_id", "call_site_id")
+    pairs = other.unionByName(incoming_sites(names.join(several, "definition_id", "left_semi"), sites, targets))
+    parts = one.join(counted(said, "name"), "name").drop("name").unionByName(counted(pairs, "definition_id"))
+    return parts.groupBy("definition_id").agg(*[F.sum(c).alias(c) for c in ("n_sites", *[f"n_{s}" for s in STATUSES])])
+
+
 def why_not(nodes: DataFrame, sites: DataFrame, resolutions: DataFrame, targets: DataFrame, rejected: DataFrame, blockers: DataFrame, limit: int = 100) -> DataFrame:
     """One row for each asked node: state, action, risk_flags, statuses of its incoming sites, rejections and blockers, bounded.
 
@@ -139,8 +157,7 @@ def why_not(nodes: DataFrame, sites: DataFrame, resolutions: DataFrame, targets:
     (definition_id, kind, reason). Collections are sorted and keep ``limit`` items beside their totals; only counts leave
     the sites of a node.
     """
-    seen = incoming_sites(nodes, sites, targets).join(resolutions.select("call_site_id", "status"), "call_site_id", "left").fillna("unrecorded", ["status"])
-    counts = seen.groupBy("definition_id").agg(F.count_distinct("call_site_id").alias("n_sites"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES])
+    counts = incoming_counts(nodes, sites, resolutions, targets)
     gone = rejected.groupBy("definition_id").agg(F.array_sort(F.collect_set(F.struct("reason", "call_site_id"))).alias("_r"))
     held = blockers.groupBy("definition_id").agg(F.array_sort(F.collect_set(F.struct("kind", "reason"))).alias("_b"))
     told = nodes.join(counts, "definition_id", "left").join(gone, "definition_id", "left").join(held, "definition_id", "left").fillna(0, ["n_sites", *[f"n_{s}" for s in STATUSES]])

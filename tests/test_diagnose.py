@@ -1,5 +1,6 @@
 """Diagnostics on a small graph whose answers are known."""
 
+from measure import shuffled_rows
 from pyspark.sql import functions as F
 
 from factloom.operators import diagnose, fixpoint
@@ -93,3 +94,25 @@ def test_graph_checks(spark):
     plan = {r.obligation: r.status for r in diagnose.removal_plan(spark.createDataFrame([("d1", 0, "public")], "definition_id string, n_blockers int, visibility string"), "complete", True).collect()}
     assert plan == {"source": "complete", "load": "partial", "dispatch": "complete", "framework": "complete", "external_contract": "review", "dynamic_evidence": "positive_only"}
     assert rows(diagnose.feedback_verdict(nodes, True)) == [(False, 1)] and rows(diagnose.feedback_verdict(nodes, False)) == [(True, 1)]
+
+
+def test_incoming_sites_are_counted_by_name(spark):
+    """300 nodes and 300 sites of one name are 90,000 pairs; their counts come from one row of the name, beside all pairs in Python."""
+    nodes = spark.range(300).selectExpr("concat('d', id) as definition_id", "'x' as name").unionByName(spark.createDataFrame([("d1", "y"), ("e", "z")], "definition_id string, name string"))
+    sites = spark.range(300).selectExpr("id as call_site_id", "if(id < 290, 'x', 'y') as message").unionByName(spark.createDataFrame([(5, "y"), (900, None)], "call_site_id long, message string"))
+    resolutions = spark.createDataFrame([(1, "p", "complete"), (1, "q", "partial"), (295, "p", "unknown"), (2, "p", None)], "call_site_id long, producer string, status string")
+    targets = spark.createDataFrame([(1, "d2"), (295, "d2"), (295, "d1"), (900, "e"), (7, "none")], "call_site_id long, definition_id string")
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(tuple(r) for r in diagnose.incoming_counts(nodes, sites, resolutions, targets).collect())) < 20_000
+    states = {}
+    for r in resolutions.collect():
+        states.setdefault(r.call_site_id, []).append(r.status or "unrecorded")
+    seen = {(n.definition_id, s.call_site_id) for n in nodes.collect() for s in sites.collect() if s.message == n.name}
+    seen |= {(r.definition_id, r.call_site_id) for r in targets.collect() if r.definition_id != "none"}
+    want = {}
+    for d, site in seen:
+        one = want.setdefault(d, [0] * 5)
+        one[0] += 1
+        for s in states.get(site, ["unrecorded"]):
+            one[1 + diagnose.STATUSES.index(s)] += 1
+    assert sorted(got) == sorted((d, *n) for d, n in want.items())
