@@ -159,8 +159,9 @@ def generated_macros(spark, sf_dir):
     return adjacency.generated_macros(nodes).withColumn("methods", F.array_join("methods", ","))
 
 
-@query("""WITH g AS (SELECT o_orderkey AS k, [o_custkey + 100000, o_custkey, o_custkey % 7] AS names, c_acctbal > 0 AS known, (SELECT count(*) FROM customer c7 WHERE c7.c_custkey = o_custkey % 7 AND c7.c_acctbal > 0) AS low
-FROM orders JOIN customer ON c_custkey = o_custkey) SELECT k AS site, CASE WHEN known THEN names[2] WHEN low > 0 THEN names[3] ELSE names[1] END AS candidate FROM g""")
+@query("""WITH known AS (SELECT DISTINCT c_custkey AS candidate FROM customer WHERE c_acctbal > 0),
+g AS (SELECT o_orderkey AS site, unnest([o_custkey + 100000, o_custkey, o_custkey % 7]) AS candidate, unnest([1, 2, 3]) AS pos FROM orders)
+SELECT g.site, arg_min(g.candidate, CASE WHEN k.candidate IS NULL THEN 10 ELSE 0 END + pos) AS candidate FROM g LEFT JOIN known k ON k.candidate = g.candidate GROUP BY g.site""")
 def first_known_names(spark, sf_dir):
     key = F.col("o_custkey").cast("long")
     groups = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), F.array(key + 100000, key, key % 7).alias("candidates"))

@@ -1,6 +1,9 @@
 """Release audit, precedence of edges, rollups and choices on small rows with nulls, ties and empty tables."""
 
+import duckdb
+
 from factloom.operators import adjacency, release
+from factloom.plans.queries import ORACLE_SQL, QUERIES
 
 FINDING = "corpus string, definition_id string, id string, state string, confidence string, actionability string, candidate boolean"
 LABEL = "corpus string, target string, label struct<value:string,rationale:string,reviewer:string>"
@@ -68,3 +71,17 @@ def test_first_known_and_skips(spark):
     assert {r.g: r.candidate for r in adjacency.first_known(groups, known, ["g"]).collect()} == {1: "k", 2: "x", 5: "k"}
     files = spark.createDataFrame([("a", "large"), ("b", None), ("c", "large"), ("d", "binary")], "file string, reason string")
     assert {r.reason: r.n for r in adjacency.skip_counts(files).collect()} == {"large": 2, "binary": 1}
+
+
+def test_first_known_names_where_all_three_names_are_customers(spark, tmp_path):
+    """Beyond 100,000 customers the first name may be known too: query and SQL state the same rule there."""
+    customers = spark.createDataFrame([(1, 5.0), (8, -1.0), (9, 5.0), (100001, 5.0), (100008, 5.0), (100009, -1.0), (2, -1.0)], "c_custkey long, c_acctbal double")
+    orders = spark.createDataFrame([(1, 1), (2, 8), (3, 9), (4, 2), (5, 15), (6, 700)], "o_orderkey long, o_custkey long")
+    for name, df in (("customer", customers), ("orders", orders)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = {1: 100001, 2: 100008, 3: 9, 4: 100002, 5: 1, 6: 100700}
+    assert {r.site: r.candidate for r in QUERIES["first_known_names"](spark, str(tmp_path)).collect()} == want
+    assert dict(con.execute(ORACLE_SQL["first_known_names"]).fetchall()) == want
