@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from measure import shuffled_rows
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
@@ -208,3 +209,18 @@ def test_super_starts_after_the_current_owner(spark):
     methods = spark.createDataFrame([("A", "m", "a"), ("B", "m", "b1"), ("B", "m", "b2"), ("C", "m", "c")], "candidate string, message string, definition_id string")
     got = sorted((r.site, r.definition_id) for r in dispatch.super_lookup(sites, chains, methods).collect())
     assert got == [(1, "b1"), (1, "b2"), (2, "c")]
+
+
+def test_equal_sites_are_looked_up_once(spark):
+    """500 equal sites of 200 definitions are 100,000 pairs, which the last join gives out; none is shuffled or sorted."""
+    from factloom.operators import dispatch
+
+    sites = spark.range(500).selectExpr("id as site", "'A' as owner", "if(id = 7, null, 'm') as message", "'A' as current", "if(id % 2 = 0, null, 1) as note")
+    chains = spark.createDataFrame([("A", 0, "A"), ("A", 1, "B")], "owner string, pos int, candidate string")
+    methods = spark.range(400).selectExpr("if(id % 2 = 0, 'A', 'B') as candidate", "'m' as message", "id as definition_id")
+    got, above = [], []
+    assert shuffled_rows(spark, lambda: got.extend(lookup.ordered_lookup(sites, chains, methods).select("site", "definition_id").collect())) < 10_000
+    assert shuffled_rows(spark, lambda: above.extend(dispatch.super_lookup(sites, chains, methods).select("site", "definition_id").collect())) < 10_000
+    asked = [s for s in range(500) if s != 7]
+    assert sorted(map(tuple, got)) == [(s, d) for s in asked for d in range(0, 400, 2)]
+    assert sorted(map(tuple, above)) == [(s, d) for s in asked for d in range(1, 400, 2)]
