@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.common import cut
+from factloom.operators.common import cut, request
 
 ATOMS = 8  # values of a fact at most
 UNKNOWN = "unknown"
@@ -64,20 +64,24 @@ def callables(sites: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     ``sites`` (site, caller_id, names, reflective, receiver_kind, receiver_values): the fact's names, and where they were taken
     from; a block or lambda (not reflective) has no definition. ``nodes`` (definition_id, kind, owner, name). Owners are the
     receivers' or the caller's; a constant has singleton methods, an instance has its own, a bare receiver what its caller is.
-    complete: as many targets as names.
+    complete: as many targets as names. A site is one row; what several sites ask is looked up once, and targets are a join of
+    sites and answers.
     """
     callers = nodes.select(F.col("definition_id").alias("caller_id"), F.col("owner").alias("_owner"), F.col("kind").alias("_kind"))
     none = F.array().cast("array<string>")
     names = F.array_distinct(F.filter(F.coalesce("names", none), lambda n: F.coalesce(n != "", F.lit(False))))
-    rows = cut(sites.withColumn("_names", names).join(callers, "caller_id", "left"))
+    rows = sites.withColumn("_names", names).join(callers, "caller_id", "left")
     owners = F.when(F.size(F.coalesce("receiver_values", none)) > 0, F.col("receiver_values")).otherwise(F.array_compact(F.array("_owner")))
     own = F.when(F.col("_kind") == "singleton_method", F.array(F.lit("singleton_method"))).otherwise(F.array(F.lit("instance_method")))
     kinds = F.when(F.col("receiver_kind") == "constant", F.array(F.lit("singleton_method"))).when(F.col("receiver_kind") == "instance", F.array(F.lit("instance_method"))).otherwise(own)
-    asked = rows.filter("reflective").select("site", F.explode("_names").alias("name"), owners.alias("_o"), kinds.alias("_k"))
-    asked = asked.select("site", "name", F.explode("_o").alias("owner"), "_k").select("site", "name", "owner", F.explode("_k").alias("kind"))
-    targets = cut(asked.join(nodes.select("definition_id", "kind", "owner", "name"), ["kind", "owner", "name"]).select("site", "definition_id").distinct())
-    hit = targets.groupBy("site").agg(F.count(F.lit(1)).alias("_hit"))
-    told = rows.select("site", "reflective", F.size("_names").alias("_n")).join(hit, "site", "left")
+    rows = rows.withColumns({"_o": owners, "_k": kinds}).withColumn("_asked", F.when(F.col("reflective"), request(["_names", "_o", "_k"])))
+    rows = cut(rows.select("site", "reflective", "_asked", "_names", "_o", "_k"))
+    asked = rows.filter("_asked is not null").select("_asked", "_names", "_o", "_k").dropDuplicates(["_asked"]).select("_asked", F.explode("_names").alias("name"), "_o", "_k")
+    asked = asked.select("_asked", "name", F.explode("_o").alias("owner"), "_k").select("_asked", "name", "owner", F.explode("_k").alias("kind"))
+    answers = cut(asked.join(nodes.select("definition_id", "kind", "owner", "name"), ["kind", "owner", "name"]).select("_asked", "definition_id").distinct())
+    hit = answers.groupBy("_asked").agg(F.count(F.lit(1)).alias("_hit"))
+    told = rows.select("site", "reflective", "_asked", F.size("_names").alias("_n")).join(hit, "_asked", "left")
+    targets = rows.select("site", "_asked").join(answers, "_asked").select("site", "definition_id")
     reason = F.when(~F.coalesce("reflective", F.lit(False)), "literal_callable_invocation").when(F.col("_n") == 0, "callable_invocation_dynamic_name").when(F.col("_hit").isNull(), "callable_invocation_missing").otherwise("callable_invocation")
     status = F.when(F.col("_hit").isNull(), "unknown").when(F.col("_hit") == F.col("_n"), "complete").otherwise("partial")
     return told.select("site", status.alias("status"), reason.alias("reason")), targets

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from measure import shuffled_rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +65,20 @@ def test_callables(spark):
     assert sorted((r.site, r.definition_id) for r in targets.collect()) == [(1, "m"), (2, "s"), (3, "b"), (3, "m")]
 
 
+def test_equal_callables_are_looked_up_once(spark):
+    """500 equal calls of 200 methods: their statuses come from one count, and no pair is shuffled."""
+    nodes = spark.range(200).selectExpr("concat('d', id) as definition_id", "'instance_method' as kind", "'A' as owner", "'go' as name")
+    sites = spark.range(500).selectExpr("id as site", "'c' as caller_id", "array('go') as names", "true as reflective", "'instance' as receiver_kind", "array('A') as receiver_values")
+    got = []
+
+    def act():
+        lookups, targets = flow.callables(sites, nodes)
+        got.extend([lookups.groupBy("status").count().collect(), targets.count()])
+
+    assert shuffled_rows(spark, act) < 10_000
+    assert [tuple(r) for r in got[0]] == [("partial", 500)] and got[1] == 100_000
+
+
 def plain(v):
     if v is None:
         return '["nil"]'
