@@ -2,6 +2,8 @@
 
 import random
 
+from measure import shuffled_rows
+
 from factloom.operators import chains, dispatch
 
 CLASS = "id string, kind string, superclass string, includes array<string>, prepends array<string>, singleton_includes array<string>, singleton_prepends array<string>, dynamic boolean"
@@ -127,3 +129,18 @@ def test_strategy_is_the_first_rule(spark):
     rows = [(1, True, "d", ["A"], "constant", None, None), (2, False, "d", ["A"], "constant", None, None), (3, False, None, ["A"], "constant", None, None), (4, None, None, [], "constant", None, None), (5, False, None, None, "self", None, None), (6, False, None, None, "self", "A", "block_entry"), (7, False, None, None, None, "A", "x")]
     df = spark.createDataFrame(rows, "i int, dynamic boolean, physical_target string, flow_types array<string>, receiver_kind string, caller_owner string, caller_kind string")
     assert [r.s for r in df.select("i", dispatch.strategy().alias("s")).orderBy("i").collect()] == ["name", "physical", "flow", "singleton", "name", "self_singleton", "name"]
+
+
+def test_equal_sites_are_dispatched_once(spark):
+    """600 equal sites of 200 targets are 120,000 pairs, which come from the last join; statuses and targets shuffle none."""
+    classes = spark.createDataFrame([klass("A")], CLASS)
+    nodes = spark.range(200).selectExpr("concat('d', id) as definition_id", "'instance_method' as kind", "'A' as owner", "'m' as name", "if(id % 2 = 0, 'private', 'public') as visibility", "false as test")
+    sites = spark.range(600).selectExpr("cast(id as int) as site", "'nobody' as caller_id", "'m' as message", "'instance' as receiver_kind", "'A' as receiver_name", "false as dynamic", "false as test", "cast(null as string) as physical_target", "cast(null as array<string>) as flow_types", "cast(null as string) as original")
+    got = []
+
+    def act():
+        lookups, targets, rejected = dispatch.method_lookup(sites, nodes, classes)
+        got.extend([lookups.groupBy("status").count().collect(), targets.count(), rejected.count()])
+
+    assert shuffled_rows(spark, act) < 30_000
+    assert [tuple(r) for r in got[0]] == [("complete", 600)] and got[1:] == [60_000, 60_000]
