@@ -32,6 +32,7 @@ def update_reach(before: DataFrame, edges: DataFrame, removed: DataFrame, added:
     and other roots. ``roots`` (domain, node). Predecessors of ``after`` lead to a root, not always by a shortest path.
     """
     keys = ["domain", "node"]
+    edges = cut(edges.select("src", "dst").repartition("src"))  # made once, dealt for the joins of all rounds
     roots = cut(roots.select(*keys).distinct())
     tree = before.select(*keys, "pred")
     gone = _few(cut(removed.select(F.col("src").alias("pred"), F.col("dst").alias("node")).distinct()))

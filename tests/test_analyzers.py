@@ -273,3 +273,20 @@ def test_long_superclass_lines(spark, monkeypatch):
     got = chains.method_chains(spark.createDataFrame(rows, CLASS), spark.createDataFrame([("K999",)], "owner string")).orderBy("pos").collect()
     assert [r.candidate for r in got] == [f"K{i}" for i in range(999, 499, -1)] + ["M"] + [f"K{i}" for i in range(499, -1, -1)]
     assert len(rounds) <= 30  # five doublings of two, four tables each, and the modules' walk
+
+
+def test_changed_edges_are_made_once(spark):
+    """However many rounds a change takes, the rows of the edges are made once."""
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def told(name):
+        made_rows.add(1)
+        return name
+
+    raw = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    edges = raw.withColumn("src", F.udf(told)("src"))
+    before = spark.createDataFrame([("d", "n0", None), ("d", "z", "n0")], "domain string, node string, pred string")
+    removed, added = spark.createDataFrame([("n0", "z")], "src string, dst string"), raw.limit(1)
+    _, changed = incremental.update_reach(before, edges, removed, added, spark.createDataFrame([("d", "n0")], ROOT))
+    assert {(r.node, r.change) for r in changed.collect()} == {("z", "lost")} | {(f"n{i}", "gained") for i in range(1, 7)}
+    assert made_rows.value <= 12
