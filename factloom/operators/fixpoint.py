@@ -63,7 +63,7 @@ def taint(edges: DataFrame, alive: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def nearest(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(node, hops): undirected distance to the nearest target."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return reach(both, targets.select(F.lit("near").alias("domain"), "node")).select("node", "hops")
 
 
