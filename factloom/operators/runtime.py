@@ -7,16 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.operators import ranges
+from factloom.operators.common import cut, dealt
+
+
+SIDE = 8192  # hits, and spans, of one range that meet in one cell at most
 
 
 def line_interval_join(hits: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
-    """hits (file, line, ...) within spans (file, first, last, ...): an equi-join on file and line bucket, then the range.
+    """hits (file, line, ...) within spans (file, first, last, ...): distinct lines meet distinct ranges by file and line bucket.
 
-    A span is repeated for each bucket of ``width`` lines that it touches, a hit stands in one bucket, so no pair of a
-    file's hits and spans is formed unless they are near.
+    A range is repeated for each bucket of ``width`` lines that it touches, a line stands in one bucket, so no pair of a
+    file's lines and ranges is formed unless they are near. Hits then meet the spans of their ranges, of which a cell has
+    ``SIDE`` a side at most, dealt by chance: pairs are formed last, are all of the result, and no task holds a large range whole.
     """
-    bucketed = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    return hits.withColumn("_bucket", F.floor(F.col("line") / width)).join(bucketed, ["file", "_bucket"]).filter("line between first and last").drop("_bucket")
+    at = ["file", "first", "last"]
+    line, place = F.floor(F.col("line") / width), F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))
+    asked = hits.groupBy("file", "line").agg(F.count(F.lit(1)).alias("_hits"))
+    held = spans.groupBy(*at).agg(F.count(F.lit(1)).alias("_spans"))
+    near = asked.withColumn("_bucket", line).join(held.withColumn("_bucket", F.explode(place)), ["file", "_bucket"]).filter("line between first and last")
+    near = cut(near.select("file", "line", "first", "last", "_hits", "_spans"))
+    sizes = near.groupBy(*at).agg(F.ceil(F.sum("_hits") / SIDE).alias("_wide"), F.ceil(F.max("_spans") / SIDE).alias("_tall"))
+    chance = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = [c for c in spans.columns if c != "file"]
+    cells = spans.join(sizes, at).select(*at, "_wide", F.struct(*rest).alias("_span"), chance("_tall").alias("_y"))
+    cells = cells.groupBy(*at, "_wide", "_y").agg(F.collect_list("_span").alias("_held")).select(*at, "_y", "_held", every("_wide").alias("_x"))
+    own = F.struct(*hits.columns).alias("_hit")
+    met = hits.select("file", "line", own).join(near.select("file", "line", "first", "last").join(sizes, at), ["file", "line"])
+    met = met.select(*at, "_hit", "_tall", chance("_wide").alias("_x")).select(*at, "_hit", "_x", every("_tall").alias("_y"))
+    cell = [*at, "_x", "_y"]
+    pairs = dealt(met, *cell).join(dealt(cells, *cell), cell).select("_hit", F.explode("_held").alias("_span"))
+    return pairs.select("_hit.file", *[F.col(f"_hit.{c}").alias(c) for c in hits.columns if c != "file"], "_span.*")
 
 
 def coverage_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
