@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.common import dealt
+
 
 def new_findings(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Findings that the baseline does not have (null keys are equal to null)."""
@@ -27,10 +29,12 @@ def touched(findings: DataFrame, changed: DataFrame, key: str) -> DataFrame:
 
 
 def feedback(static: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kind): observed pairs without static evidence (missing_static) and the reverse (unobserved)."""
-    s, o = static.select(*keys).distinct(), observed.select(*keys).distinct()
-    missing = o.join(s, keys, "left_anti").withColumn("kind", F.lit("missing_static"))
-    return missing.unionByName(s.join(o, keys, "left_anti").withColumn("kind", F.lit("unobserved")))
+    """(keys, kind): observed pairs without static evidence (missing_static) and the reverse (unobserved).
+
+    Both sides meet in one aggregate after one shuffle, which keeps a pair's two marks only. Null keys are equal."""
+    side = lambda df, seen: df.select(*keys, F.lit(seen).alias("_seen"))
+    met = dealt(side(static, False).unionByName(side(observed, True)), *keys).groupBy(*keys).agg(F.min("_seen").alias("_low"), F.max("_seen").alias("_high"))
+    return met.filter("_low = _high").select(*keys, F.when(F.col("_high"), "missing_static").otherwise("unobserved").alias("kind"))
 
 
 def claims(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
