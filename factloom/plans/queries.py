@@ -187,9 +187,12 @@ def ambiguity_exceeded(spark, sf_dir):
     return lookup.ambiguity(_names(spark, sf_dir), 4)
 
 
+LINE = ["l_orderkey", "l_linenumber"]  # what an evidence id is made of
+
+
 def _evidence(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    return evidence.with_payload(lines, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"])
+    return evidence.by_columns(lines, LINE, ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"])
 
 
 PAYLOAD = "concat_ws('|', l_partkey, l_suppkey, l_quantity, l_returnflag)"
@@ -198,18 +201,18 @@ EVIDENCE_ID = """'evidence:v1:' || sha256('["' || l_orderkey || '","' || l_linen
 
 @query(f"SELECT {EVIDENCE_ID} AS evidence_id, count(DISTINCT {PAYLOAD}) AS n_payloads FROM lineitem GROUP BY 1 HAVING count(DISTINCT {PAYLOAD}) > 1")
 def evidence_collisions(spark, sf_dir):
-    return evidence.collisions(_evidence(spark, sf_dir))
+    return evidence.collisions(_evidence(spark, sf_dir), LINE).select(evidence.identity("evidence:v1", LINE).alias("evidence_id"), "n_payloads")
 
 
 @query(f"SELECT {EVIDENCE_ID} AS evidence_id, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT {PAYLOAD}) = 1")
 def evidence_dedupe(spark, sf_dir):
-    return evidence.accepted(_evidence(spark, sf_dir)).select("evidence_id", "l_partkey", "l_suppkey")
+    return evidence.accepted(_evidence(spark, sf_dir), LINE).select(evidence.identity("evidence:v1", LINE).alias("evidence_id"), "l_partkey", "l_suppkey")
 
 
 @query(f"""WITH bad AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(DISTINCT {PAYLOAD}) > 1)
 SELECT l_returnflag AS domain, count(DISTINCT l_orderkey || '|' || l_linenumber) AS n_ids FROM lineitem SEMI JOIN bad USING (l_orderkey, l_linenumber) GROUP BY 1""")
 def evidence_collision_blockers(spark, sf_dir):
-    return evidence.collision_blockers(_evidence(spark, sf_dir), "l_returnflag")
+    return evidence.collision_blockers(_evidence(spark, sf_dir), "l_returnflag", LINE)
 
 
 @query("""SELECT p AS projection, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem, (VALUES ('conservative'), ('exact'), ('observed')) v(p)
