@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.common import cut
+from factloom.operators.common import cut, dealt
 from factloom.operators.fixpoint import witness_paths
 from factloom.operators.report import bounded
 
@@ -195,14 +195,20 @@ def self_check(resolutions: DataFrame, sites: DataFrame, nodes: DataFrame, edges
     issue = lambda df, code, subject: df.select(F.lit(code).alias("code"), subject.cast("string").alias("subject"))
     scoped = (F.col("status") == "complete") & F.col("unknown_scope").isNotNull()
     rest = resolutions.filter(~F.coalesce(scoped, F.lit(False)))
-    ids = sites.select("call_site_id").distinct()
+    ids = dealt(sites.select("call_site_id"), "call_site_id").distinct()
+    rest = dealt(rest, "call_site_id")
     aims = rest.join(ids, "call_site_id", "left_semi").select("call_site_id", F.explode("target_definition_ids").alias("definition_id"))
+    # what many sites aim at is looked up once: sites meet only the targets that are missing
+    asked = rest.select(F.explode("target_definition_ids").alias("definition_id")).distinct()
+    missing = asked.join(nodes.select("definition_id").distinct(), "definition_id", "left_anti").withColumnRenamed("definition_id", "_lost")
+    nowhere = aims.join(missing, F.equal_null("definition_id", "_lost"), "left_semi")
+    derived = dealt(sites.filter("derived_from is not null"), "call_site_id")
     parts = [
         issue(resolutions.filter(scoped), "complete_resolution_has_unknown_scope", F.col("call_site_id")),
         issue(rest.join(ids, "call_site_id", "left_anti"), "resolution_call_site_missing", F.col("call_site_id")),
-        issue(aims.join(nodes.select("definition_id").distinct(), "definition_id", "left_anti").select("call_site_id").distinct(), "resolution_target_missing", F.col("call_site_id")),
-        issue(sites.filter("derived_from is not null").join(resolutions.select("call_site_id").distinct(), "call_site_id", "left_anti"), "derived_call_site_has_no_resolution", F.col("call_site_id")),
-        issue(edges.groupBy("caller_id", "callee_id").agg(F.count("evidence_id").alias("_n")).filter("_n = 0"), "edge_has_no_evidence", F.concat_ws("->", "caller_id", "callee_id")),
+        issue(nowhere.select("call_site_id").distinct(), "resolution_target_missing", F.col("call_site_id")),
+        issue(derived.join(dealt(resolutions.select("call_site_id"), "call_site_id"), "call_site_id", "left_anti"), "derived_call_site_has_no_resolution", F.col("call_site_id")),
+        issue(dealt(edges, "caller_id", "callee_id").groupBy("caller_id", "callee_id").agg(F.count("evidence_id").alias("_n")).filter("_n = 0"), "edge_has_no_evidence", F.concat_ws("->", "caller_id", "callee_id")),
         issue(candidates.join(matched.select("definition_id", F.lit(True).alias("_m")).distinct(), "definition_id", "left").filter("n_blockers > 0 or _m"), "actionable_finding_has_matching_blocker", F.col("definition_id")),
     ]
     return reduce(DataFrame.unionByName, parts)
