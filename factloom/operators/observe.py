@@ -26,34 +26,47 @@ def _positive(count: Column) -> Column:
     return F.coalesce(count.try_cast("int") > 0, F.lit(False))
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once per row, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def executed(lines: Column, nested: bool = True) -> Column:
     """Executed line numbers of one file's JSON: an array of counts by line (or of line numbers, if all are positive), an
     object of counts by line, or an object that holds one of these under ``lines`` or ``coverage``. NULL for other values."""
-    counts = F.when(F.ltrim(lines).startswith("["), F.from_json(lines, "array<string>"))
-    numbers = F.array_distinct(F.transform(counts, lambda c: c.try_cast("int")))
-    places = F.filter(F.transform(counts, lambda c, i: F.when(_positive(c), i + 1)), lambda i: i.isNotNull())
-    by_line = _object(lines)
-    keys = F.transform(F.map_keys(F.map_filter(by_line, lambda _, c: _positive(c))), lambda k: k.try_cast("int"))
-    inner = F.coalesce(by_line["lines"], by_line["coverage"])
-    own = F.when(counts.isNotNull(), F.when(F.forall(counts, _positive), numbers).otherwise(places)).when(by_line.isNotNull(), keys)
-    return F.when(inner.isNotNull(), executed(inner, False)).otherwise(own) if nested else own
+
+    def listed(counts: Column) -> Column:
+        numbers = F.array_distinct(F.transform(counts, lambda c: c.try_cast("int")))
+        places = F.filter(F.transform(counts, lambda c, i: F.when(_positive(c), i + 1)), lambda i: i.isNotNull())
+        return F.when(F.forall(counts, _positive), numbers).otherwise(places)
+
+    def by_line(m: Column) -> Column:
+        keys = F.transform(F.map_keys(F.map_filter(m, lambda _, c: _positive(c))), lambda k: k.try_cast("int"))
+        return _bound(F.coalesce(m["lines"], m["coverage"]), lambda inner: F.when(inner.isNotNull(), executed(inner, False)).otherwise(keys)) if nested else keys
+
+    array = F.ltrim(lines).startswith("[")
+    return F.when(array, _bound(F.from_json(lines, "array<string>"), listed)).otherwise(_bound(_object(lines), by_line))
+
+
+def _files(payload: Column) -> Column:
+    """The maps (path to JSON of lines) that a payload holds; NULL if it is no object."""
+    inner = lambda j: _bound(_object(j), lambda o: _bound(_object(o["files"]), lambda f: F.coalesce(f, o)))
+    wrapped = lambda m: F.filter(F.array(*[m[k] for k in WRAPPERS]), lambda x: x.isNotNull())
+    held = lambda m: _bound(wrapped(m), lambda w: F.when(F.size(w) > 0, F.transform(w, inner)).otherwise(F.array(m)))
+    return _bound(_object(payload), lambda m: F.when(m.isNotNull(), held(m)))
 
 
 def coverage_files(payloads: DataFrame) -> DataFrame:
     """(run, path, line): distinct executed lines of all payloads (run, payload: JSON text).
 
     Files stand under any of ``WRAPPERS`` (there also one ``files`` deeper), or, without these, in the payload itself.
-    Payloads that are null or no objects, and files without line data, give no rows.
+    Payloads that are null or no objects, and files without line data, give no rows. Every text is parsed once: outer
+    explodes, because Spark repeats the expression of an inner one as a filter before it.
     """
-    m = _object(F.col("payload"))
-    wrapped = F.filter(F.array(*[m[k] for k in WRAPPERS]), lambda x: x.isNotNull())
-    held = F.when(F.size(wrapped) > 0, wrapped).otherwise(F.array("payload"))
-    files = payloads.filter(m.isNotNull()).select("run", F.explode(held).alias("j"))
-    inner = F.coalesce(_object(_object(F.col("j"))["files"]), _object(F.col("j")))
-    lines = files.select("run", F.explode(inner).alias("path", "lines"))
-    m = _object(F.col("lines"))
-    flat = lines.withColumn("lines", F.coalesce(m["lines"], m["coverage"], F.col("lines")))
-    return flat.select("run", "path", F.explode(executed(F.col("lines"), False)).alias("line")).filter("line is not null").distinct()
+    files = payloads.select("run", F.explode_outer(_files(F.col("payload"))).alias("files"))
+    lines = files.select("run", F.explode_outer("files").alias("path", "lines"))
+    flat = lines.select("run", "path", F.explode_outer(executed(F.col("lines"))).alias("line"))
+    return flat.filter("line is not null").distinct()
 
 
 def dense_counts(fields: Column, length: Column) -> Column:

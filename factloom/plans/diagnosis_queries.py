@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.scalars import rank_of
 from factloom.operators import barrier, diagnose, evaluate, evidence, fixpoint, observe, rules
+from factloom.operators.common import dealt
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -18,7 +19,7 @@ def _text(prefix: str, col):
 def coverage_payloads(spark, sf_dir):
     """Every order is a payload of one of four shapes."""
     counts = F.map_from_entries(F.collect_list(F.struct(F.col("l_linenumber").cast("string"), (F.col("l_quantity").cast("long") % 2).cast("string"))))
-    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    one = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     lines = one.groupBy(F.col("l_orderkey").alias("run")).agg(counts.alias("c"))
     path = F.concat(F.lit("lib/o"), F.col("run"), F.lit(".rb"))
     flat, deep = F.to_json(F.create_map(path, F.col("c"))), F.to_json(F.create_map(path, F.create_map(F.lit("lines"), F.col("c"))))
