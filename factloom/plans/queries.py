@@ -232,7 +232,7 @@ def resolution_conflicts(spark, sf_dir):
 
 def _blockers(spark):
     rows = [("b1", "message", "red widget", "exact"), ("b2", "owner", "Brand#2", "exact"), ("b3", "namespace", "ECONOMY", "exact"), ("b4", "definition", "P7", "exact"), ("b5", "message", "small *", "glob"), ("b6", "owner", "Brand#1?", "glob"), ("b7", "global", None, "exact")]
-    return spark.createDataFrame([(b, "configured", k, v, m) for b, k, v, m in rows], "blocker_id string, kind string, scope_kind string, scope_value string, scope_match string")
+    return blockers.listed(spark, [{"blocker_id": b, "kind": "configured", "scope_kind": k, "scope_value": v, "scope_match": m} for b, k, v, m in rows])
 
 
 @query("""SELECT b AS blocker_id, 'P' || p_partkey AS definition_id FROM part, (VALUES ('b1'), ('b2'), ('b3'), ('b4'), ('b5'), ('b6')) v(b)
