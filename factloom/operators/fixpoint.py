@@ -8,29 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.common import cut
+from factloom.operators.common import bucketed, cut
 
 FEW = 200_000  # rows of a frontier (a domain and a node each) that are broadcast at most; a larger one is shuffled to the edges
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000, preds: bool = True) -> DataFrame:
     """(domain, node, hops, pred): nodes reachable from each domain's roots.
 
-    ``edges`` (src, dst) or (domain, src, dst); ``roots`` (domain, node). hops is the length of a shortest path, pred the
-    smallest predecessor on one (NULL for roots).
+    ``edges`` (src, dst) or (domain, src, dst), which may repeat; ``roots`` (domain, node). hops is the length of a shortest path, pred
+    the smallest predecessor on one (NULL for roots). Without ``preds`` there is no such column, and a round is a distinct by hash: the
+    smallest of texts is found by sorting all that a round meets.
     """
-    per_domain = "domain" in edges.columns
-    keys = ["domain", "src"] if per_domain else ["src"]
-    edges = cut(edges.select(*keys, "dst").repartition(*keys).sortWithinPartitions(*keys))  # made once, dealt and sorted for the joins of all rounds
-    known = cut(roots.select("domain", "node").distinct().select("domain", "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred")))
+    keys = ["domain", "src"] if "domain" in edges.columns else ["src"]
+    with bucketed(edges.select(*keys, "dst"), *keys) as dealt:
+        return _rounds(dealt, keys, roots, max_rounds, preds)
+
+
+def _rounds(edges: DataFrame, keys: list[str], roots: DataFrame, max_rounds: int, preds: bool) -> DataFrame:
+    columns = ["domain", "node", "hops", *(["pred"] if preds else [])]
+    start = roots.select("domain", "node").distinct().select("domain", "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred"))
+    known = cut(start.select(*columns))
     found, frontier, n = [known], known, known.count()
     for hop in range(1, max_rounds + 1):
         at = frontier.select("domain", F.col("node").alias("src"))
-        step = edges.join(F.broadcast(at) if n <= FEW else at, keys).groupBy("domain", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
+        met = edges.join(F.broadcast(at) if n <= FEW else at.hint("shuffle_hash"), keys).select("domain", F.col("dst").alias("node"), "src")
+        step = met.groupBy("domain", "node").agg(F.min("src").alias("pred")) if preds else met.select("domain", "node").distinct()
         seen = found[0]
         for part in found[1:]:
             seen = seen.unionByName(part)
-        frontier = cut(step.join(seen, ["domain", "node"], "left_anti").select("domain", "node", F.lit(hop).alias("hops"), "pred"))
+        frontier = cut(step.join(seen, ["domain", "node"], "left_anti").withColumn("hops", F.lit(hop)).select(*columns))
         n = frontier.count()
         if not n:
             return seen
