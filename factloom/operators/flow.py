@@ -7,12 +7,13 @@ however long or circular the flow is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.common import cut, request
+from factloom.operators.common import bucketed, cut, request
 
 ATOMS = 8  # values of a fact at most
+FEW = 100_000  # facts of a frontier that are broadcast at most
 UNKNOWN = "unknown"
 FACT = "var string, kind string, values array<string>, nilable boolean, reason string"
 
@@ -23,36 +24,55 @@ def join_facts(facts: DataFrame) -> DataFrame:
     kind is unknown with reason unknown_join (an unknown or inexact fact), mixed_join (several kinds) or atom_budget (more than
     eight values). Values are counted before they are gathered: no variable gathers more than eight.
     """
-    sure = (F.col("kind") != UNKNOWN) & F.coalesce("exact", F.lit(False))
-    heads = facts.groupBy("var").agg(F.min(F.coalesce(sure, F.lit(False))).alias("_sure"), F.min("kind").alias("_low"), F.max("kind").alias("_high"), F.max(F.coalesce("nilable", F.lit(False))).alias("nilable"))
-    atoms = facts.select("var", F.explode("values").alias("_a")).filter("_a is not null").distinct()
-    counted = atoms.groupBy("var").agg(F.count(F.lit(1)).alias("_n"))
-    few = atoms.join(counted.filter(F.col("_n") <= ATOMS).select("var"), "var", "left_semi").groupBy("var").agg(F.array_sort(F.collect_list("_a")).alias("_values"))
-    told = heads.join(counted, "var", "left").join(few, "var", "left")
-    reason = F.when(~F.col("_sure"), "unknown_join").when(F.col("_low") != F.col("_high"), "mixed_join").when(F.col("_n") > ATOMS, "atom_budget")
+    told = _met(facts)
+    return told.select("var", *_fact(~F.col("_sure"), F.col("_low") != F.col("_high"), F.col("_n") > ATOMS, F.col("_low"), F.col("_values"), F.col("nilable")))
+
+
+def _met(facts: DataFrame) -> DataFrame:
+    """(var, _sure, _low, _high, _n, _values, nilable): what meets in each variable, read once. _n, the number of values, holds where all
+    are sure and of one kind, and values are gathered only where it holds and they are few."""
+    sure = F.coalesce((F.col("kind") != UNKNOWN) & F.coalesce("exact", F.lit(False)), F.lit(False))
+    rows = facts.select("var", "kind", sure.alias("_s"), F.coalesce("nilable", F.lit(False)).alias("_nil"), F.explode_outer("values").alias("_a"))
+    each = rows.groupBy("var", "kind", "_a").agg(F.min("_s").alias("_s"), F.max("_nil").alias("_nil"))
+    of = Window.partitionBy("var")
+    told = {"_sure": F.min("_s"), "_low": F.min("kind"), "_high": F.max("kind"), "_n": F.count("_a"), "nilable": F.max("_nil")}
+    heads = each.select("var", "_a", *[c.over(of).alias(k) for k, c in told.items()])
+    few = F.col("_sure") & (F.col("_low") == F.col("_high")) & (F.col("_n") <= ATOMS)
+    return heads.groupBy("var", *told).agg(F.array_sort(F.collect_list(F.when(few, F.col("_a")))).alias("_values"))
+
+
+def _fact(unsure: Column, mixed: Column, many: Column, kind: Column, values: Column, nilable: Column) -> list[Column]:
+    """kind, values, nilable and reason of a fact."""
+    reason = F.when(unsure, "unknown_join").when(mixed, "mixed_join").when(many, "atom_budget")
     none = F.array().cast("array<string>")
-    values = F.when(reason.isNull(), F.coalesce("_values", none)).otherwise(none)
-    return told.select("var", F.when(reason.isNull(), F.col("_low")).otherwise(UNKNOWN).alias("kind"), values.alias("values"), "nilable", reason.alias("reason"))
+    return [F.when(reason.isNull(), kind).otherwise(UNKNOWN).alias("kind"), F.when(reason.isNull(), F.coalesce(values, none)).otherwise(none).alias("values"), nilable.alias("nilable"), reason.alias("reason")]
 
 
 def value_facts(seeds: DataFrame, flows: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(var, kind, values, nilable, reason) of all variables that a fact reaches: the least solution of var = join of its sources.
 
-    ``seeds`` (var, kind, values, exact, nilable): what is written down; ``flows`` (src, dst): dst may hold what src holds. A
-    round joins the changed facts with their flows, and the facts they meet, only.
+    ``seeds`` (var, kind, values, exact, nilable): what is written down; ``flows`` (src, dst), which may repeat: dst may hold what src
+    holds. A round joins the changed facts with their flows once, and what meets in a variable with its fact so far.
     """
-    edges = cut(flows.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct().repartition("src"))
+    with bucketed(flows.select("src", "dst").filter("src is not null and dst is not null and src <> dst"), "src") as edges:
+        return _rounds(seeds, edges, max_rounds)
+
+
+def _rounds(seeds: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     known = cut(join_facts(seeds))
-    frontier = known
+    frontier, n = known, known.count()
     same = ["kind", "values", "nilable"]
     for _ in range(max_rounds):
-        sent = frontier.withColumnRenamed("var", "src").join(edges, "src").select(F.col("dst").alias("var"), *same)
-        met = known.join(sent.select("var").distinct(), "var", "left_semi").select("var", *same)
-        fresh = join_facts(sent.unionByName(met).withColumn("exact", F.lit(True)))
-        old = known.select("var", F.struct(*same).alias("_old"))
-        changed = fresh.join(old, "var", "left").filter(~F.struct(*same).eqNullSafe(F.col("_old"))).drop("_old")
-        frontier = cut(changed)
-        if frontier.isEmpty():
+        at = frontier.select(F.col("var").alias("src"), *same)
+        sent = edges.join(F.broadcast(at) if n <= FEW else at.hint("shuffle_hash"), "src").select(F.col("dst").alias("var"), *same, F.lit(True).alias("exact"))
+        both = _met(sent).join(known.select("var", F.struct(*same).alias("_old")), "var", "left")
+        old, was = F.col("_old"), F.col("_old").isNotNull()
+        values = F.when(was, F.array_sort(F.array_union("_values", old["values"]))).otherwise(F.col("_values"))
+        mixed = (F.col("_low") != F.col("_high")) | (was & (F.col("_low") != old["kind"]))
+        fact = _fact(~F.col("_sure") | (was & (old["kind"] == UNKNOWN)), mixed, (F.col("_n") > ATOMS) | (F.size(values) > ATOMS), F.col("_low"), values, F.col("nilable") | F.coalesce(old["nilable"], F.lit(False)))
+        frontier = cut(both.select("var", "_old", *fact).filter(~F.struct(*same).eqNullSafe(old)).drop("_old"))
+        n = frontier.count()
+        if not n:
             return known
         known = cut(known.join(frontier.select("var"), "var", "left_anti").unionByName(frontier))
     raise RuntimeError("value_facts did not settle")
