@@ -76,12 +76,12 @@ def nearest(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 def witness_paths(reached: DataFrame, targets: DataFrame, max_hops: int = 200) -> DataFrame:
     """(node, path): root-to-node paths along the stored predecessors, for bounded targets; raises if one is longer than ``max_hops``."""
-    now = cut(targets.select("node", F.col("node").alias("at"), F.array("node").alias("path")))
+    now = targets.select("node", F.col("node").alias("at"), F.array("node").alias("path"))
     done = []
     for _ in range(max_hops):
-        step = now.join(reached.select(F.col("node").alias("at"), "pred"), "at")
+        step = cut(now.join(reached.select(F.col("node").alias("at"), "pred"), "at").select("node", "path", "pred"))
         done.append(step.filter("pred is null").select("node", "path"))
-        now = cut(step.filter("pred is not null").select("node", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path")))
+        now = step.filter("pred is not null").select("node", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
         if now.isEmpty():
             break
     else:
