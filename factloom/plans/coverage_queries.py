@@ -293,7 +293,7 @@ def recalled_candidates(spark, sf_dir):
     return evaluate.recalled(known, selected).select("corpus", "id", "recalled")
 
 
-FLOWS = """WITH RECURSIVE flows AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem UNION SELECT 'P' || l_partkey, 'O' || l_orderkey FROM lineitem WHERE l_linenumber = 1 UNION SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders),
+FLOWS = """WITH RECURSIVE flows AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem UNION SELECT 'P' || l_partkey, 'O' || l_orderkey FROM lineitem UNION SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders),
 seeds AS (SELECT 'S' || s_suppkey AS var, CASE WHEN s_nationkey = 7 THEN 'class_object' ELSE 'instance_types' END AS kind, 'N' || s_nationkey AS v, s_suppkey % 97 > 0 AS exact FROM supplier),
 walk(var, node) AS (SELECT var, var FROM seeds UNION SELECT w.var, f.dst FROM walk w JOIN flows f ON f.src = w.node),
 g AS (SELECT node AS var, bool_and(exact) AS sure, count(DISTINCT kind) AS kinds, min(kind) AS kind, count(DISTINCT v) AS n, list_sort(list(DISTINCT v)) AS vs FROM walk JOIN seeds USING (var) GROUP BY 1)
@@ -305,7 +305,7 @@ def value_facts(spark, sf_dir):
     """What parts, orders and customers may hold of the nations of their suppliers."""
     line = table(spark, sf_dir, "lineitem")
     flows = line.select(_text("S", "l_suppkey").alias("src"), _text("P", "l_partkey").alias("dst"))
-    flows = flows.unionByName(line.filter("l_linenumber = 1").select(_text("P", "l_partkey").alias("src"), _text("O", "l_orderkey").alias("dst")))
+    flows = flows.unionByName(line.select(_text("P", "l_partkey").alias("src"), _text("O", "l_orderkey").alias("dst")))
     flows = flows.unionByName(table(spark, sf_dir, "orders").select(_text("O", "o_orderkey").alias("src"), _text("C", "o_custkey").alias("dst")))
     s = table(spark, sf_dir, "supplier")
     seeds = s.select(_text("S", "s_suppkey").alias("var"), F.when(F.col("s_nationkey") == 7, "class_object").otherwise("instance_types").alias("kind"), F.array(_text("N", "s_nationkey")).alias("values"), (F.col("s_suppkey") % 97 > 0).alias("exact"), F.lit(False).alias("nilable"))
