@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import lookup
+from factloom.operators.common import cut, paired
 from factloom.operators.runtime import coverage_paths, line_interval_join, prefer
 
 #: Fixed keys under which a payload keeps its files, and those that two merged observations must share.
@@ -150,13 +151,13 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     ``refs`` (ref, identifier, definition_id, symbol_id, file, line), ``nodes`` (definition_id, symbol_id, file, line). An
     identifier is a symbol first (unique, ambiguous), then an id (exact). Otherwise an id whose node fits the symbol, file and
     line is exact; a wrong id without file or line is missing; else symbol, file and line decide. References without
-    symbol are missing. Repeated references are one. The pairs of references and nodes are what the last joins give out; only
-    references and nodes are shuffled.
+    symbol are missing. Repeated references are one. The pairs of references and nodes are what the last joins give out, those of a
+    symbol in cells of bounded size; only references and nodes are shuffled.
     """
-    stated = _stated(refs, nodes)
+    stated = cut(_stated(refs, nodes))
     by_id = _by_id(stated.filter("_way = 'id'"), nodes).select("ref", "status", F.col("_id").alias("definition_id"))
     asked = _symbols(stated.filter("_way = 'symbol'")).select("ref", "status", *lookup.ASKED)
-    by_symbol = asked.join(lookup.narrowings(nodes), lookup.ASKED).select("ref", "status", "definition_id")
+    by_symbol = paired(asked, lookup.narrowings(nodes), lookup.ASKED, "definition_id").select("ref", "status", "definition_id")
     lost = stated.filter("_way is null").select("ref", "status", F.col("_target").alias("definition_id"))
     return by_id.unionByName(by_symbol).unionByName(lost)
 
