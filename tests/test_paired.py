@@ -1,9 +1,12 @@
 """Joins whose pairs are most of the work: cells of few keys are dealt over the tasks."""
 
 import pytest
+import test_dispatch
 from pyspark.sql import functions as F
+from test_analyzers import made
 
 from factloom.operators import common, observe
+from factloom.plans import analyzers
 
 REF = "ref long, identifier string, definition_id string, symbol_id string, file string, line int"
 NODE = "definition_id string, symbol_id string, file string, line int"
@@ -31,3 +34,19 @@ def test_references_of_one_symbol_are_many_tasks(spark, monkeypatch):
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 60_000 and max(sizes) < 30_000
     assert rows.filter("status = 'ambiguous'").select("ref", "definition_id").distinct().count() == 60_000
+
+
+def test_sites_of_one_request_are_many_tasks(spark, monkeypatch):
+    """400 equal sites with 150 targets: 60,000 rows, no task with half of them."""
+    monkeypatch.setattr(common, "WIDE", 20, raising=False)
+    monkeypatch.setattr(common, "TALL", 30, raising=False)
+    nodes = spark.createDataFrame([("c", "instance_method", "O", "main", "public", False)], test_dispatch.NODE)
+    rest = (False, False, None, None, None)
+    sites = spark.createDataFrame([(i, "c", "go", "instance", "O", *rest) for i in range(400)], test_dispatch.SITE)
+    facts = made(spark, nodes=nodes, sites=sites).grouped()
+    request = facts.members.first()["request"]
+    evidence = spark.createDataFrame([("p", request, request, f"t{i}", "exact") for i in range(150)], "producer string, call_site_id string, caller_id string, callee_id string, grade string")
+    rows = analyzers.expanded(facts, evidence)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 30_000
+    assert rows.filter("caller_id = 'c' and grade = 'exact'").select("call_site_id", "callee_id").distinct().count() == 60_000
