@@ -22,10 +22,11 @@ def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000, preds: boo
     """
     keys = ["domain", "src"] if "domain" in edges.columns else ["src"]
     with bucketed(edges.select(*keys, "dst"), *keys) as dealt:
-        return _rounds(dealt, keys, roots, max_rounds, preds)
+        return along(dealt, keys, roots, max_rounds, preds)
 
 
-def _rounds(edges: DataFrame, keys: list[str], roots: DataFrame, max_rounds: int, preds: bool) -> DataFrame:
+def along(edges: DataFrame, keys: list[str], roots: DataFrame, max_rounds: int = 1000, preds: bool = True) -> DataFrame:
+    """``reach`` over edges that are ``bucketed`` by ``keys`` already."""
     columns = ["domain", "node", "hops", *(["pred"] if preds else [])]
     start = roots.select("domain", "node").distinct().select("domain", "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred"))
     known = cut(start.select(*columns))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import diff, fixpoint, incremental
+from factloom.operators import diff, incremental
 from factloom.plans.registry import query
-from factloom.sources.tables import supply_edges, supply_roots, table
+from factloom.sources.tables import supply_links, supply_roots, table
 
 SPLIT = "1998-01-01"
 
@@ -20,12 +20,11 @@ w1(domain, node) AS (SELECT domain, node FROM r1 UNION SELECT w.domain, e.dst FR
 @query(f"{SUPPLY} SELECT coalesce(a.domain, b.domain) AS domain, coalesce(a.node, b.node) AS node, CASE WHEN b.node IS NULL THEN 'lost' ELSE 'gained' END AS change FROM w1 a FULL JOIN w2 b ON a.domain = b.domain AND a.node = b.node WHERE a.node IS NULL OR b.node IS NULL")
 def reach_changes(spark, sf_dir):
     """Orders lose their second lines and get their first ones, and tests start from another nation: reachability follows the change."""
-    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), "l_linenumber").distinct()
-    rest = supply_edges(spark, sf_dir).filter("src not like 'O%'")
-    side = lambda n: lines.filter(F.col("l_linenumber") != n).select("src", "dst").unionByName(rest).distinct()
-    before = fixpoint.reach(side(1), supply_roots(spark, sf_dir, {"runtime": 3, "test": 4}))
-    edges, removed, added = incremental.edge_delta(side(1), side(2))
-    return incremental.update_reach(before, edges, removed, added, supply_roots(spark, sf_dir, {"runtime": 3, "test": 5}))[1]
+    has = lambda n: F.coalesce(F.col("l_linenumber") != n, F.lit(False))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), has(1).alias("before"), has(2).alias("after"))
+    rest = supply_links(spark, sf_dir).filter("src not like 'O%'").select("src", "dst", F.lit(True).alias("before"), F.lit(True).alias("after"))
+    before, after = (supply_roots(spark, sf_dir, {"runtime": 3, "test": n}) for n in (4, 5))
+    return incremental.reach_changes(lines.unionByName(rest), before, after)
 
 
 def _report(spark, sf_dir, head: bool) -> diff.Report:
